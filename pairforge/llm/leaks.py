@@ -192,10 +192,15 @@ def search(items: Items, weight: dict[str, int], window: int, shingle: int, leas
                     for cut in range(0, len(which), STRIDE):
                         i, p = start[which[cut : cut + STRIDE]], items.start[place[cut : cut + STRIDE]]
                         sim, same = judge(items, h, w, i, p, window, shingle)
-                        for k in np.nonzero(sim >= least)[0]:
-                            pair = (int(keys[lo + r[i[k]]]), int(items.ids[items.owner[p[k]]]))
+                        hit = sim >= least
+                        code, at_pair = np.unique(r[i[hit]] * len(items.ids) + items.owner[p[hit]], return_inverse=True)
+                        best, full = np.zeros(len(code)), np.zeros(len(code), bool)
+                        np.maximum.at(best, at_pair, sim[hit])
+                        np.logical_or.at(full, at_pair, same[hit])
+                        for c, x, e in zip(code.tolist(), best.tolist(), full.tolist()):
+                            pair = (int(keys[lo + c // len(items.ids)]), int(items.ids[c % len(items.ids)]))
                             old = found.get(pair, (0.0, False))
-                            found[pair] = (max(old[0], float(sim[k])), old[1] or bool(same[k]))
+                            found[pair] = (max(old[0], x), old[1] or e)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[0] for x in found.values()], pa.float64()), pa.array([x[1] for x in found.values()], pa.bool_())],
                 names=["doc_id", "item_id", "similarity", "exact"],
