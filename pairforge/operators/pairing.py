@@ -13,6 +13,8 @@ from pairforge.functions.similarity import lev_090, popcount, tanimoto_090
 from pairforge.schema import PAIR_COLUMNS, require_columns
 
 KEYS = ["dataset_name", "endpoint"]
+#: Characters per place in the segment join.
+PLACES = 16
 
 
 def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,19 +37,22 @@ def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
 
     A positive text of length l is cut into floor(l / 9) + 1 segments; a partner within the allowed edits holds one of
     them unchanged at most floor(l / 9) characters away.  Negative texts offer their substrings of the widths (one or
-    two, at most 8) that partners of their length use.  The segment is part of the join key, which spreads a hot group.
+    two, at most 8) that partners of their length use.  The segment and its place in steps of PLACES characters are part of
+    the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.
     """
     edits, width = _segments(F.col("toxic_smiles"))
     pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), F.col("toxic_smiles").substr(i * width + 1, width).alias("piece")))
-    t = toxic.select(*KEYS, "toxic_smiles", width.alias("width"), F.explode(pieces).alias("s")).select(*KEYS, "toxic_smiles", F.col("s.at").alias("at"), F.col("s.piece").alias("piece"))
+    t = toxic.select(*KEYS, "toxic_smiles", edits.alias("edits"), F.explode(pieces).alias("s"))
+    reach = F.sequence(F.floor((F.col("s.at") - F.col("edits")) / PLACES), F.floor((F.col("s.at") + F.col("edits")) / PLACES))
+    t = t.select(*KEYS, "toxic_smiles", "edits", F.col("s.at").alias("at"), F.col("s.piece").alias("piece"), F.explode(reach).alias("place"))
     length = F.length("nontoxic_smiles")
     partners = F.sequence(F.ceil(length * 0.9).cast("int"), F.floor(length / 0.9).cast("int"))
     widths = F.array_distinct(F.transform(partners, lambda x: F.greatest(F.lit(1), F.floor(x / (F.floor(x / 9) + 1)).cast("int"))))
     none = F.array().cast("array<struct<at:int,piece:string>>")
     grams = F.flatten(F.transform(widths, lambda w: F.when(length >= w, F.transform(F.sequence(F.lit(1), length - w + 1), lambda i: F.struct((i - 1).alias("at"), F.col("nontoxic_smiles").substr(i, w).alias("piece")))).otherwise(none)))
-    n = nontoxic.select(*KEYS, "nontoxic_smiles", F.explode(grams).alias("s")).select(*KEYS, "nontoxic_smiles", F.col("s.at").alias("at_n"), F.col("s.piece").alias("piece"))
-    near = (F.abs(F.col("at") - F.col("at_n")) <= F.floor(F.length("toxic_smiles") / 9)) & (F.abs(F.length("toxic_smiles") - length) * 10 <= F.greatest(F.length("toxic_smiles"), length))
-    pairs = t.join(n, [*KEYS, "piece"]).where(near).select(*PAIR_COLUMNS).distinct()
+    n = nontoxic.select(*KEYS, "nontoxic_smiles", F.explode(grams).alias("s")).select(*KEYS, "nontoxic_smiles", F.col("s.at").alias("at_n"), F.col("s.piece").alias("piece"), F.floor(F.col("s.at") / PLACES).alias("place"))
+    near = (F.abs(F.col("at") - F.col("at_n")) <= F.col("edits")) & (F.abs(F.length("toxic_smiles") - length) * 10 <= F.greatest(F.length("toxic_smiles"), length))
+    pairs = t.join(n, [*KEYS, "piece", "place"]).where(near).select(*PAIR_COLUMNS).distinct()
     return pairs.where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles")))
 
 

@@ -332,3 +332,37 @@ def test_alias_lookup(spark):
     pairs = spark.createDataFrame([("a", "b"), ("zz", "A"), (None, "a")], "toxic_smiles string, nontoxic_smiles string")
     got = {(r["toxic_smiles"], r["nontoxic_smiles"]): (r["toxic_safe"], r["nontoxic_safe"]) for r in fragments.attach_safe(pairs, prof).collect()}
     assert got == {("a", "b"): ("s1", ""), ("zz", "A"): ("", "s2"), (None, "a"): ("", "s1")}
+
+
+def test_sql_functions(spark):
+    from pairforge.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(a, b) for a, b, *_ in SCORES] + [(" b . a..b", None)], "g string, p string")
+    df.createOrReplaceTempView("scored")
+    got = spark.sql("SELECT fragment_set(g), fragment_list(g), set_f1(g, p), bleu1(g, p), fragment_levenshtein(g, p), tanimoto_words(array(3L, 0L), array(1L, 0L)) FROM scored").collect()
+    g, p = F.col("g"), F.col("p")
+    want = df.select(text.fragment_set(g), text.fragment_list(g), scoring.set_f1(g, p), scoring.bleu1(g, p), scoring.fragment_levenshtein(g, p), F.lit(0.5)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_commands(spark, tmp_path):
+    from pairforge import cli
+
+    mols = ["CC(C)c1ccccc1CCN(C)CCO", "CC(C)c1ccccc1CCN(C)CCN", "CC(C)c1ccccc1CCN(C)CCCl", "OCCN(C)CC1CC1", "OCCN(C)CC1CC1F"]
+    (tmp_path / "m.csv").write_text("dataset_name,endpoint,smiles,label\n" + "\n".join(f"ames,ames,{m},{i % 2}" for i, m in enumerate(mols)) + "\n")
+    run = lambda *a: cli.main(list(map(str, a)))
+    run("pair", "--input", tmp_path / "m.csv", "--out", tmp_path / "pairs", "--no-iqr", "--keep-property-outliers")
+    pairs = spark.read.option("header", True).csv(str(tmp_path / "pairs"))
+    assert pairs.count() >= 2
+    run("split", "--input", tmp_path / "pairs", "--out-dir", tmp_path / "split", "--test-share", 0.5)
+    n = [spark.read.option("header", True).csv(str(tmp_path / "split" / f"{s}.csv")).count() for s in ("train", "test")]
+    assert sum(n) == pairs.count()
+    run("build", "--input", tmp_path / "pairs", "--out", tmp_path / "qa", "--task", "task1")
+    records = spark.read.json(str(tmp_path / "qa"))
+    assert records.count() == pairs.count() and set(records.select("task").distinct().toPandas()["task"]) == {"task1"}
+    rows = [{"model": "m", "split": "test", "task": "task1", "step": "single_step", "id": 1, "gold": {"answer": "a"}, "raw": '{"answer": "a"}'}, {"model": "m", "split": "test", "task": "task1", "step": "single_step", "id": 2, "gold": {"answer": "a"}, "raw": "b"}]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    run("score", "--predictions", tmp_path / "p.jsonl", "--out", tmp_path / "sum")
+    out = json.loads(next((tmp_path / "sum").iterdir()).read_text())
+    assert out["total"] == 2 and out["metrics_mean"]["fragment_EM"] == 0.5
