@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairforge.operators.lookup import lookup
+from pairforge.storage import materialize
+
 #: Group members per salt when pairs inside one form are made.
 PER_SALT = 2000
 
@@ -118,10 +121,10 @@ def _digest(c: str):
 def form_digests(docs: DataFrame, doc_id: str, text: str, lookalikes: DataFrame) -> DataFrame:
     """``id``, digest ``f`` of the form and ``t`` of the text as delivered, for documents with a non-empty form.
 
-    Only digests move: 256 bits, so equal digests mean equal texts.
+    Only digests move: 256 bits, so equal digests mean equal texts.  They are written once, as they are read twice.
     """
     df = with_form(docs, text, lookalikes, [doc_id], keep_text=True)
-    return df.where("form <> ''").select(F.col(doc_id).alias("id"), _digest("form").alias("f"), _digest("text").alias("t"))
+    return materialize(df.where("form <> ''").select(F.col(doc_id).alias("id"), _digest("form").alias("f"), _digest("text").alias("t")), "forms")
 
 
 def lookalike_pairs(docs: DataFrame, doc_id: str, text: str, lookalikes: DataFrame) -> DataFrame:
@@ -132,7 +135,8 @@ def lookalike_pairs(docs: DataFrame, doc_id: str, text: str, lookalikes: DataFra
     """
     rows = form_digests(docs, doc_id, text, lookalikes)
     groups = rows.groupBy("f").agg(F.count("*").alias("n"), F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most")
-    members = rows.join(groups.select("f", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")), "f")
+    groups = materialize(groups.select("f", "n", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")), "groups")
+    members = lookup(rows, groups, "f", "n")
     a = members.select("f", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("doc_id_a"), F.col("t").alias("ta"))
     b = members.select("f", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("doc_id_b"), F.col("t").alias("tb"))
     return a.join(b, ["f", "salt"]).where("doc_id_a < doc_id_b AND ta <> tb").select("doc_id_a", "doc_id_b")
@@ -143,4 +147,4 @@ def form_classes(docs: DataFrame, doc_id: str, text: str, lookalikes: DataFrame)
     rows = form_digests(docs, doc_id, text, lookalikes)
     spelled = rows.groupBy("f", "t").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     groups = spelled.groupBy("f").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_spellings"))
-    return rows.join(groups, "f").select(F.col("id").alias("doc_id"), "class_id", "n_docs", "n_spellings")
+    return lookup(rows, materialize(groups, "groups"), "f", "n_docs").select(F.col("id").alias("doc_id"), "class_id", "n_docs", "n_spellings")
