@@ -32,13 +32,27 @@ def _with_state(rows: DataFrame, state: DataFrame, keys: list[str], n_state: int
     return spread.alias("r").join(salted.alias("s"), _same("r", "s", keys) & (F.col("r.salt") == F.col("s.salt")))
 
 
+def _part(bins: int, by_size: bool) -> Column:
+    """The bin of ``v`` in its interval: equal parts of the values, or of their magnitudes (signed logarithms), so that
+    neither evenly spread nor heavy-tailed values need many rounds.  Both keep the order; infinities stand at the ends;
+    where an interval has no measurable width its least value is set apart."""
+
+    def place(c: str) -> Column:
+        x = F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), F.col(c)))
+        return F.signum(x) * (F.ln(F.abs(x) + 5e-324) + 745) if by_size else x / 2
+
+    width = place("hi") - place("lo")
+    inside = F.floor((place("v") - place("lo")) / F.when(width > 0, width) * bins)
+    return F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), inside))).when(F.col("v") == F.col("lo"), 0).otherwise(1).cast("int")
+
+
 def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: list[float], bins: int = 256) -> DataFrame:
     """Per key: ``n_rows``, ``n_values``, ``v_min``, ``v_max`` and ``q`` – the exact values of the wanted quantiles.
 
     The quantile p is the value of rank ``max(1, ceil(p n))`` among the non-null values.  Round by round each open
-    interval of a key is cut into ``bins`` equal parts; per part only count, least and greatest value are kept
-    (combined before the shuffle), and the part that holds the rank becomes the next interval, until it holds one
-    value.  Null and NaN values count as rows but not as values; a key without values has null quantiles; null keys
+    interval of a key is cut into ``bins`` parts, by value and by magnitude in turn; per part only count, least and
+    greatest value are kept (combined before the shuffle), and the part that holds the rank becomes the next interval,
+    until it holds one value.  Null and NaN values count as rows but not as values; a key without values has null quantiles; null keys
     form a group of their own.  An empty table gives an empty result.  Other columns of ``df`` are not read.
     """
     v = value.cast("double")
@@ -49,6 +63,7 @@ def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quant
     found = totals.where("n_values > 0").select(*keys, wanted.alias("w"), "n_values", "v_min", "v_max").select(*keys, F.col("w.i").alias("i"), rank.alias("rank"), F.col("v_min").alias("lo"), F.col("v_max").alias("hi"))
     state, done = materialize(found, "ranks"), []
     values = rows.where("v IS NOT NULL")
+    by_size = False
     while True:
         done.append(state.where("lo = hi").select(*keys, "i", F.col("lo").alias("q")))
         todo = state.where("lo < hi")
@@ -58,14 +73,13 @@ def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quant
             release(spans)
             break
         inside = _with_state(values, spans, keys, n_spans).where("v >= lo AND v <= hi")
-        part = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-        counts = inside.select(*[F.col(f"r.{k}").alias(k) for k in keys], "lo", "hi", part.alias("part"), "v").groupBy(*keys, "lo", "hi", "part").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counts = inside.select(*[F.col(f"r.{k}").alias(k) for k in keys], "lo", "hi", _part(bins, by_size).alias("part"), "v").groupBy(*keys, "lo", "hi", "part").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = F.sum("n").over(W.partitionBy(*keys, "lo", "hi").orderBy("part"))
         counts = counts.withColumn("upto", upto)
         hit = todo.alias("t").join(counts.alias("c"), _same("t", "c", keys) & F.expr("t.lo = c.lo AND t.hi = c.hi AND t.rank <= c.upto AND t.rank > c.upto - c.n"))
         after = materialize(hit.select(*[F.col(f"t.{k}").alias(k) for k in keys], "t.i", F.expr("t.rank - (c.upto - c.n)").alias("rank"), F.col("c.least").alias("lo"), F.col("c.most").alias("hi")), "ranks")
         release(spans)
-        state = after
+        state, by_size = after, not by_size
     resolved = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
     return totals.alias("t").join(resolved.alias("d"), _same("t", "d", keys), "left").select(*[F.col(f"t.{k}").alias(k) for k in keys], "n_rows", "n_values", "v_min", "v_max", "q")
 

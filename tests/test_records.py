@@ -110,6 +110,7 @@ def test_typed_rows(spark):
 def test_key_quantiles(spark, monkeypatch):
     rnd = random.Random(2)
     rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice([None, float("nan"), 1.0, 2.0, rnd.gauss(0, 1e6), rnd.random() * 1e-9])) for _ in range(4000)] + [("none", None), ("one", -0.0), ("same", 5.0), ("same", 5.0)]
+    rows += [("wide", x) for x in (math.inf, -math.inf, 1.7e308, -1.7e308, 5e-324, 1e-323, 0.0, *(2.0**k for k in range(-1000, 1000, 7)))]
     df = spark.createDataFrame([(k, v, 1) for k, v in rows], "k string, v double, n_rows int").repartition(5)
     qs = [0.0, 0.25, 0.5, 0.99, 1.0]
     want = {}
