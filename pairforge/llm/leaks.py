@@ -59,26 +59,21 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def fingerprints(hashes: np.ndarray, weights: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of every window of a stream of word hashes with their weights."""
-    n = len(hashes) - window + 1
+def signed_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per word of a vocabulary its weight, signed by the bits of its hash."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
+    return (2 * bits - 1) * weights.astype(np.int16)[:, None]
+
+
+def fingerprints(signed: np.ndarray, codes: np.ndarray, window: int) -> np.ndarray:
+    """SimHash of every window of a stream of words, given as rows of ``signed``.  Sums wrap around in 16 bits, which the
+    differences (at most weight times window) undo."""
+    n = len(codes) - window + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
-    signed = (2 * bits - 1) * weights.astype(np.int16)[:, None]
-    sums = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(signed, axis=0, out=sums[1:])
-    above = (sums[window:] - sums[:n]) > 0
-    return np.packbits(above, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n words of a stream."""
-    m = len(hashes) - n + 1
-    out = np.zeros(max(0, m), np.uint64)
-    for i in range(n):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)])
-    return out
+    sums = np.zeros((len(codes) + 1, 64), np.int16)
+    np.cumsum(signed[codes], axis=0, dtype=np.int16, out=sums[1:])
+    return np.packbits((sums[window:] - sums[:n]) > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 @dataclass
@@ -105,10 +100,10 @@ def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int) -> I
         words += ws
     vocab = {w: i for i, w in enumerate(dict.fromkeys(words))}
     codes = np.fromiter((vocab[w] for w in words), np.int64, len(words))
-    hashes = word_hashes(list(vocab))[codes]
-    weights = np.fromiter((weight.get(w, 8) for w in vocab), np.int64, len(vocab))[codes]
+    hashes, weights = word_hashes(list(vocab)), np.fromiter((weight.get(w, 8) for w in vocab), np.int64, len(vocab))
     owners = np.repeat(np.arange(len(ids)), lens)
-    prints = fingerprints(hashes, weights, window)
+    prints = fingerprints(signed_bits(hashes, weights), codes, window)
+    hashes, weights = hashes[codes], weights[codes]
     start = np.nonzero(owners[: len(prints)] == owners[window - 1 :])[0] if len(prints) else np.zeros(0, np.int64)
     uniq, inv = np.unique(prints[start], return_inverse=True)
     places = np.argsort(inv, kind="stable")
@@ -177,13 +172,15 @@ def search(items: Items, weight: dict[str, int], window: int, shingle: int, leas
                     fresh = vocab
                 known.update((w, (int(h), weight.get(w, 8))) for w, h in zip(fresh, word_hashes(fresh)))
                 codes = flat.indices.to_numpy()
-                hashes = np.fromiter((known[w][0] for w in vocab), np.uint64, len(vocab))[codes]
-                weights = np.fromiter((known[w][1] for w in vocab), np.int64, len(vocab))[codes]
+                hashes = np.fromiter((known[w][0] for w in vocab), np.uint64, len(vocab))
+                weights = np.fromiter((known[w][1] for w in vocab), np.int64, len(vocab))
+                signed = signed_bits(hashes, weights)
+                hashes, weights = hashes[codes], weights[codes]
                 lens = np.diff(words.offsets.to_numpy())
                 row = np.repeat(np.arange(len(lens)), lens)
                 for at in range(0, max(1, len(hashes) - window + 1), STRIDE):
                     h, w, r = hashes[at : at + STRIDE + window - 1], weights[at : at + STRIDE + window - 1], row[at : at + STRIDE + window - 1]
-                    prints = fingerprints(h, w, window)
+                    prints = fingerprints(signed, codes[at : at + STRIDE + window - 1], window)
                     if not len(prints):
                         continue
                     start = np.nonzero(r[: len(prints)] == r[window - 1 :])[0]
