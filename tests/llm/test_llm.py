@@ -304,3 +304,12 @@ def test_bound_holds_for_vectors():
             weight = 16 + ta.cell % 9
             kept = weight[(ta.who == 0) & np.isin(ta.term, tb.term)].sum()
             assert kept >= weight[ta.who == 0].sum() - k * ta.lost(weight)[0]
+
+
+def test_empty_tables(spark):
+    rows = spark.createDataFrame([], "cliff_id bigint, toxic_smiles string, split string")
+    prof = spark.createDataFrame([], "smiles string, canonical string, scaffold string")
+    assert splits.group_split(rows, "cliff_id", "toxic_smiles", prof).count() == 0
+    assert splits.straddling(rows, "cliff_id", "toxic_smiles", prof).count() == 0
+    lone = spark.createDataFrame([(1, "C", "train"), (2, "C", "test")], rows.schema)
+    assert {r[0] for r in splits.straddling(lone, "cliff_id", "toxic_smiles", prof).collect()} == {1, 2}
