@@ -324,7 +324,8 @@ def overlaps(df: DataFrame, row_id: str, first: str, second: str, in_a: Column,
     rows = rows.where("t1 <> '' AND t2 <> '' AND (in_a OR in_b)").withColumn("k1", _key("t1")).withColumn("k2", _key("t2"))
     texts = _distinct_texts(rows, "k1", "t1")
     near = materialize(_with_same(similar_texts(texts, edits), texts), "near")
-    held = rows.groupBy("k1", "k2").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.first(F.length("t2")).alias("l2"))
+    slim = materialize(rows.select("row_id", "k1", "k2", F.length("t2").alias("l2"), "in_a", "in_b"), "rows")  # texts stay behind
+    held = slim.groupBy("k1", "k2").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.first("l2").alias("l2"))
     held = materialize(held, "pairs")
     a = held.where("in_a").select(F.col("k1").alias("key_a"), F.col("k2").alias("k2_a"), F.col("l2").alias("l2_a"))
     b = held.where("in_b").select(F.col("k1").alias("key_b"), F.col("k2").alias("k2_b"), F.col("l2").alias("l2_b"))
@@ -344,6 +345,6 @@ def overlaps(df: DataFrame, row_id: str, first: str, second: str, in_a: Column,
         near2 = _with_same(similar_texts(hot, edits), hot).select(F.col("key_a").alias("k2_a"), F.col("key_b").alias("k2_b"), F.col("edits").alias("edits_2"))
         more = many.join(a, "key_a").join(near2, "k2_a").join(b.drop("l2_b"), ["key_b", "k2_b"])
         found = found.unionByName(more.select("key_a", "key_b", "k2_a", "k2_b", F.col("edits").alias("edits_1"), "cosine", "edits_2"))
-    ra = rows.where("in_a").select(F.col("k1").alias("key_a"), F.col("k2").alias("k2_a"), F.col("row_id").alias("id_a"))
-    rb = rows.where("in_b").select(F.col("k1").alias("key_b"), F.col("k2").alias("k2_b"), F.col("row_id").alias("id_b"))
+    ra = slim.where("in_a").select(F.col("k1").alias("key_a"), F.col("k2").alias("k2_a"), F.col("row_id").alias("id_a"))
+    rb = slim.where("in_b").select(F.col("k1").alias("key_b"), F.col("k2").alias("k2_b"), F.col("row_id").alias("id_b"))
     return found.join(ra, ["key_a", "k2_a"]).join(rb, ["key_b", "k2_b"]).where("id_a <> id_b").select("id_a", "id_b", "edits_1", "edits_2", "cosine")
