@@ -1,8 +1,11 @@
 """Evaluation texts leaking into training text (problem 6).
 
-Item-sized windows of both sides get 64-bit SimHash fingerprints.  Four 16-bit blocks index the items' fingerprints: two
-fingerprints that differ in at most three bits agree in one block at least, so no pair within that radius is missed.
-Candidates are then judged on the words themselves.
+Item-sized windows of both sides are compared by their weighted shingles.  The shingles of the items' windows are indexed;
+a document window looks up its rarest shingles, as many as could not all be missing from a window that is similar enough,
+so no such pair is missed.  Candidates are then judged on the words themselves.
+
+64-bit SimHash fingerprints with four 16-bit blocks (``fingerprints``, ``within_radius``) find what lies within three bits.
+Similarity 0.8 is about seven bits apart, so they do not choose the candidates.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ SIMILAR = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
 #: About as many windows of items are searched for in one pass over the documents.
 PASS_WINDOWS = 400_000
-#: Words fingerprinted at once, which bounds the memory of a task whatever the length of a text.
+#: About as many candidates are made at once, unless one document window has more.
+CANDIDATES = 500_000
+#: A table of so many bits of a shingle's hash tells most shingles that no item has.
+MAYBE_BITS = 20
+#: Words looked up at once, which bounds the memory of a task whatever the length of a text.
 STRIDE = 60_000
 
 
@@ -78,20 +85,46 @@ def fingerprints(signed: np.ndarray, codes: np.ndarray, window: int) -> np.ndarr
 
 @dataclass
 class Items:
-    """The item windows of one pass: fingerprints without repeats, their block index, and the places they come from."""
+    """The item windows of one pass: windows without repeats, a place and the items of each, the windows of each shingle, and
+    fingerprints with their block index."""
 
     ids: np.ndarray
-    owner: np.ndarray
-    start: np.ndarray
     hashes: np.ndarray
     weights: np.ndarray
-    prints: np.ndarray
+    place: np.ndarray
     first: np.ndarray
-    places: np.ndarray
+    owners: np.ndarray
+    grams: np.ndarray
+    maybe: np.ndarray
+    gram_first: np.ndarray
+    gram_windows: np.ndarray
+    heaviest: int
+    prints: np.ndarray
     index: list[tuple[np.ndarray, np.ndarray]]
 
 
-def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int) -> Items:
+def spans_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` words in a stream."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
+    return out
+
+
+def sums_of(values: np.ndarray, k: int) -> np.ndarray:
+    """The sum of every run of ``k`` values in a stream."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[k:] - total[: max(0, len(total) - k)]
+
+
+def _lists(keys: np.ndarray, values: np.ndarray, n_keys: int, n_values: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each key, one key after the other, and where each key begins."""
+    both = np.unique(keys * np.int64(max(1, n_values)) + values)
+    return np.concatenate([[0], np.cumsum(np.bincount(both // max(1, n_values), minlength=n_keys))]).astype(np.int64), both % max(1, n_values)
+
+
+def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int, shingle: int = SHINGLE) -> Items:
     ids, lens, words = [], [], []
     for key, text in rows:
         ids.append(key)
@@ -105,14 +138,21 @@ def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int) -> I
     prints = fingerprints(signed_bits(hashes, weights), codes, window)
     hashes, weights = hashes[codes], weights[codes]
     start = np.nonzero(owners[: len(prints)] == owners[window - 1 :])[0] if len(prints) else np.zeros(0, np.int64)
-    uniq, inv = np.unique(prints[start], return_inverse=True)
-    places = np.argsort(inv, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(inv, minlength=len(uniq)))]).astype(np.int64)
-    index = []
+    keys, at, inv = np.unique(spans_of(hashes, window)[start], return_index=True, return_inverse=True)
+    place = start[at]
+    first, owners = _lists(inv.astype(np.int64), owners[start], len(keys), len(ids))
+    k = min(shingle, window)
+    inside = place[:, None] + np.arange(window - k + 1)
+    grams, which = np.unique(spans_of(hashes, k)[inside], return_inverse=True)
+    gram_first, gram_windows = _lists(which.ravel().astype(np.int64), np.repeat(np.arange(len(keys)), window - k + 1), len(grams), len(keys))
+    maybe = np.zeros(1 << MAYBE_BITS, bool)
+    maybe[(grams & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+    heaviest = int(sums_of(weights, k)[inside].sum(axis=1).max(initial=0))
+    uniq, index = np.unique(prints[start]), []
     for b in range(BLOCKS):
         part = ((uniq >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
         index.append((np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << BLOCK_BITS))]).astype(np.int64)))
-    return Items(np.array(ids, np.int64), owners, start, hashes, weights, uniq, first, places, index)
+    return Items(np.array(ids, np.int64), hashes, weights, place, first, owners, grams, maybe, gram_first, gram_windows, heaviest, uniq, index)
 
 
 def _expand(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +176,41 @@ def within_radius(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both // m, both % m
 
 
+def candidates(items: Items, hashes: np.ndarray, weights: np.ndarray, start: np.ndarray, window: int, shingle: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document windows (places in ``start``) and item windows, with every pair of similarity ``least`` or more among them.
+
+    With weights A and B of all shingles of two windows, and a and b of those that the other lacks, the similarity is
+    (A + B - a - b) / (A + B + a + b), so it reaches ``least`` only if a <= (A + B) (1 - least) / (1 + least).  Shingles of the document window
+    are taken from the rarest on until their weight is over that for the heaviest B: a similar window has one of them.
+    """
+    k = min(shingle, window)
+    spans, mass = spans_of(hashes, k), sums_of(weights, k)
+    seen = np.nonzero(items.maybe[(spans & np.uint64(len(items.maybe) - 1)).astype(np.int64)])[0]
+    at = np.minimum(np.searchsorted(items.grams, spans[seen]), max(0, len(items.grams) - 1))
+    real = items.grams[at] == spans[seen] if len(items.grams) else np.zeros(len(seen), bool)
+    seen, at = seen[real], at[real]
+    gram, count = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64)
+    gram[seen], count[seen] = at, items.gram_first[at + 1] - items.gram_first[at]
+    run = window - k + 1
+    spare = (sums_of(mass, run)[start] + items.heaviest) * (1 - least) / (1 + least) + 1e-6
+    open_ = sums_of(np.where(count > 0, 0, mass), run)[start] <= spare
+    start, spare = start[open_], spare[open_]
+    inside = start[:, None] + np.arange(run)
+    inside = np.take_along_axis(inside, np.argsort(count[inside], axis=1, kind="stable"), axis=1)
+    before = np.cumsum(mass[inside], axis=1) - mass[inside]
+    needed = (before <= spare[:, None]) & (count[inside] > 0)
+    group = np.cumsum((count[inside] * needed).sum(axis=1)) // CANDIDATES
+    cuts = [0, *(np.nonzero(np.diff(group))[0] + 1), len(start)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        row, col = np.nonzero(needed[lo:hi])
+        g = gram[inside[lo + row, col]]
+        which, place = _expand(items.gram_first[g], items.gram_first[g + 1] - items.gram_first[g])
+        both = np.unique(row[which] * np.int64(max(1, len(items.place))) + items.gram_windows[place])
+        for cut in range(0, len(both), STRIDE):
+            part = both[cut : cut + STRIDE]
+            yield start[lo + part // len(items.place)], part % len(items.place)
+
+
 def judge(items: Items, hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, place: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact weighted-shingle similarity of document windows and item windows, and whether their words are the same."""
     grid = np.arange(window)
@@ -174,23 +249,21 @@ def search(items: Items, weight: dict[str, int], window: int, shingle: int, leas
                 codes = flat.indices.to_numpy()
                 hashes = np.fromiter((known[w][0] for w in vocab), np.uint64, len(vocab))
                 weights = np.fromiter((known[w][1] for w in vocab), np.int64, len(vocab))
-                signed = signed_bits(hashes, weights)
                 hashes, weights = hashes[codes], weights[codes]
                 lens = np.diff(words.offsets.to_numpy())
                 row = np.repeat(np.arange(len(lens)), lens)
                 for at in range(0, max(1, len(hashes) - window + 1), STRIDE):
                     h, w, r = hashes[at : at + STRIDE + window - 1], weights[at : at + STRIDE + window - 1], row[at : at + STRIDE + window - 1]
-                    prints = fingerprints(signed, codes[at : at + STRIDE + window - 1], window)
-                    if not len(prints):
+                    n = len(h) - window + 1
+                    if n < 1:
                         continue
-                    start = np.nonzero(r[: len(prints)] == r[window - 1 :])[0]
-                    which, other = within_radius(items, prints[start])
-                    which, place = _expand_places(items, which, other)
-                    for cut in range(0, len(which), STRIDE):
-                        i, p = start[which[cut : cut + STRIDE]], items.start[place[cut : cut + STRIDE]]
-                        sim, same = judge(items, h, w, i, p, window, shingle)
-                        hit = sim >= least
-                        code, at_pair = np.unique(r[i[hit]] * len(items.ids) + items.owner[p[hit]], return_inverse=True)
+                    start = np.nonzero(r[:n] == r[window - 1 :])[0]
+                    for i, win in candidates(items, h, w, start, window, shingle, least):
+                        sim, same = judge(items, h, w, i, items.place[win], window, shingle)
+                        hit = np.nonzero(sim >= least)[0]
+                        k, own = _expand(items.first[win[hit]], items.first[win[hit] + 1] - items.first[win[hit]])
+                        hit = hit[k]
+                        code, at_pair = np.unique(r[i[hit]] * len(items.ids) + items.owners[own], return_inverse=True)
                         best, full = np.zeros(len(code)), np.zeros(len(code), bool)
                         np.maximum.at(best, at_pair, sim[hit])
                         np.logical_or.at(full, at_pair, same[hit])
@@ -216,18 +289,12 @@ def _groups(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, pa.Arra
             yield int(a), texts.slice(a, b - a)
 
 
-def _expand_places(items: Items, which: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, at = _expand(items.first[other], items.first[other + 1] - items.first[other])
-    return which[k], items.places[at]
-
-
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, question: str, lookalikes: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``doc_id``, ``item_id``, ``similarity`` (of the most similar windows) and ``exact`` (``window`` words in the same
     unbroken order in common) of every document and item with windows of weighted-shingle similarity ``similar`` or
-    more among those whose fingerprints are at most three bits apart.
+    more.  All of them are found.
 
-    Windows with the same words have the same fingerprint, so ``exact`` is complete.  Documents are never shuffled: items go
-    through them in passes of bounded size.  Texts shorter than a window take no part; an empty side gives an empty result; an item or document that holds a passage twice comes out once.
+    Documents are never shuffled: items go through them in passes of bounded size.  Texts shorter than a window take no part; an empty side gives an empty result; an item or document that holds a passage twice comes out once.
     """
     spark = docs.sparkSession
     known = materialize(words_of(docs, doc_id, text, lookalikes).select(F.col(doc_id).cast("bigint").alias("doc_id"), "words"), "words")
@@ -244,5 +311,5 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         part = numbered.where(F.col("pass") == p)
         rows = [(r["item_id"], r["words"]) for r in part.select("item_id", "words").orderBy("item_id").collect()]
         weight = {r["word"]: r["weight"] for r in weights.join(part.select(F.explode(F.split("words", " ")).alias("word")).distinct(), "word").collect()}
-        out = out.unionByName(known.mapInArrow(search(build(rows, weight, window), weight, window, shingle, similar), schema))
+        out = out.unionByName(known.mapInArrow(search(build(rows, weight, window, shingle), weight, window, shingle, similar), schema))
     return out

@@ -138,6 +138,41 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), "doc_id", "text", q, "item_id", "question", looks_df(spark)).count() == 0
 
 
+def test_no_similar_windows_are_missed():
+    """Every pair of similarity 0.8 or more, with its best similarity, against brute force over all windows."""
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)]
+    weight = {w: rnd.randrange(1, 9) for w in vocab}
+    items = [(i, rnd.choices(vocab, k=rnd.choice([12, 14, 20]))) for i in range(40)] + [(40, ["w1"] * 15), (41, ["w1"] * 5 + vocab[2:12]), (42, ["w1", "w2"] * 8)]
+    docs = []
+    for i in range(200):
+        words = rnd.choices(vocab, k=rnd.randrange(20))
+        src = list(rnd.choice(items)[1])
+        for _ in range(rnd.randrange(3)):
+            src[rnd.choice([0, 1, -1, -2, rnd.randrange(12)])] = rnd.choice(["new", *vocab])
+        words[5:5] = src[rnd.randrange(2) :]
+        docs.append((i, words))
+
+    def windows(words):
+        return [words[i : i + 12] for i in range(len(words) - 11)]
+
+    def similarity(a, b):
+        a, b = [[tuple(x[i : i + 5]) for i in range(8)] for x in (a, b)]
+        mass = lambda shingles: sum(weight.get(w, 8) for s in shingles for w in s)
+        shared = (mass([s for s in a if s in b]) + mass([s for s in b if s in a])) / 2
+        return shared / (mass(a) + mass(b) - shared)
+
+    want = {(i, j): max((similarity(x, y) for x in windows(a) for y in windows(b)), default=0) for i, a in docs for j, b in items}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    found = leaks.build([(i, " ".join(w)) for i, w in items], weight, 12)
+    batch = pa.record_batch({"doc_id": [i for i, _ in docs], "words": [" ".join(w) for _, w in docs]})
+    out = [r for b in leaks.search(found, weight, 12, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in out} == pytest.approx(want) and len(out) == len(want)
+    assert sum(not r["exact"] for r in out) > 5
+
+
 def test_all_fingerprints_within_the_radius():
     import numpy as np
 
