@@ -29,9 +29,17 @@ def _cells(df: DataFrame) -> list:
     return [cell_fragments(F.col("only_toxic_safe_fragments")), cell_fragments(F.col("only_nontoxic_safe_fragments"))]
 
 
-def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+def _ngrams(spark: SparkSession, d: str, max_n: int | None) -> DataFrame:
     rows = table(spark, d, "toxicitycliff")
-    return terms.with_mark(terms.ngram_counts(rows, _cells(rows)), rows.count()).select(F.array_join("ngram", ".").alias("ngram"), "n", "occurrences", "n_records", "mark")
+    return terms.with_mark(terms.ngram_counts(rows, _cells(rows), max_n), rows.count()).select(F.array_join("ngram", ".").alias("ngram"), "n", "occurrences", "n_records", "mark")
+
+
+def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return _ngrams(spark, d, terms.MAX_N)
+
+
+def p3_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return _ngrams(spark, d, None)
 
 
 def p3_fragments(spark: SparkSession, d: str) -> DataFrame:
@@ -107,4 +115,4 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.with_form(docs, text, looks, [key])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_totals, p3_found, p3_fragments, p3_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_totals, p3_found, p3_fragments, p3_ngrams, p3_all_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}

@@ -23,11 +23,11 @@ RARE_RECORDS, COMMON_PERCENT = 3, 2
 _OUT = "ngram array<string>, n int, occurrences bigint"
 
 
-def _suffixes(tokens: Column, max_n: int) -> Column:
-    return F.transform(tokens, lambda _, i: F.slice(tokens, i + 1, max_n))
+def _suffixes(tokens: Column, max_n: int | None) -> Column:
+    return F.transform(tokens, lambda _, i: F.slice(tokens, i + 1, F.size(tokens) if max_n is None else max_n))
 
 
-def intervals(max_n: int):
+def intervals(max_n: int | None):
     """Partition function over sorted, distinct suffixes with weights: one row per n-gram and run of suffixes that begin
     with it.  A run may go on in the next batch or partition; the parts are summed afterwards."""
 
@@ -41,26 +41,26 @@ def intervals(max_n: int):
             lcp = np.zeros(len(lens), np.int64)
             alive = np.ones(len(lens), bool)
             alive[:1] = False
-            for k in range(max_n):
+            most = int(lens.max(initial=0)) if max_n is None else max_n
+            for k in range(most):
                 rows = np.nonzero(alive)[0]
+                if not len(rows):
+                    break
                 rows = rows[(lens[rows] > k) & (lens[rows - 1] > k)]
                 rows = rows[codes[first[rows] + k] == codes[first[rows - 1] + k]]
                 lcp[rows] += 1
                 alive[:] = False
                 alive[rows] = True
-            grams, ns, sums = [], [], []
-            for n in range(1, max_n + 1):
+            for n in range(1, most + 1):
                 long = np.nonzero(lens >= n)[0]
                 if not len(long):
                     continue
                 # Suffixes too short for n break no interval: they sort before all that extend them.
                 opens = lcp[long] < n
                 begin = np.nonzero(opens)[0]
-                sums.append(np.add.reduceat(weight[long], begin))
-                grams.append(pc.list_slice(suffix.take(pa.array(long[begin])), 0, n, return_fixed_size_list=False))
-                ns.append(np.full(len(begin), n, np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(grams), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sums))], names=["ngram", "n", "occurrences"])
+                sums = np.add.reduceat(weight[long], begin)
+                grams = pc.list_slice(suffix.take(pa.array(long[begin])), 0, n, return_fixed_size_list=False)
+                yield pa.RecordBatch.from_arrays([grams, pa.array(np.full(len(begin), n, np.int32)), pa.array(sums)], names=["ngram", "n", "occurrences"])
 
     return run
 
@@ -76,8 +76,21 @@ def _repeats(cells: list[Column], max_n: int) -> Column:
     return F.concat(*[repeated(n) for n in range(1, max_n + 1)])
 
 
-def ngram_counts(df: DataFrame, cells: list[Column], max_n: int = MAX_N) -> DataFrame:
-    """``ngram``, ``n``, ``occurrences``, ``n_records`` of every run of up to ``max_n`` tokens inside a cell.
+def _all_repeats(several: DataFrame, cells: list[Column]) -> DataFrame:
+    """The same for n-grams of every length: all that the common prefix of an adjacency begins with."""
+    ordered = several.select(F.array_sort(reduce(F.concat, [_suffixes(c, None) for c in cells])).alias("order"))
+
+    def common(a: Column, b: Column) -> Column:
+        other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        return F.slice(b, 1, F.when(other > 0, other - 1).otherwise(F.size(b)).cast("int"))
+
+    heads = ordered.select(F.explode(F.transform("order", lambda s, i: F.when(i > 0, common(F.get("order", i - 1), s)))).alias("head")).where(F.size("head") > 0)
+    return heads.select("head", F.explode(F.sequence(F.lit(1), F.size("head"))).alias("n")).select(F.slice("head", 1, F.col("n")).alias("ngram"))
+
+
+def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = MAX_N) -> DataFrame:
+    """``ngram``, ``n``, ``occurrences``, ``n_records`` of every run of up to ``max_n`` tokens inside a cell; of every run
+    whatever its length if that is None.
 
     ``cells`` are token arrays of one record each; n-grams do not cross cells, and a record holds an n-gram if any of
     its cells does.  Equal suffixes are combined before the shuffle that sorts them, so a token that makes up a third
@@ -90,7 +103,8 @@ def ngram_counts(df: DataFrame, cells: list[Column], max_n: int = MAX_N) -> Data
     ordered = suffix.repartitionByRange("suffix").sortWithinPartitions("suffix")
     occurrences = ordered.mapInArrow(intervals(max_n), _OUT).withColumn("repeats", F.lit(0).cast("bigint"))
     several = named.where(sum((F.size(c) for c in cols), F.lit(0)) > 1)
-    again = several.select(F.explode(_repeats(cols, max_n)).alias("ngram")).select("ngram", F.size("ngram").alias("n"), F.lit(0).cast("bigint").alias("occurrences"), F.lit(1).cast("bigint").alias("repeats"))
+    twice = _all_repeats(several, cols) if max_n is None else several.select(F.explode(_repeats(cols, max_n)).alias("ngram"))
+    again = twice.select("ngram", F.size("ngram").alias("n"), F.lit(0).cast("bigint").alias("occurrences"), F.lit(1).cast("bigint").alias("repeats"))
     both = occurrences.unionByName(again).groupBy("ngram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("repeats").alias("repeats"))
     return both.select("ngram", "n", "occurrences", (F.col("occurrences") - F.col("repeats")).alias("n_records"))
 

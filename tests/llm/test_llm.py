@@ -209,6 +209,21 @@ def test_ngrams(spark):
     assert len(got) == len(want) and terms.ngram_counts(df.limit(0), [F.col("x")]).count() == 0
 
 
+def test_ngrams_of_every_length(spark):
+    rnd = random.Random(12)
+    rows = [([rnd.choice("ab") for _ in range(rnd.randrange(12))] or None, [rnd.choice("ab")] * rnd.randrange(8)) for _ in range(120)] + [(None, None), (["a"] * 60, []), (["a", "b"] * 9, ["b", "a"] * 9)]
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>").repartition(5)
+    want = {}
+    for i, cells in enumerate(rows):
+        for cell in cells:
+            for n in range(1, len(cell or []) + 1):
+                for at in range(len(cell) - n + 1):
+                    want.setdefault(tuple(cell[at : at + n]), []).append(i)
+    got = terms.ngram_counts(df, [F.col("x"), F.col("y")], None).collect()
+    assert {tuple(r["ngram"]): (r["n"], r["occurrences"], r["n_records"]) for r in got} == {g: (len(g), len(v), len(set(v))) for g, v in want.items()}
+    assert len(got) == len(want) and max(map(len, want)) == 60 and terms.ngram_counts(df.limit(0), [F.col("x")], None).count() == 0
+
+
 def test_marks(spark):
     df = spark.createDataFrame([(["x"], 1, 1, 2), (["y"], 1, 3, 3), (["z"], 1, 9, 2)], "ngram array<string>, n int, occurrences int, n_records int")
     assert [r["mark"] for r in terms.with_mark(df, 100).orderBy("ngram").collect()] == ["rare", "common", "rare"]
