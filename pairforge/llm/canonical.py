@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +66,7 @@ class Former:
                 continue  # composition treats it like its decomposition
             (gone if not t else single if len(t) == 1 else several).append((c, t))
         moved = {c for c, _ in single + gone + several}
-        if any(x in moved for _, t in single + several for x in t):
+        if any(x in moved or x == "\0" for _, t in single + several for x in t):
             return None
         quote = lambda s: "'" + s.replace("'", "''") + "'"
         out = "text"
@@ -81,12 +82,16 @@ class Former:
         rest = "SELECT DISTINCT unnest(string_split(regexp_replace(text, '[ -~]+', '', 'g'), '')) AS c FROM t"
         chars = {r[0] for r in self.con.execute(f"SELECT c FROM ({rest}) WHERE c <> ''").fetchall()}
         # A letter and the marks after it can count as one character there.
-        chars = {x for c in chars for x in c} | self.ascii
-        expr = None if self.plain else self.sql(sorted(chars))
+        chars = {x for c in chars for x in c}
+        # nfc_normalize ends a text that is not ASCII at its first U+0000: such texts take the plain path.
+        cut = pc.fill_null(pc.match_substring(t["text"], "\0"), False).to_pylist() if "\0" in chars else []
+        expr = None if self.plain else self.sql(sorted((chars | self.ascii) - {"\0"}))
         if expr is None:
             out = pa.array([form_of(x, self.looks) for x in t["text"].to_pylist()], pa.string())
         else:
             out = self.con.execute(f"SELECT {expr} AS form FROM t").to_arrow_table()["form"].combine_chunks()
+            if cut:
+                out = pc.replace_with_mask(out.cast(pa.string()), pa.array(cut), pa.array([form_of(x, self.looks) for x, c in zip(t["text"].to_pylist(), cut) if c], pa.string()))
         self.con.unregister("t")
         return out.cast(pa.string())
 

@@ -52,6 +52,15 @@ def test_chained_lookalikes_and_marks_take_the_plain_path():
         assert canonical.Former(looks)(pa.array(["аб ẹ́"])).to_pylist() == [canonical.form_of("аб ẹ́", looks)]
 
 
+def test_texts_with_nul_are_whole():
+    import pyarrow as pa
+
+    texts = ["é\0tail one", "é\0tail two", "plаin \0 ﬁne", "é  no nul", None, "\0", "е\0é\0\0  x"]
+    for looks in (LOOKS, {**LOOKS, "\0": "0"}, {**LOOKS, "ж": "\0"}):
+        for part in (texts, [*texts, "ж é tail"]):
+            assert canonical.Former(looks)(pa.array(part)).to_pylist() == [canonical.form_of(t, looks) for t in part]
+
+
 def test_lookalike_pairs_and_classes(spark, monkeypatch):
     monkeypatch.setattr(canonical, "PER_SALT", 2)
     docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
