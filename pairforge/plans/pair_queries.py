@@ -153,8 +153,7 @@ def regex_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "toxicitycliff").select("cliff_id", F.coalesce("split", F.lit("none")).alias("split"), strip(F.coalesce("only_toxic_safe_fragments", F.lit(""))).alias("gold"), strip(F.coalesce("only_nontoxic_safe_fragments", F.lit(""))).alias("pred"))
-    return rows.where(F.col("gold").rlike(r"^[ -~]*$") & F.col("pred").rlike(r"^[ -~]*$"))
+    return table(spark, d, "toxicitycliff").select("cliff_id", F.coalesce("split", F.lit("none")).alias("split"), strip(F.coalesce("only_toxic_safe_fragments", F.lit(""))).alias("gold"), strip(F.coalesce("only_nontoxic_safe_fragments", F.lit(""))).alias("pred"))
 
 
 def fragment_scores(spark: SparkSession, d: str) -> DataFrame:

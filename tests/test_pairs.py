@@ -50,6 +50,36 @@ def test_scores(spark):
         assert row == pytest.approx(tuple(want)), (row, want)
 
 
+def test_score_queries_keep_every_row(spark, tmp_path):
+    from pairforge.plans import pair_queries
+
+    cells = [("C.é", "C.e"), ("naïve😀", "naive😀.C"), ("C\tN", "CN"), ("C.N", "C.N"), (None, "ß"), ("a\u0301", "á"), ("é.é", "é")]
+    rows = [(i, "test", a, b) for i, (a, b) in enumerate(cells)]
+    spark.createDataFrame(rows, "cliff_id bigint, split string, only_toxic_safe_fragments string, only_nontoxic_safe_fragments string").write.parquet(f"{tmp_path}/toxicitycliff.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def scores(gold, pred):
+        g, p = [[t for t in (x or "").split(".") if t] for x in (gold, pred)]
+        lev = sum(min(distance(x, y) for y in g) for x in p) / len(p) if g and p else distance(gold or "", pred or "")
+        bleu = sum(min(pred.count(c), gold.count(c)) for c in set(pred)) / len(pred) if gold and pred else 0.0
+        both = len(set(g) & set(p))
+        return (float(bool(gold) and sorted(g) == sorted(p)), 2 * both / (len(set(g)) + len(set(p))), bleu, lev)
+
+    want = {i: scores(a, b) for i, (a, b) in enumerate(cells)}
+    got = {r["cliff_id"]: (r["em"], r["f1"], r["bleu"], r["lev"]) for r in pair_queries.fragment_scores(spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(v) for i, v in want.items()}
+    assert sum(r["total"] for r in pair_queries.summary(spark, str(tmp_path)).collect()) == len(cells)
+    assert max(r["total"] for r in pair_queries.summary_rollup(spark, str(tmp_path)).collect()) == len(cells)
+
+
 def test_property_scores(spark):
     x = F.col("x")
     got = values(spark, [(0.0,), (0.5,)], "x double", *[scoring.from_difference(x, m) for m in ("exponential", "linear", "reciprocal")])
