@@ -44,12 +44,22 @@ def words_of(df: DataFrame, key: str, text: str, lookalikes: DataFrame) -> DataF
     return form.select(F.col(key), F.trim(F.regexp_replace(F.lower("form"), "[^a-z0-9]+", " ")).alias("words")).where("words <> ''")
 
 
-def word_weights(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``word``, ``weight`` of every word of the items: 1 to 8 by the share of all documents that hold it."""
-    n = F.lit(max(1, docs.count()))
+def rarest_weight(n_docs: int) -> int:
+    """The weight of a word that one document holds, or none."""
+    return min(8, 1 + (max(1, n_docs).bit_length() - 1) // 2)
+
+
+def word_weights(docs: DataFrame, n_docs: int) -> DataFrame:
+    """``word``, ``weight`` of the words of the documents that weigh less than the rarest: 1 to 7 by the share of all documents
+    that hold it.  All words of items and documents not among them have the rarest weight.
+
+    A word weighs less than 8 only if more than one document in 16,384 holds it, so these are at most 16,384 times as
+    many as the words of a mean document, however many documents there are.
+    """
     df = docs.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    vocab = items.select(F.explode(F.split("words", " ")).alias("word")).distinct()
-    return vocab.join(df, "word", "left").select("word", F.least(F.lit(8), 1 + F.floor(F.log2(n / F.coalesce(F.greatest("df", F.lit(1)), F.lit(1))) / 2)).cast("int").alias("weight"))
+    # Powers of four in integers, so that no logarithm rounds.
+    weight = sum((F.when(F.col("df") * 4**k <= n_docs, 1).otherwise(0) for k in range(1, 8)), F.lit(1))
+    return df.select("word", weight.cast("int").alias("weight")).where(F.col("weight") < rarest_weight(n_docs))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -124,7 +134,7 @@ def _lists(keys: np.ndarray, values: np.ndarray, n_keys: int, n_values: int) ->
     return np.concatenate([[0], np.cumsum(np.bincount(both // max(1, n_values), minlength=n_keys))]).astype(np.int64), both % max(1, n_values)
 
 
-def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int, shingle: int = SHINGLE) -> Items:
+def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int, shingle: int = SHINGLE, rarest: int = 8) -> Items:
     ids, lens, words = [], [], []
     for key, text in rows:
         ids.append(key)
@@ -133,7 +143,7 @@ def build(rows: list[tuple[int, str]], weight: dict[str, int], window: int, shin
         words += ws
     vocab = {w: i for i, w in enumerate(dict.fromkeys(words))}
     codes = np.fromiter((vocab[w] for w in words), np.int64, len(words))
-    hashes, weights = word_hashes(list(vocab)), np.fromiter((weight.get(w, 8) for w in vocab), np.int64, len(vocab))
+    hashes, weights = word_hashes(list(vocab)), np.fromiter((weight.get(w, rarest) for w in vocab), np.int64, len(vocab))
     owners = np.repeat(np.arange(len(ids)), lens)
     prints = fingerprints(signed_bits(hashes, weights), codes, window)
     hashes, weights = hashes[codes], weights[codes]
@@ -229,7 +239,7 @@ def judge(items: Items, hashes: np.ndarray, weights: np.ndarray, at: np.ndarray,
     return np.where(same, 1.0, shared / np.maximum(total, 1)), same
 
 
-def search(items: Items, weight: dict[str, int], window: int, shingle: int, least: float):
+def search(items: Items, weight: dict[str, int], window: int, shingle: int, least: float, rarest: int = 8):
     """The partition function: Arrow batches of (key, words) to (key, item, similarity, exact)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +255,7 @@ def search(items: Items, weight: dict[str, int], window: int, shingle: int, leas
                 if len(known) > 500_000:
                     known.clear()
                     fresh = vocab
-                known.update((w, (int(h), weight.get(w, 8))) for w, h in zip(fresh, word_hashes(fresh)))
+                known.update((w, (int(h), weight.get(w, rarest))) for w, h in zip(fresh, word_hashes(fresh)))
                 codes = flat.indices.to_numpy()
                 hashes = np.fromiter((known[w][0] for w in vocab), np.uint64, len(vocab))
                 weights = np.fromiter((known[w][1] for w in vocab), np.int64, len(vocab))
@@ -306,10 +316,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         return out
     n_passes = -(-2 * total // PASS_WINDOWS) if total > PASS_WINDOWS else 1
     numbered = asked.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(n_passes)))
-    weights = materialize(word_weights(known, asked), "weights")
+    n_docs = known.count()
+    rarest, weight = rarest_weight(n_docs), {r["word"]: r["weight"] for r in word_weights(known, n_docs).collect()}
     for p in range(n_passes):
         part = numbered.where(F.col("pass") == p)
         rows = [(r["item_id"], r["words"]) for r in part.select("item_id", "words").orderBy("item_id").collect()]
-        weight = {r["word"]: r["weight"] for r in weights.join(part.select(F.explode(F.split("words", " ")).alias("word")).distinct(), "word").collect()}
-        out = out.unionByName(known.mapInArrow(search(build(rows, weight, window, shingle), weight, window, shingle, similar), schema))
+        out = out.unionByName(known.mapInArrow(search(build(rows, weight, window, shingle, rarest), weight, window, shingle, similar, rarest), schema))
     return out

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force on small fixtures, with nulls, ties, empty and long texts."""
 
 import itertools
+import math
 import random
 import re
 import unicodedata
@@ -182,6 +183,32 @@ def test_no_similar_windows_are_missed():
     assert sum(not r["exact"] for r in out) > 5
 
 
+def test_similarity_depends_neither_on_passes_nor_on_which_words_items_have(spark, monkeypatch):
+    rnd = random.Random(13)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choices(vocab, k=14))) for i in range(30)]
+    docs = [(i, " ".join(["common", *rnd.choice(items)[1].split()[rnd.randrange(3) :][:11], rnd.choice(["common", "rare", "w1"]), *rnd.choices(vocab, k=9)])) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(items, "item_id bigint, question string")
+    held = [set(t.split()) for _, t in docs]
+    weight = {w: min(8, 1 + int(math.log2(len(docs) / max(1, sum(w in x for x in held))) / 2)) for w in [*vocab, "common", "rare"]}
+
+    def similarity(a, b):
+        a, b = [[tuple(x[i : i + 5]) for i in range(8)] for x in (a, b)]
+        mass = lambda shingles: sum(weight[w] for s in shingles for w in s)
+        shared = (mass([s for s in a if s in b]) + mass([s for s in b if s in a])) / 2
+        return shared / (mass(a) + mass(b) - shared)
+
+    windows = lambda t: [t.split()[i : i + 12] for i in range(len(t.split()) - 11)]
+    want = {(i, j): max(similarity(x, y) for x in windows(a) for y in windows(b)) for i, a in docs for j, b in items if set(a.split()) & set(b.split())}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    for most in (leaks.PASS_WINDOWS, 100):
+        monkeypatch.setattr(leaks, "PASS_WINDOWS", most)
+        got = leaks.leaks(d, "doc_id", "text", q, "item_id", "question", looks_df(spark)).collect()
+        assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert any(v < 1 for v in want.values())
+
+
 def test_all_fingerprints_within_the_radius():
     import numpy as np
 
