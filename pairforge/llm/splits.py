@@ -19,7 +19,7 @@ from pairforge.storage import materialize, release
 PROPORTIONS = {"test": 0.1, "valid": 0.1, "train": 0.8}
 #: Components per bucket when they are numbered inside their size.
 BUCKET = 50_000
-#: The bitset without any components set beforehand is used up to this many bits.
+#: Up to this many bits, a miss leads to the bitset without any components set beforehand at once; above, step by step.
 FULL_BITS = 1 << 24
 
 
@@ -119,21 +119,24 @@ def allot(sizes: Mapping[int, int], proportions: Mapping[str, float]) -> dict[st
     """Components of each size for every split but the last, which gets the rest.
 
     A share of every size is set first, so that each split has small and large components alike; the bitset then
-    settles what is left.  If that misses the target, the bitset decides everything, up to FULL_BITS.
+    settles what is left.  If that misses the target, the bitset decides everything; above FULL_BITS half of what is set
+    is released at a time, until the target is met or nothing is set, so that a miss is the least there can be.
     """
     total = sum(s * m for s, m in sizes.items())
     free, out = dict(sizes), {}
     for name in list(proportions)[:-1]:
         target = round(total * proportions[name])
-        part = {s: int(m * proportions[name]) for s, m in sizes.items()}
-        part = {s: min(k, free[s]) for s, k in part.items()}
-        rest = target - sum(s * k for s, k in part.items())
-        more = closest({s: free[s] - part[s] for s in free if free[s] > part[s]}, max(0, rest))
-        found = {s: part[s] + more.get(s, 0) for s in free}
-        if sum(s * k for s, k in found.items()) != target and target <= FULL_BITS:
-            other = closest({s: m for s, m in free.items() if m}, target)
-            if abs(sum(s * k for s, k in other.items()) - target) < abs(sum(s * k for s, k in found.items()) - target):
-                found = other
+        share = {s: min(int(m * proportions[name]), free[s]) for s, m in sizes.items()}
+        found, miss = {}, None
+        while True:
+            more = closest({s: free[s] - share[s] for s in free if free[s] > share[s]}, max(0, target - sum(s * k for s, k in share.items())))
+            other = {s: share[s] + more.get(s, 0) for s in free}
+            off = abs(sum(s * k for s, k in other.items()) - target)
+            if miss is None or off < miss:
+                found, miss = other, off
+            if not miss or not any(share.values()):
+                break
+            share = {s: k // 2 if target > FULL_BITS else 0 for s, k in share.items()}
         out[name] = {s: k for s, k in found.items() if k}
         free = {s: m - out[name].get(s, 0) for s, m in free.items()}
     return out

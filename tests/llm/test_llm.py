@@ -299,6 +299,21 @@ def test_closest_total(seed):
     assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(t - target) for t in totals)
 
 
+@pytest.mark.parametrize("bits", [0, 1 << 24])
+def test_first_split_is_closest_whatever_its_size(monkeypatch, bits):
+    monkeypatch.setattr(splits, "FULL_BITS", bits)
+    for seed in range(100):
+        rnd = random.Random(seed)
+        sizes = {rnd.randrange(1, 60): rnd.randrange(1, 40) for _ in range(rnd.randrange(1, 5))}
+        totals = {0}
+        for s, m in sizes.items():
+            totals = {t + s * k for t in totals for k in range(m + 1)}
+        target = round(sum(s * m for s, m in sizes.items()) * 0.3)
+        got = splits.allot(sizes, {"test": 0.3, "train": 0.7})["test"]
+        assert all(0 < k <= sizes[s] for s, k in got.items())
+        assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(t - target) for t in totals)
+
+
 def test_group_split(spark):
     rnd = random.Random(7)
     mols = [f"M{i}" for i in range(150)]
