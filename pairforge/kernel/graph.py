@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"(?P<atom>\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops*])|(?P<bond>[-=#:/\\])|(?P<ring>%[0-9][0-9]|[0-9])|(?P<other>[().])")
+_TOKEN = re.compile(r"(?P<atom>\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops*])|(?P<bond>[-=#:/\\])|(?P<ring>%\([0-9]+\)|%[0-9][0-9]|[0-9])|(?P<other>[().])")
 _ELEMENT = re.compile(r"\[[0-9]*(?P<el>\*|[A-Z][a-z]?|[bcnops]|se|as)(?P<chi>@*)(?:H(?P<h>[0-9]*))?")
 
 
@@ -60,16 +60,16 @@ def is_dummy(atom: str) -> bool:
 
 
 def ring_number(text: str) -> int:
-    return int(text.lstrip("%"))
+    return int(text.strip("%()"))
 
 
 def ring_text(n: int) -> str:
-    return str(n) if n < 10 else f"%{n:02d}"
+    return str(n) if n < 10 else f"%{n}" if n < 100 else f"%({n})"
 
 
 def ring_numbers(text: str) -> list[int]:
     """Ring labels in order of appearance, those inside bracket atoms left out."""
-    return [ring_number(x) for x in re.findall(r"%[0-9][0-9]|[0-9]", re.sub(r"\[[^\]]*\]", "", text))]
+    return [ring_number(x) for x in re.findall(r"%\([0-9]+\)|%[0-9][0-9]|[0-9]", re.sub(r"\[[^\]]*\]", "", text))]
 
 
 def parse(text: str) -> Graph:

@@ -109,8 +109,6 @@ class Converter:
         first = 1 + max([0, *G.ring_numbers(".".join(G.write(whole, p, order) for p in parts)), *G.ring_numbers(text)])
         extra: dict[int, list[str]] = {}
         for n, (a, b) in enumerate(sorted(cuts, key=lambda c: sorted((order[c[0]], order[c[1]]))), first):
-            if n > 99:
-                raise EncodeError("more than 99 ring labels")
             s = kinds[a, b] if kinds[a, b] not in ("", "-") else ""
             extra.setdefault(a, []).append(s + G.ring_text(n))
             extra.setdefault(b, []).append(s + G.ring_text(n))

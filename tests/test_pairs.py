@@ -294,6 +294,18 @@ def test_safe_round_trips(slicer):
         assert S.Converter().decode(S.Converter(slicer).encode(m, randomize=True, seed=3), canonical=True) == want
 
 
+def test_more_cuts_than_two_digits(spark):
+    from pairforge.kernel.kernels import GraphKernel
+
+    text = "CO" * 60 + "C"
+    safe = S.smiles_to_safe(text)
+    assert safe.count(".") == 118 and "%(100)" in safe and "%99" in safe and G.ring_numbers("C%(100)C%12C3") == [100, 12, 3]
+    assert S.safe_to_smiles(safe) == G.canonical(G.parse(text))
+    assert S.Converter().decode("C%(123).C%(124).N%(123)", canonical=True) == G.canonical(G.parse("CN.C"))
+    rows = spark.createDataFrame([(text,)], "smiles string")
+    assert GraphKernel().profile(rows).first()["safe"] == safe
+
+
 def test_safe_details():
     c = S.Converter("rotatable")
     assert c.ensure_valid("CC1.C%10") == "CC1.C%10.[*:1]1.[*:10]%10" and G.ring_numbers("C1[13C]%12C1") == [1, 12, 1]
