@@ -36,8 +36,7 @@ def pair(spark: SparkSession, a) -> None:
 
 def split(spark: SparkSession, a) -> None:
     """Pairs to train and test by the scaffold of the toxic molecule."""
-    rows = files.numbered(files.read_csv(spark, a.input, CLIFFS), "row_id")
-    rows = materialize(rows, "rows")
+    rows = files.numbered_csv(spark, a.input, CLIFFS, "row_id")
     profile = kernel(spark, a.profile).profile(distinct_molecules((rows, "toxic_smiles"))).select(F.col("smiles").alias("toxic_smiles"), "scaffold")
     parts = materialize(groupsplit.smallest_first_split(rows.join(profile, "toxic_smiles", "left"), "row_id", F.col("scaffold"), a.test_share), "parts")
     for name in ("train", "test"):

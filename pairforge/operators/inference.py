@@ -67,10 +67,10 @@ class RemoteProvider:
 
 
 def task_of_file(stem: Column) -> Column:
-    """Task of a file name: the longest known part wins; null if none is in it."""
+    """Task of a file name: the longest part known, between underscores or at the start, wins; null if there is none."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for part in sorted(TASKS, key=len, reverse=True):
-        out = out.when(F.contains(stem, F.lit(part)), F.lit(TASKS[part]))
+        out = out.when(F.contains(stem, F.lit(f"_{part}_")) | F.startswith(stem, F.lit(f"{part}_")), F.lit(TASKS[part]))
     return out
 
 

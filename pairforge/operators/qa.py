@@ -118,6 +118,6 @@ def build_qa(df: DataFrame, tasks: list[str] | None = None, **options) -> DataFr
     return reduce(DataFrame.unionByName, [render(rows, t, **options) for t in tasks or TASKS])
 
 
-def qa_path(split: str, task: str, step: str) -> str:
-    """Where a file of records lies below the bundle's folder."""
-    return f"{split}/{split}_{task}_{'single' if step == 'single_step' else 'multi'}.jsonl"
+def qa_file(split: Column, task: Column, step: Column) -> Column:
+    """The name of a file of records, without its ending; it lies in a folder named after the split."""
+    return F.concat_ws("_", split, task, F.when(step == "single_step", "single").otherwise("multi"))

@@ -351,15 +351,20 @@ def test_files(spark, tmp_path):
     rows = spark.range(100).repartition(7).select(F.col("id"), (F.lit(100) - F.col("id")).alias("k"))
     assert {r["k"]: r["row_id"] for r in files.ordered_ids(rows, ["k"]).collect()} == {k: k - 1 for k in range(1, 101)}
     df = descriptions.with_description(qa_rows(spark), descriptions.dimension(spark)).withColumn("split", F.lit("test"))
-    files.write_qa(qa.build_qa(df), str(tmp_path / "qa"))
-    assert spark.read.json(str(tmp_path / "qa")).count() == 15
+    records = qa.build_qa(df)
+    for _ in range(2):  # the second run replaces the first
+        files.write_qa(records, str(tmp_path / "qa"))
+    assert sorted(p.name for p in (tmp_path / "qa").iterdir()) == ["test"] and "test_task1_single.jsonl" in {p.name for p in (tmp_path / "qa" / "test").iterdir()}
+    back = files.read_qa(spark, str(tmp_path / "qa"))
+    named = records.replace(qa.TASKS, subset="task")
+    assert sorted(map(str, back.select(*sorted(back.columns)).collect())) == sorted(map(str, named.select(*sorted(back.columns)).collect())) and back.count() == 15
     folder = tmp_path / "bundle" / "test"
     folder.mkdir(parents=True)
     (folder / "test_task3_cot_safe_gen_multi.jsonl").write_text(json.dumps({"id": 1, "question": "é", "answer": {"answer": "a"}}, ensure_ascii=False) + "\n\n")
     (folder / "other.jsonl").write_text("{}\n")
     assert [(r["split"], r["task"], r["step"], r["question"]) for r in files.read_qa(spark, str(tmp_path / "bundle")).collect()] == [("test", "task3_stepwise_cot_safe_generation", "multi_step", "é")]
     out = spark.createDataFrame([(2, *"abcdefghi"), (1, *"ABCDEFGHI")], ["n", *CLIFF_COLUMNS])
-    files.write_csv(out, str(tmp_path / "out"), order_by="n")
+    files.write_csv(out, str(tmp_path / "out"), order_by="n", one_file=True)
     lines = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()
     assert lines == [",".join(CLIFF_COLUMNS), "A,B,C,D,E,F,G,H,I", "a,b,c,d,e,f,g,h,i"]
     for _ in range(2):
@@ -369,6 +374,34 @@ def test_files(spark, tmp_path):
     assert json.loads(open(paths[0]).read())["total"] == 3
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", ["2", "8", "40"])
+def test_row_numbers_do_not_hang_on_samples(spark, tmp_path, parts, adaptive):
+    from pairforge.sources import files
+
+    setting = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.enabled": adaptive, "spark.sql.execution.rangeExchange.sampleSizePerPartition": "2"}
+    before = {k: spark.conf.get(k) for k in setting}
+    try:
+        for k, v in setting.items():
+            spark.conf.set(k, v)
+        rows = spark.range(5000, numPartitions=7).select(F.xxhash64("id").alias("k"), F.lit(None).cast("string").alias("__x"))
+        want = {k: i for i, k in enumerate(sorted(r["k"] for r in rows.collect()))}
+        got = files.ordered_ids(rows, ["k"]).collect()
+        assert {r["k"]: r["row_id"] for r in got} == want and len(got) == 5000
+        # Parts of a CSV count in order of their names, whatever their sizes.
+        files.write_csv(files.ordered_ids(rows, ["k"]).select("row_id", F.col("k").cast("string").alias("k")).withColumn("n", F.col("row_id")), f"{tmp_path}/csv", order_by="row_id")
+        assert all(int(r["n"]) == r["source_index"] for r in files.read_csv_texts(spark, f"{tmp_path}/csv").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_row_numbers_of_nothing(spark):
+    from pairforge.sources import files
+
+    assert files.ordered_ids(spark.range(0), ["id"]).count() == 0
+
+
 def test_alias_lookup(spark):
     prof = spark.createDataFrame([("a", "A", "s1"), ("A", "A", "s2"), ("b", None, None)], "smiles string, canonical string, safe string")
     pairs = spark.createDataFrame([("a", "b"), ("zz", "A"), (None, "a")], "toxic_smiles string, nontoxic_smiles string")
@@ -401,7 +434,9 @@ def test_commands(spark, tmp_path):
     n = [spark.read.option("header", True).csv(str(tmp_path / "split" / f"{s}.csv")).count() for s in ("train", "test")]
     assert sum(n) == pairs.count()
     run("build", "--input", tmp_path / "pairs", "--out", tmp_path / "qa", "--task", "task1")
-    records = spark.read.json(str(tmp_path / "qa"))
+    from pairforge.sources import files
+
+    records = files.read_qa(spark, str(tmp_path / "qa"))
     assert records.count() == pairs.count() and set(records.select("task").distinct().toPandas()["task"]) == {"task1"}
     rows = [{"model": "m", "split": "test", "task": "task1", "step": "single_step", "id": 1, "gold": {"answer": "a"}, "raw": '{"answer": "a"}'}, {"model": "m", "split": "test", "task": "task1", "step": "single_step", "id": 2, "gold": {"answer": "a"}, "raw": "b"}]
     (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
