@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 RFC4180_LINE = r'^(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+\z'
 _CELL = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 _ATOMS = r"^(?:Cl|Br|[BCNOPSFIbcnops\-=#:/\\.()0-9]|\[[A-Za-z0-9@+\-:]++\]|%[0-9][0-9])++\z"
-#: Univocity allocates its columns up front and throws beyond them; longer lines skip it and are split by pattern.
+#: Univocity allocates its columns up front and throws beyond them; lines with more fields are no row of the schema for
+#: it anyway, skip it and are classified from their text like all it rejects.
 _MAX_COLUMNS = 20000
 
 Check = Callable[[Column], Column]
@@ -58,29 +59,32 @@ def _first_reason(pairs: list[tuple[str, Column]]) -> Column:
 def parse_lines(df: DataFrame, rec_id: str, line: str, schema: T.StructType = RAW_MOLECULES, checks: dict[str, Check] | None = None) -> DataFrame:
     """Every line once, as ``rec_id``, one column per field of ``schema``, ``corrupt`` (the raw text) and ``reason``.
 
-    Lines are read permissively under the explicit schema with the corrupt text retained.  A line the reader took
-    without complaint and that holds no quote and no line break is loaded as it read it, after the field checks; all
-    others are classified again by quoting, number of fields and the checks, and loaded from their cells if they are
-    sound after all (an outer blank round a number, say).  Reasons in order: ``quoting``, ``columns``, then the checked
-    fields.  A null line has no fields: ``columns``.  Bad lines have null fields and keep their text in ``corrupt``;
-    good ones have null ``corrupt`` and ``reason``.  Checked texts are loaded without outer blanks, other empty texts
-    as null.  Other columns of ``df`` are left out, whatever their names.
+    Lines are read permissively under the explicit schema with the corrupt text retained.  A line is clean if the reader
+    took it without complaint, it holds no quote and its values, written back, give the line itself; clean lines are checked and loaded
+    as they were read.  All others (wrong counts, quotes, failed casts, ``01`` for 1) are classified again from the raw text by quoting, number
+    of fields and the checks, and loaded from their cells if they are sound after all (an outer blank round a number, say).
+    Reasons in order: ``quoting``, ``columns``, then the checked fields.  A null line has no fields: ``columns``.  Bad
+    lines have null fields and keep their text in ``corrupt``; good ones have null ``corrupt`` and ``reason``.  Checked texts are loaded without
+    outer blanks, other empty texts as null.  Other columns of ``df`` are left out, whatever their names.
     """
     checks = RAW_CHECKS if checks is None else checks
     names, n = schema.fieldNames(), len(schema)
     reader = T.StructType([*schema.fields, T.StructField("__raw", T.StringType())])
     commas = F.length(F.col("line")) - F.length(F.replace(F.col("line"), F.lit(","), F.lit("")))
     quoted = F.contains(F.col("line"), F.lit('"'))
-    cells = F.when(quoted, F.transform(F.regexp_extract_all("line", F.lit(_CELL), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))).otherwise(F.split("line", ",", -1))
+    text = lambda f: F.col("read").getField(f).cast("string")
+    back = F.concat_ws(",", *[F.coalesce(text(f), F.lit("")) for f in names])
     out = (
         df.select(F.col(rec_id).alias("rec_id"), F.col(line).cast("string").alias("line"))
         .withColumn("read", F.from_csv(F.when(commas < _MAX_COLUMNS - 1, F.col("line")), reader.simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__raw", "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(_MAX_COLUMNS)}))
-        .withColumn("cells", cells)
-        .withColumn("clean", F.col("read").isNotNull() & F.col("read.__raw").isNull() & ~F.col("line").rlike('["\r\n]'))
+        .withColumn("clean", F.col("read").isNotNull() & F.col("read.__raw").isNull() & F.coalesce(back == F.col("line"), F.lit(False)) & ~quoted)
     )
+    cells = F.when(quoted, F.transform(F.regexp_extract_all("line", F.lit(_CELL), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))).otherwise(F.split("line", ",", -1))
+    out = out.withColumn("cells", F.when(~F.col("clean"), cells))
     cell = {f: F.get("cells", F.lit(i)) for i, f in enumerate(names)}
-    reason = _first_reason([("quoting", ~F.col("line").rlike(RFC4180_LINE)), ("columns", F.coalesce(F.size("cells"), F.lit(0)) != n), *[(f, ~check(cell[f])) for f, check in checks.items()]])
-    out = out.withColumn("reason", reason)
+    again = ~F.col("clean")
+    broken = [("quoting", again & ~F.col("line").rlike(RFC4180_LINE)), ("columns", again & (F.coalesce(F.size("cells"), F.lit(0)) != n))]
+    out = out.withColumn("reason", _first_reason([*broken, *[(f, ~check(F.when(F.col("clean"), text(f)).otherwise(cell[f]))) for f, check in checks.items()]]))
 
     def value(f: T.StructField) -> Column:
         read, kept = F.col("read").getField(f.name), F.trim(cell[f.name]).try_cast(f.dataType)
