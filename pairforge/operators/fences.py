@@ -1,4 +1,8 @@
-"""Quantile fences and the filters built on them.  Fences are global: one aggregate row, joined by broadcast."""
+"""Quantile fences and the filters built on them.
+
+Fences are global.  Those of lengths and counts come from one aggregate, whose state holds as many values as there are
+distinct lengths; those of properties, where every value may differ, from the distributed selection of ``skew``.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import fragment_tokens
+from pairforge.operators.skew import key_interpolated
 from pairforge.schema import PROPERTIES, require_columns
 
 #: Longest and most fragments when a fence cannot be computed; tokens of this length and more are too long.
@@ -24,19 +29,12 @@ def upper_fence(x: Column, min_points: int = MIN_POINTS) -> Column:
     return F.when((F.count(x) >= min_points) & (iqr > 0), q[1] + 1.5 * iqr)
 
 
-def two_sided_fence(x: Column) -> Column:
-    """Struct of q1, q3, iqr, lower, upper without guards: with no spread both fences are Q1.  Texts that are no number
-    and NaN count as missing."""
-    v = x.try_cast("double")
-    q = F.percentile(F.when(~F.isnan(v), v), F.array(F.lit(0.25), F.lit(0.75)))
-    iqr = q[1] - q[0]
-    return F.struct(q[0].alias("q1"), q[1].alias("q3"), iqr.alias("iqr"), (q[0] - 1.5 * iqr).alias("lower"), (q[1] + 1.5 * iqr).alias("upper"))
-
-
-def with_fences(df: DataFrame, **aggregates: Column) -> DataFrame:
-    """``df`` with the aggregates of all its rows as columns; the one aggregate row is collected as plain numbers."""
-    row = df.agg(*[c.alias(k) for k, c in aggregates.items()]).first()
-    return df.withColumns({k: F.lit(row[k]).cast("double") for k in aggregates})
+def two_sided_fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Per column Q1 - 1.5 IQR and Q3 + 1.5 IQR without guards: with no spread both are Q1.  Texts that are no number and
+    NaN count as missing; a column without numbers has no fences.  All columns go through one selection."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).try_cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
+    found = key_interpolated(long.where("x IS NOT NULL AND NOT isnan(x)"), ["name"], F.col("x"), [0.25, 0.75]).collect()  # one row per column
+    return {r["name"]: (r["q"][0] - 1.5 * (r["q"][1] - r["q"][0]), r["q"][1] + 1.5 * (r["q"][1] - r["q"][0])) for r in found}
 
 
 def core_filter(df: DataFrame) -> DataFrame:
@@ -90,12 +88,10 @@ def property_deltas(pairs: DataFrame, profile: DataFrame, properties: list[str]
 
 def drop_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without any of ``columns`` outside its two-sided fence; missing values and missing fences exclude nothing.
-    All fences come from one aggregate over the same rows."""
+    All fences come from the same rows; ``df`` should be a materialised table, as it is read several times."""
     require_columns(df, columns, "pairs")
-    row = df.agg(*[two_sided_fence(F.col(c)).alias(c) for c in columns]).first()
     bad = [F.lit(False)]
-    for c in columns:
-        if row[c] is not None and row[c]["lower"] is not None:
-            x = F.col(c).try_cast("double")
-            bad.append(F.coalesce((x < row[c]["lower"]) | ((x > row[c]["upper"]) & ~F.isnan(x)), F.lit(False)))
+    for c, (lower, upper) in two_sided_fences(df, columns).items():
+        x = F.col(c).try_cast("double")
+        bad.append(F.coalesce((x < lower) | ((x > upper) & ~F.isnan(x)), F.lit(False)))
     return df.where(~reduce(lambda a, b: a | b, bad))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairforge.operators.lookup import lookup
+from pairforge.sources.files import ordered_ids
 from pairforge.storage import materialize
 
 
@@ -16,7 +21,7 @@ def smallest_first_split(df: DataFrame, row_id: str, group: Column, test_share:
 
     Sizes do not decrease, so once one group misses no later one fits and the running sum of sizes decides.  It is taken
     in two levels: over the distinct sizes (at most sqrt(2 N) of them), then inside the one size that straddles the
-    budget, of which only as many groups as still fit are needed.
+    budget, whose groups are numbered by range.
     """
     rows = df.withColumn("__g", group)
     groups = materialize(rows.where("__g IS NOT NULL").groupBy("__g").agg(F.count("*").alias("n"), F.min(row_id).alias("first")), "groups")
@@ -29,7 +34,7 @@ def smallest_first_split(df: DataFrame, row_id: str, group: Column, test_share:
         whole, room = r["n"], room - r["n"] * r["k"]
     chosen = groups.where(F.col("n") <= whole).select("__g", "n")
     if edge is not None and room >= edge:
-        last = groups.where(F.col("n") == edge).orderBy("first").limit(int(room // edge)).select("__g", "n")
+        last = ordered_ids(groups.where(F.col("n") == edge), ["first"], "__rank").where(F.col("__rank") < int(room // edge)).select("__g", "n")
         chosen = chosen.unionByName(last)
     marked = materialize(groups.join(chosen.select("__g", F.lit("test").alias("s")), "__g", "left").select("__g", "n", F.coalesce("s", F.lit("train")).alias("split")), "split")
     known = lookup(rows.where("__g IS NOT NULL").drop("split"), marked, "__g", "n").drop("__g", "n")
@@ -46,15 +51,23 @@ def window_split(df: DataFrame, row_id: str, group: Column, test_share: float =
 
 
 def seeded_permutation(df: DataFrame, order_by: str, seed: int | None) -> DataFrame:
-    """``df`` (a partition of bounded size: one output file) with a new ``id``: positions 0.. in ``order_by`` order, shuffled
-    as Python's generator with this seed shuffles a list; unchanged without a seed."""
-    import random
+    """``df`` with a new ``id``: positions 0.. in ``order_by`` order, shuffled as Python's generator with this seed shuffles a
+    list; unchanged without a seed.
 
+    That shuffle is one sequence of draws, so one task makes it, as a packed array of 8 bytes a row which it hands on in
+    batches: ``df`` should be the rows of one file.
+    """
     if seed is None:
         return df
     n = df.count()
-    places = list(range(n))
-    random.Random(seed).shuffle(places)
-    table = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(places)] or [], "__p long, __id long")
-    numbered = df.withColumn("__p", F.row_number().over(W.orderBy(order_by)) - 1)
-    return numbered.join(table, "__p").withColumn("id", F.col("__id")).drop("__p", "__id")
+
+    def shuffled(batches):
+        for _ in batches:
+            places = array("q", range(n))
+            random.Random(seed).shuffle(places)
+            for at in range(0, n, 1 << 16):
+                part = places[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(range(at, at + len(part)), pa.int64())], names=["__p", "__id"])
+
+    table = df.sparkSession.range(1).repartition(1).mapInArrow(shuffled, "__p long, __id long")
+    return ordered_ids(df, [order_by], "__p").join(table, "__p").withColumn("id", F.col("__id")).drop("__p", "__id")

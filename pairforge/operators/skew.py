@@ -46,22 +46,36 @@ def _part(bins: int, by_size: bool) -> Column:
     return F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), inside))).when(F.col("v") == F.col("lo"), 0).otherwise(1).cast("int")
 
 
-def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: list[float], bins: int = 256) -> DataFrame:
-    """Per key: ``n_rows``, ``n_values``, ``v_min``, ``v_max`` and ``q`` – the exact values of the wanted quantiles.
+def _coarse(v: Column) -> Column:
+    """A bin of the first histogram, the same for all keys: the sign and eighths of a power of two of the magnitude, so at
+    most some 34,000 bins whatever the values.  It keeps the order; infinities share a bin with the greatest values."""
+    size = F.floor(F.log2(F.least(F.abs(v), F.lit(1.7e308))) * 8) + 9000
+    return (F.signum(v) * F.when(v == 0, 0).otherwise(size)).cast("int")
+
+
+def key_ranks(df: DataFrame, keys: list[str], value: Column, wanted: list[Column], bins: int = 256) -> DataFrame:
+    """Per key: ``n_rows``, ``n_values``, ``v_min``, ``v_max`` and ``q`` – the exact values of the ``wanted`` ranks (columns
+    made of ``n_values``, from 1).
 
-    The quantile p is the value of rank ``max(1, ceil(p n))`` among the non-null values.  Round by round each open
+    All figures come from histograms whose counts are mergeable and combined before the shuffle.  The first has the same
+    bins for all keys and one more for missing values; its sums are the row counts, and it opens an interval for each rank.  Round by round each open
     interval of a key is cut into ``bins`` parts, by value and by magnitude in turn; per part only count, least and
-    greatest value are kept (combined before the shuffle), and the part that holds the rank becomes the next interval,
-    until it holds one value.  Null and NaN values count as rows but not as values; a key without values has null quantiles; null keys
+    greatest value are kept, and the part that holds the rank becomes the next interval,
+    until it holds one value.  Null and NaN values count as rows but not as values; a key without values has null ``q``; null keys
     form a group of their own.  An empty table gives an empty result.  Other columns of ``df`` are not read.
     """
     v = value.cast("double")
     rows = df.select(*keys, F.when(~F.isnan(v), v).alias("v"))
-    totals = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count("v").alias("n_values"), F.min("v").alias("v_min"), F.max("v").alias("v_max")), "totals")
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(quantiles)]))
-    rank = F.greatest(F.lit(1), F.ceil(F.col("w.p") * F.col("n_values"))).cast("bigint")
-    found = totals.where("n_values > 0").select(*keys, wanted.alias("w"), "n_values", "v_min", "v_max").select(*keys, F.col("w.i").alias("i"), rank.alias("rank"), F.col("v_min").alias("lo"), F.col("v_max").alias("hi"))
-    state, done = materialize(found, "ranks"), []
+    first = materialize(rows.groupBy(*keys, _coarse(F.col("v")).alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")), "histogram")
+    totals = first.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("part").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"), F.min("least").alias("v_min"), F.max("most").alias("v_max"))
+    totals = materialize(totals, "totals")
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), w.cast("bigint").alias("rank")) for i, w in enumerate(wanted)]))
+    ranks = totals.where("n_values > 0").select(*keys, asked.alias("w")).select(*keys, "w.*")
+    counts = first.where("part IS NOT NULL").withColumn("upto", F.sum("n").over(W.partitionBy(*keys).orderBy("part")))
+    opened = ranks.alias("t").join(counts.alias("c"), _same("t", "c", keys) & F.expr("t.rank <= c.upto AND t.rank > c.upto - c.n"))
+    inside_of = [*[F.col(f"t.{k}").alias(k) for k in keys], "t.i", F.expr("t.rank - (c.upto - c.n)").alias("rank"), F.col("c.least").alias("lo"), F.col("c.most").alias("hi")]
+    state, done = materialize(opened.select(*inside_of), "ranks"), []
+    release(first)
     values = rows.where("v IS NOT NULL")
     by_size = False
     while True:
@@ -74,16 +88,33 @@ def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quant
             break
         inside = _with_state(values, spans, keys, n_spans).where("v >= lo AND v <= hi")
         counts = inside.select(*[F.col(f"r.{k}").alias(k) for k in keys], "lo", "hi", _part(bins, by_size).alias("part"), "v").groupBy(*keys, "lo", "hi", "part").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-        upto = F.sum("n").over(W.partitionBy(*keys, "lo", "hi").orderBy("part"))
-        counts = counts.withColumn("upto", upto)
+        counts = counts.withColumn("upto", F.sum("n").over(W.partitionBy(*keys, "lo", "hi").orderBy("part")))
         hit = todo.alias("t").join(counts.alias("c"), _same("t", "c", keys) & F.expr("t.lo = c.lo AND t.hi = c.hi AND t.rank <= c.upto AND t.rank > c.upto - c.n"))
-        after = materialize(hit.select(*[F.col(f"t.{k}").alias(k) for k in keys], "t.i", F.expr("t.rank - (c.upto - c.n)").alias("rank"), F.col("c.least").alias("lo"), F.col("c.most").alias("hi")), "ranks")
+        after = materialize(hit.select(*inside_of), "ranks")
         release(spans)
         state, by_size = after, not by_size
     resolved = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
     return totals.alias("t").join(resolved.alias("d"), _same("t", "d", keys), "left").select(*[F.col(f"t.{k}").alias(k) for k in keys], "n_rows", "n_values", "v_min", "v_max", "q")
 
 
+def key_histogram_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: list[float], bins: int = 256) -> DataFrame:
+    """``key_ranks`` of quantiles: p is the value of rank ``max(1, ceil(p n))`` among the values."""
+    return key_ranks(df, keys, value, [F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n_values"))) for p in quantiles], bins)
+
+
+def key_interpolated(df: DataFrame, keys: list[str], value: Column, quantiles: list[float], bins: int = 256) -> DataFrame:
+    """The same with ``q`` interpolated between the two ranks next to p (n - 1), as ``percentile`` does; no state holds all distinct
+    values of a key."""
+    at = [F.lit(float(p)) * (F.col("n_values") - 1) for p in quantiles]
+    ranked = key_ranks(df, keys, value, [x for a in at for x in (F.floor(a) + 1, F.ceil(a) + 1)], bins)
+
+    def between(i: int, a: Column) -> Column:
+        lo, hi = F.get("q", F.lit(2 * i)), F.get("q", F.lit(2 * i + 1))
+        return F.when(lo == hi, lo).otherwise((F.ceil(a) - a) * lo + (a - F.floor(a)) * hi)
+
+    return ranked.withColumn("q", F.when(F.col("q").isNotNull(), F.array(*[between(i, a) for i, a in enumerate(at)])))
+
+
 def hot_keys(figures: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """The keys that hold at least ``percent`` % of all rows, from the row counts of the histograms; compared in integers."""
     total = figures.agg(F.sum("n_rows")).first()[0] or 0
