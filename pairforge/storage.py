@@ -15,10 +15,13 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder is made, once per process.
+    Only in local mode, where every executor is this process, may the setting be absent: then a temporary folder is made,
+    once per process.  On a cluster that is an error, since a machine's own folder is no place for shared tables.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pairforge-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
