@@ -15,15 +15,13 @@ lists AS (
   FROM cells WHERE cell IS NOT NULL AND lower(trim(cell)) NOT IN ('', 'nan')),
 grams AS (
   SELECT cliff_id, n, array_to_string(l[i:i + n - 1], '.') AS ngram
-  FROM lists, range(1, 4) r(n), LATERAL (SELECT unnest(range(1, len(l) - n + 2)) AS i)),
+  FROM lists, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS n), LATERAL (SELECT unnest(range(1, len(l) - n + 2)) AS i)),
 counts AS (
   SELECT ngram, n::integer AS n, count(*) AS occurrences, count(DISTINCT cliff_id) AS n_records FROM grams GROUP BY ngram, n),
 marked AS (
   SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 100 > 2 * (SELECT count(*) FROM toxicitycliff) THEN 'common' END AS mark FROM counts)
 """
 
-_ALL_FRAGMENTS = _FRAGMENTS.replace("range(1, 4) r(n)", "LATERAL (SELECT unnest(range(1, len(l) + 1)) AS n)")
-
 _NEAR = """
 WITH r AS (
   SELECT cliff_id, split, lower(trim(coalesce(dataset_name, ''))) AS dataset_name, trim(toxic_smiles) AS a, trim(nontoxic_smiles) AS b
@@ -45,7 +43,6 @@ per AS (
 SQL = {
     "p2_found": _ENTITY + "SELECT cliff_id FROM named WHERE split IS NOT NULL AND entity IN (SELECT entity FROM named WHERE split IS NOT NULL AND entity IS NOT NULL GROUP BY entity HAVING count(DISTINCT split) > 1)",
     "p3_ngrams": _FRAGMENTS + "SELECT ngram, n, occurrences, n_records, mark FROM marked",
-    "p3_all_ngrams": _ALL_FRAGMENTS + "SELECT ngram, n, occurrences, n_records, mark FROM marked",
     "p3_fragments": _FRAGMENTS + "SELECT ngram AS fragment, occurrences, n_records, mark FROM marked WHERE n = 1",
     "p3_found": _FRAGMENTS + "SELECT ngram AS fragment, mark FROM marked WHERE n = 1 AND mark IS NOT NULL",
     "p5_found": _NEAR + "SELECT least(id_a, id_b) AS cliff_id_a, greatest(id_a, id_b) AS cliff_id_b FROM near",

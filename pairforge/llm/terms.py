@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_N = 3
 #: Held by fewer records than this is rare; by more than this percentage of all records, common.
 RARE_RECORDS, COMMON_PERCENT = 3, 2
 
@@ -88,9 +87,9 @@ def _all_repeats(several: DataFrame, cells: list[Column]) -> DataFrame:
     return heads.select("head", F.explode(F.sequence(F.lit(1), F.size("head"))).alias("n")).select(F.slice("head", 1, F.col("n")).alias("ngram"))
 
 
-def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = MAX_N) -> DataFrame:
-    """``ngram``, ``n``, ``occurrences``, ``n_records`` of every run of up to ``max_n`` tokens inside a cell; of every run
-    whatever its length if that is None.
+def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = None) -> DataFrame:
+    """``ngram``, ``n``, ``occurrences``, ``n_records`` of every run of tokens inside a cell, whatever its length; of runs
+    of up to ``max_n`` tokens only if that is asked for.  A cell of T tokens has T (T + 1) / 2 runs, each of which is an answer.
 
     ``cells`` are token arrays of one record each; n-grams do not cross cells, and a record holds an n-gram if any of
     its cells does.  Equal suffixes are combined before the shuffle that sorts them, so a token that makes up a third
@@ -99,7 +98,9 @@ def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = MAX_N)
     """
     named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
     cols = [F.coalesce(F.col(f"c{i}"), F.array().cast("array<string>")) for i in range(len(cells))]
-    suffix = named.select(F.explode(F.concat(*[_suffixes(c, max_n) for c in cols])).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("weight"))
+    # One suffix per row, so that no row holds all suffixes of a long cell.
+    cell = named.select(F.explode(F.filter(F.array(*cols), lambda c: F.size(c) > 0)).alias("cell")).select("cell", F.explode(F.sequence(F.lit(1), F.size("cell"))).alias("at"))
+    suffix = cell.select(F.slice("cell", F.col("at"), F.size("cell") if max_n is None else F.lit(max_n)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("weight"))
     ordered = suffix.repartitionByRange("suffix").sortWithinPartitions("suffix")
     occurrences = ordered.mapInArrow(intervals(max_n), _OUT).withColumn("repeats", F.lit(0).cast("bigint"))
     several = named.where(sum((F.size(c) for c in cols), F.lit(0)) > 1)

@@ -240,7 +240,7 @@ def test_ngrams(spark):
             for n in (1, 2, 3):
                 for at in range(len(cell) - n + 1):
                     want.setdefault(tuple(cell[at : at + n]), []).append(i)
-    got = terms.ngram_counts(df, [F.col("x"), F.col("y")]).collect()
+    got = terms.ngram_counts(df, [F.col("x"), F.col("y")], 3).collect()
     assert {tuple(r["ngram"]): (r["n"], r["occurrences"], r["n_records"]) for r in got} == {g: (len(g), len(v), len(set(v))) for g, v in want.items()}
     assert len(got) == len(want) and terms.ngram_counts(df.limit(0), [F.col("x")]).count() == 0
 
@@ -255,9 +255,9 @@ def test_ngrams_of_every_length(spark):
             for n in range(1, len(cell or []) + 1):
                 for at in range(len(cell) - n + 1):
                     want.setdefault(tuple(cell[at : at + n]), []).append(i)
-    got = terms.ngram_counts(df, [F.col("x"), F.col("y")], None).collect()
+    got = terms.ngram_counts(df, [F.col("x"), F.col("y")]).collect()
     assert {tuple(r["ngram"]): (r["n"], r["occurrences"], r["n_records"]) for r in got} == {g: (len(g), len(v), len(set(v))) for g, v in want.items()}
-    assert len(got) == len(want) and max(map(len, want)) == 60 and terms.ngram_counts(df.limit(0), [F.col("x")], None).count() == 0
+    assert len(got) == len(want) and max(map(len, want)) == 60 and terms.ngram_counts(df.limit(0), [F.col("x")]).count() == 0
 
 
 def test_marks(spark):
