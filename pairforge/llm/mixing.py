@@ -1,7 +1,8 @@
 """Mix sources to target weights (problem 7).
 
 Sizes are tokens of the WordPunct tokenizer.  The order of the mixture comes from Pfair scheduling: block i of a source
-of weight w is released at floor((i - 1) / w) and due at ceil(i / w), and the earliest deadline goes first.
+of weight w is released at floor((i - 1) / w) and due at ceil(i / w), and the earliest deadline goes first.  A block is a
+number of tokens that does not depend on the data, so the schedule grows with the mixture; it is made in frames, each on its own.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairforge.storage import materialize
 
 WORD_PUNCT = r"\w+|[^\w\s]+"
-#: Blocks in a whole mixture.  The schedule's size depends on this alone, not on the data.
-SLOTS = 10_000
+#: Tokens in a block.
+BLOCK_TOKENS = 1024
+#: Slots that one task schedules on its own, at least.
+FRAME = 1 << 16
 #: Records per bucket of the running totals.
 BUCKET = 50_000
 
@@ -67,30 +70,79 @@ def shares(counts: DataFrame, weights: DataFrame) -> list[Share]:
     return out
 
 
-def pfair_schedule(quotas: dict[str, int], block: int) -> list[tuple[str, int]]:
-    """(source, block number) in order, by earliest deadline first among the released blocks; integer arithmetic."""
-    total = sum(quotas.values())
-    blocks = {s: -(-q // block) for s, q in quotas.items() if q > 0}
-    waiting = [(0, s, 1) for s in sorted(blocks)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: list[tuple[str, int]] = []
-    now = 0
-    while waiting or ready:
+def _advance(blocks: list[int], done: list[int], start: int, stop: int, last: list[int] | None = None) -> list[tuple[int, int]]:
+    """Slots ``start`` to ``stop`` by earliest deadline first among the released blocks: (source, block) for each; ``done`` is brought up
+    to date.  With ``last``, every source ends with so many blocks done."""
+    total = sum(blocks)
+    waiting, ready, out = [], [], []
+
+    def queue(s: int) -> None:
+        i = done[s] + 1
+        if i <= (blocks if last is None else last)[s]:
+            heapq.heappush(waiting, (max(start, (i - 1) * total // blocks[s]), s))
+
+    for s in range(len(blocks)):
+        queue(s)
+    for now in range(start, stop):
         while waiting and waiting[0][0] <= now:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-i * total // quotas[s]), s, i))
-        if not ready:
-            now = waiting[0][0]
-            continue
-        _, s, i = heapq.heappop(ready)
-        out.append((s, i - 1))
-        now += 1
-        if i < blocks[s]:
-            heapq.heappush(waiting, (max(now, i * total // quotas[s]), s, i + 1))
+            s = heapq.heappop(waiting)[1]
+            due = -(-(done[s] + 1) * total // blocks[s])
+            heapq.heappush(ready, (due if last is None else min(due, stop), s))
+        s = heapq.heappop(ready)[1]
+        out.append((s, done[s]))
+        done[s] += 1
+        queue(s)
     return out
 
 
+def longest_window(blocks: list[int]) -> int:
+    """No window from release to deadline is longer."""
+    return -(-sum(blocks) // min(blocks)) + 2
+
+
+def done_before(blocks: list[int], slot: int) -> list[int]:
+    """How many blocks of each source stand before ``slot``: within one of its share, and such that frames cut there can be kept.
+
+    The schedule is begun a longest window earlier, where each source has its share rounded down or up: up where the next
+    deadline is earliest, from which every later deadline can be met.  Blocks still open at ``slot`` are then released after the
+    beginning, so that every earlier release can be kept as well.
+    """
+    total, start = sum(blocks), max(0, slot - longest_window(blocks))
+    done = [b * start // total for b in blocks]
+    early = sorted((-(-(d + 1) * total // b), s) for s, (b, d) in enumerate(zip(blocks, done)) if b * start % total)
+    for _, s in early[: start - sum(done)]:
+        done[s] += 1
+    _advance(blocks, done, start, slot)
+    return done
+
+
+def frame_of(blocks: list[int], start: int, stop: int) -> list[tuple[int, int]]:
+    """(source, block number) of the slots from ``start`` to ``stop``; frames fit together whatever their borders."""
+    last = blocks if stop == sum(blocks) else done_before(blocks, stop)
+    return _advance(blocks, done_before(blocks, start), start, stop, last)
+
+
+def pfair_schedule(spark: SparkSession, quotas: dict[str, int], block: int = BLOCK_TOKENS, frame: int = FRAME) -> DataFrame:
+    """``source``, ``block`` (from 0), ``slot`` (from 0): every source has as many blocks as its quota of tokens fills, the last in part, and is
+    never a whole block away from its share of the blocks so far."""
+    names = sorted(s for s, q in quotas.items() if q > 0)
+    blocks = [-(-quotas[s] // block) for s in names]
+    total = sum(blocks)
+    frame = max(frame, longest_window(blocks)) if blocks else frame
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                made = frame_of(blocks, k * frame, min(total, (k + 1) * frame))
+                for at in range(0, len(made), 1 << 16):
+                    part = made[at : at + (1 << 16)]
+                    first = k * frame + at
+                    yield pa.RecordBatch.from_arrays([pa.array([names[s] for s, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64()), pa.array(range(first, first + len(part)), pa.int64())], names=["source", "block", "slot"])
+
+    n_frames = -(-total // frame)
+    return spark.range(0, n_frames, 1, max(1, min(n_frames, 10_000))).mapInArrow(run, "source string, block bigint, slot bigint")
+
+
 def running_totals(counts: DataFrame) -> DataFrame:
     """``before``: tokens of the same source that come earlier in a fixed pseudo-random order of its records.
 
@@ -105,27 +157,32 @@ def running_totals(counts: DataFrame) -> DataFrame:
     return rows.join(base, ["source", "bucket"]).withColumn("before", F.col("base") + F.sum("tokens").over(inside) - F.col("tokens")).drop("bucket", "base")
 
 
-def mixture(docs: DataFrame, doc_id: str, text: str, source: str, weights: DataFrame, slots: int = SLOTS) -> tuple[list[Share], DataFrame]:
-    """The shares, and every use of a record: ``doc_id``, ``copy`` (from 0), ``source``, ``tokens``, ``slot``.
+def mixture(docs: DataFrame, doc_id: str, text: str, source: str, weights: DataFrame, block: int = BLOCK_TOKENS, frame: int = FRAME) -> tuple[list[Share], DataFrame]:
+    """The shares, and every use of a record: ``doc_id``, ``copy`` (from 0), ``source``, ``tokens``, ``slot`` and ``place`` (tokens of
+    the slot's block before it); by slot and place the uses stand in the order of the mixture.
 
     Whole passes over a source come first, then the records of one more pass whose running total still fits, so a
-    source misses its quota by less than one record.  Records follow their block's slot.  Records without tokens are
+    source misses its quota by less than one record.  Records go with the block in which they begin.  Records without tokens are
     used once per whole pass.  Null and unweighted sources take no part; with no tokens at all the result is empty.
     """
     spark = docs.sparkSession
     counts = materialize(token_counts(docs.join(weights.select(F.col("source").alias(source)).distinct(), source, "left_semi"), doc_id, text, source), "tokens")
     found = shares(counts, weights)
-    quotas = {s.source: s.quota for s in found if s.tokens}
-    block = max(1, -(-sum(quotas.values()) // slots))
-    order = [(s, b, k) for k, (s, b) in enumerate(pfair_schedule(quotas, block))]
     quota = spark.createDataFrame([(s.source, s.tokens, s.quota) for s in found if s.tokens] or [], "source string, all_tokens bigint, quota bigint")
-    rows = running_totals(counts).join(quota, "source")
+    rows = running_totals(counts).join(F.broadcast(quota), "source")  # one row per weighted source
     whole = F.expr("quota div all_tokens")
     fits = F.expr("before + tokens <= quota % all_tokens AND tokens > 0").cast("bigint")
     uses = rows.withColumn("copies", whole + fits).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    uses = uses.withColumn("block", F.expr(f"(copy * all_tokens + before) div {block}"))
-    plan = spark.createDataFrame(order or [], "source string, block bigint, slot bigint")
+    uses = uses.withColumn("start", F.expr("copy * all_tokens + before"))
     # A record without tokens at the very end of its source can start past the last block.
-    last = plan.groupBy("source").agg(F.max("block").alias("last"))
-    placed = uses.join(last, "source").withColumn("block", F.least("block", "last")).join(plan, ["source", "block"])
-    return found, placed.select("doc_id", "copy", "source", "tokens", "slot")
+    uses = uses.withColumn("block", F.least(F.expr(f"start div {block}"), F.expr(f"(quota + {block - 1}) div {block} - 1"))).where("quota > 0")
+    plan = pfair_schedule(spark, {s.source: s.quota for s in found if s.tokens}, block, frame)
+    placed = uses.join(plan, ["source", "block"])
+    return found, placed.select("doc_id", "copy", "source", "tokens", "slot", (F.col("start") - F.col("block") * block).alias("place"))
+
+
+def exhausted(shares: list[Share], uses: DataFrame) -> DataFrame:
+    """``source`` of the sources that stay under their share although every record of theirs is used as often as it may be."""
+    used = uses.groupBy("source").agg(F.sum("tokens").alias("used"))
+    asked = uses.sparkSession.createDataFrame([(s.source, s.tokens * s.max_repeats) for s in shares if s.limited] or [], "source string, most bigint")
+    return asked.join(used, "source", "left").where(F.coalesce("used", F.lit(0)) == F.col("most")).select("source")

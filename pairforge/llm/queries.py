@@ -73,8 +73,7 @@ def _mixture(spark: SparkSession, d: str):
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = _mixture(spark, d)
-    return spark.createDataFrame([(s.source,) for s in found if s.limited], "source string")
+    return mixing.exhausted(*_mixture(spark, d))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -78,18 +78,28 @@ def test_lookalike_pairs_and_classes(spark, monkeypatch):
 # -- mixing ------------------------------------------------------------------------------------------------------------
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    quotas = {"a": 5000, "b": 3000, "c": 1500, "d": 499, "e": 1}
-    order = mixing.pfair_schedule(quotas, 10)
-    total = sum(quotas.values())
-    done = dict.fromkeys(quotas, 0)
+@pytest.mark.parametrize("seed", range(40))
+def test_schedule_deviates_by_less_than_a_block(seed):
+    """Every frame on its own, cut anywhere; together they are one schedule in which no source strays by a block."""
+    rnd = random.Random(seed)
+    blocks = [[500, 300, 150, 50, 1], [1], [3, 3, 3], [1, 1, 1, 997]][seed] if seed < 4 else [rnd.choice([1, 2, rnd.randrange(1, 60), rnd.randrange(1, 400)]) for _ in range(rnd.randrange(1, 9))]
+    total = sum(blocks)
+    cuts = sorted({0, total, *(rnd.randrange(total + 1) for _ in range(rnd.randrange(8)))})
+    order = [x for a, b in zip(cuts, cuts[1:]) for x in mixing.frame_of(blocks, a, b)]
+    done = [0] * len(blocks)
     for t, (s, b) in enumerate(order, 1):
         assert b == done[s]
         done[s] += 1
-        if t <= total // 10:
-            for s in quotas:
-                assert abs(done[s] - t * quotas[s] / total) < 1
-    assert done == {s: -(-q // 10) for s, q in quotas.items()}
+        assert all(abs(n * total - t * w) < total for n, w in zip(done, blocks))
+    assert done == blocks
+
+
+def test_schedule_table(spark):
+    quotas = {"a": 5000, "b": 3000, "c": 1500, "d": 499, "e": 1, "none": 0}
+    rows = mixing.pfair_schedule(spark, quotas, 10, frame=1).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert {s: sorted(r["block"] for r in rows if r["source"] == s) for s in "abcde"} == {s: list(range(-(-q // 10))) for s, q in quotas.items() if q}
+    assert mixing.pfair_schedule(spark, {}, 10).count() == 0
 
 
 def test_mixture(spark):
@@ -97,7 +107,7 @@ def test_mixture(spark):
     rows = [(i, rnd.choice(["alpha beta, gamma", "x", "", None, "é _a1-- b"]), rnd.choice(["big"] * 8 + ["small", None, "other"])) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     weights = spark.createDataFrame([("big", 0.5, 2), ("small", 0.4, 3), ("none", 0.1, 5), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
-    found, uses = mixing.mixture(docs, "doc_id", "text", "source", weights, slots=50)
+    found, uses = mixing.mixture(docs, "doc_id", "text", "source", weights, block=40, frame=7)
     size = {i: len(re.findall(mixing.WORD_PUNCT, t or "")) for i, t, _ in rows}
     tokens = {s: sum(size[i] for i, _, x in rows if x == s) for s in ("big", "small", "none")}
     total = sum(tokens.values())
@@ -110,6 +120,14 @@ def test_mixture(spark):
         assert len({(r["doc_id"], r["copy"]) for r in mine}) == len(mine)
         used = sum(r["tokens"] for r in mine)
         assert used <= s.quota and (not s.tokens or s.quota - used < max(size.values()))
+    blocks = {}
+    for r in sorted(got, key=lambda r: (r["slot"], r["place"])):
+        blocks.setdefault(r["source"], []).append((r["slot"], r["place"], r["tokens"]))
+        assert 0 <= r["place"] <= 40
+    for mine in blocks.values():  # in the order of the mixture a source's records follow each other without gaps
+        at = [40 * i + p for i, p in zip(itertools.accumulate((a[0] != b[0] for a, b in zip(mine, mine[1:])), initial=0), (x[1] for x in mine))]
+        assert at == sorted(at)
+    assert {r[0] for r in mixing.exhausted(found, uses).collect()} == {s.source for s in found if s.limited}
     empty, none = mixing.mixture(docs.limit(0), "doc_id", "text", "source", weights)
     assert none.count() == 0 and all(s.tokens == 0 for s in empty)
 
