@@ -7,9 +7,11 @@ no compatibility decomposition, so the character map of a batch is derived from
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,6 +23,10 @@ from pairforge.storage import materialize
 
 #: Group members per salt when pairs inside one form are made.
 PER_SALT = 2000
+#: Replacements in one SQL expression (the parser's depth has a limit); more go into further statements.
+PER_STATEMENT = 200
+#: About as many characters are handed to the embedded database at once, unless one text has more.
+SLICE_CHARS = 4 << 20
 
 
 def invisible(c: str) -> bool:
@@ -32,7 +38,11 @@ def form_of(text: str | None, looks: dict[str, str]) -> str | None:
     if text is None:
         return None
     text = unicodedata.normalize("NFKD", "".join(c for c in text if not invisible(c)))
-    return " ".join(unicodedata.normalize("NFC", "".join(looks.get(c, c) for c in text)).split())
+    if any(len(k) != 1 for k in looks):  # the longest that stands at a place is replaced
+        text = re.sub("|".join(re.escape(k) for k in sorted(looks, key=len, reverse=True) if k), lambda m: looks[m[0]], text)
+    else:
+        text = "".join(looks.get(c, c) for c in text)
+    return " ".join(unicodedata.normalize("NFC", text).split())
 
 
 def target(c: str, looks: dict[str, str]) -> str:
@@ -50,13 +60,15 @@ class Former:
 
         self.looks = looks
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        # Marks that are look-alikes could change their order against other marks: such tables take the plain path.
-        self.plain = any(unicodedata.combining(x) for k, v in looks.items() for x in k + v)
+        # Marks that are look-alikes could change their order against other marks, and longer look-alikes can stretch over
+        # several characters of a text: such tables take the plain path.
+        self.plain = any(len(k) != 1 or any(map(unicodedata.combining, k + v)) for k, v in looks.items())
         self.ascii = {c for c in looks if c < "\x7f"}
         self.known: dict[str, str] = {}
 
-    def sql(self, chars: Iterable[str]) -> str | None:
-        """The expression for a batch with these characters, or None if one replacement could touch another's result."""
+    def sql(self, chars: Iterable[str]) -> list[str] | None:
+        """The expressions, to be applied one after the other, for texts with these characters; None if one replacement
+        could touch another's result."""
         single, gone, several = [], [], []
         for c in chars:
             if c not in self.known:
@@ -69,37 +81,59 @@ class Former:
         if any(x in moved or x == "\0" for _, t in single + several for x in t):
             return None
         quote = lambda s: "'" + s.replace("'", "''") + "'"
-        out = "text"
-        for c, t in several:
-            out = f"replace({out}, {quote(c)}, {quote(t)})"
+        out = []
+        for at in range(0, len(several) or 1, PER_STATEMENT):
+            chain = "text"
+            for c, t in several[at : at + PER_STATEMENT]:
+                chain = f"replace({chain}, {quote(c)}, {quote(t)})"
+            out.append(chain)
         if single or gone:
-            out = f"translate({out}, {quote(''.join(c for c, _ in single + gone))}, {quote(''.join(t for _, t in single))})"
-        return f"trim(regexp_replace(nfc_normalize({out}), ' +', ' ', 'g'))"
+            out[-1] = f"translate({out[-1]}, {quote(''.join(c for c, _ in single + gone))}, {quote(''.join(t for _, t in single))})"
+        out[-1] = f"trim(regexp_replace(nfc_normalize({out[-1]}), ' +', ' ', 'g'))"
+        return out
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        t = pa.table({"text": texts.cast(pa.string())})
-        self.con.register("t", t)
+        """The forms, in the order of the texts."""
+        texts = texts.cast(pa.string())
+        group = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(group) - group) // SLICE_CHARS
+        cuts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self.forms(texts.slice(x, y - x)) for x, y in zip(cuts, cuts[1:]) if y > x] or [texts])
+
+    def forms(self, texts: pa.Array) -> pa.Array:
+        import duckdb
+
+        try:
+            out = None if self.plain else self.embedded(texts)
+        except duckdb.OutOfMemoryException:  # a text beyond the memory of the embedded database
+            self.con.unregister("t")
+            out = None
+        return pa.array([form_of(x, self.looks) for x in texts.to_pylist()], pa.string()) if out is None else out
+
+    def embedded(self, texts: pa.Array) -> pa.Array | None:
+        """The forms by SQL; None if these texts must take the plain path."""
+        self.con.register("t", pa.table({"text": texts}))
         rest = "SELECT DISTINCT unnest(string_split(regexp_replace(text, '[ -~]+', '', 'g'), '')) AS c FROM t"
-        chars = {r[0] for r in self.con.execute(f"SELECT c FROM ({rest}) WHERE c <> ''").fetchall()}
         # A letter and the marks after it can count as one character there.
-        chars = {x for c in chars for x in c}
-        # nfc_normalize ends a text that is not ASCII at its first U+0000: such texts take the plain path.
-        cut = pc.fill_null(pc.match_substring(t["text"], "\0"), False).to_pylist() if "\0" in chars else []
-        expr = None if self.plain else self.sql(sorted((chars | self.ascii) - {"\0"}))
-        if expr is None:
-            out = pa.array([form_of(x, self.looks) for x in t["text"].to_pylist()], pa.string())
-        else:
-            out = self.con.execute(f"SELECT {expr} AS form FROM t").to_arrow_table()["form"].combine_chunks()
-            if cut:
-                out = pc.replace_with_mask(out.cast(pa.string()), pa.array(cut), pa.array([form_of(x, self.looks) for x, c in zip(t["text"].to_pylist(), cut) if c], pa.string()))
+        chars = {x for r in self.con.execute(f"SELECT c FROM ({rest}) WHERE c <> ''").fetchall() for x in r[0]}
+        steps = self.sql(sorted((chars | self.ascii) - {"\0"}))
+        out = texts
+        for step in steps or ():
+            self.con.unregister("t")
+            self.con.register("t", pa.table({"text": out}))
+            out = self.con.sql(f"SELECT {step} AS form FROM t").to_arrow_table()["form"].combine_chunks().cast(pa.string())
         self.con.unregister("t")
-        return out.cast(pa.string())
+        if steps and "\0" in chars:
+            # nfc_normalize ends a text that is not ASCII at its first U+0000: such texts take the plain path.
+            cut = pc.fill_null(pc.match_substring(texts, "\0"), False)
+            out = pc.replace_with_mask(out, cut, pa.array([form_of(x, self.looks) for x in texts.filter(cut).to_pylist()], pa.string()))
+        return out if steps else None
 
 
 def look_map(lookalikes: DataFrame) -> dict[str, str]:
-    """The look-alikes as a map.  At most one entry per code point, so its size is bounded by Unicode itself."""
+    """The look-alikes as a map.  Nearly all are single code points, so its size is bounded by Unicode itself; empty ones say nothing."""
     rows = lookalikes.where("looks IS NOT NULL AND plain IS NOT NULL").groupBy("looks").agg(F.min("plain").alias("plain")).collect()
-    return {r["looks"]: r["plain"] for r in rows if len(r["looks"]) == 1}
+    return {r["looks"]: r["plain"] for r in rows if r["looks"]}
 
 
 def with_form(df: DataFrame, text: str, lookalikes: DataFrame, keep: list[str], keep_text: bool = False) -> DataFrame:

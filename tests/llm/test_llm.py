@@ -46,6 +46,48 @@ def test_random_forms():
     assert former(pa.array(texts)).to_pylist() == [canonical.form_of(t, LOOKS) for t in texts]
 
 
+def test_all_characters_at_once(monkeypatch):
+    import pyarrow as pa
+
+    every = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    texts = ["".join(every[i : i + 50]) + " x" for i in range(0, len(every), 50)] + ["".join(f"a{c} " for c in every)]
+    want = [canonical.form_of(t, LOOKS) for t in texts]
+    assert canonical.Former(LOOKS)(pa.array(texts)).to_pylist() == want
+    compat = [c for c in every if len(unicodedata.normalize("NFKD", c)) > 1 and not unicodedata.combining(c)]
+    assert len(compat) > 2000
+    texts = ["-".join(compat)] * 3 + [None, ""]
+    former = canonical.Former(LOOKS)
+    monkeypatch.setattr(former, "forms", lambda part: former.embedded(part))  # no plain path
+    assert former(pa.array(texts)).to_pylist() == [canonical.form_of(t, LOOKS) for t in texts]
+
+
+def test_long_documents(monkeypatch):
+    import duckdb
+    import pyarrow as pa
+
+    texts = ["é ﬁ а  " * 200_000] * 10 + ["x"] * 1000 + [None, "", "ﬃ" * 3_000_000]
+    former = canonical.Former(LOOKS)
+    want = {t: canonical.form_of(t, LOOKS) for t in set(texts)}
+    assert former(pa.array(texts)).to_pylist() == [want[t] for t in texts]
+
+    def full(part):
+        raise duckdb.OutOfMemoryException("full")
+
+    monkeypatch.setattr(former, "embedded", full)
+    assert former(pa.array(texts[9:14])).to_pylist() == [want[t] for t in texts[9:14]]
+
+
+def test_lookalikes_of_several_characters(spark):
+    import pyarrow as pa
+
+    looks = {**LOOKS, "rn": "m", "rnn": "mn", "ｖｖ": "w"}
+    texts = ["corner rnn ｒｎ vv", "ｖｖ", None, "а"]
+    assert canonical.Former(looks)(pa.array(texts)).to_pylist() == [canonical.form_of(t, looks) for t in texts]
+    assert canonical.form_of("corner rnn ｒｎ", looks) == "comer mn m"
+    df = spark.createDataFrame([(None, k, v) for k, v in [*looks.items(), ("", "x"), ("y", None)]], "code_point int, looks string, plain string")
+    assert canonical.look_map(df) == looks
+
+
 def test_chained_lookalikes_and_marks_take_the_plain_path():
     import pyarrow as pa
 
