@@ -21,8 +21,12 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_split(table(spark, d, "toxicitycliff"), "cliff_id", "toxic_smiles", table(spark, d, "mol_profile"))
 
 
+def p2_components(spark: SparkSession, d: str) -> DataFrame:
+    return p2_split(spark, d).select("cliff_id", "component")
+
+
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
-    return p2_split(spark, d).groupBy("new_split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+    return p2_split(spark, d).groupBy("new_split").agg(F.count("*").alias("n_rows"))
 
 
 def _cells(df: DataFrame) -> list:
@@ -106,4 +110,4 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.with_form(docs, text, looks, [key])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_totals, p3_found, p3_fragments, p3_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_components, p2_totals, p3_found, p3_fragments, p3_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}

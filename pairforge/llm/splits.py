@@ -7,20 +7,19 @@ components of each split so that its total is as close to its share as can be.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from math import gcd, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairforge.operators.lookup import lookup
+from pairforge.operators.lookup import lookup, with_counts
 from pairforge.storage import materialize, release
 
 PROPORTIONS = {"test": 0.1, "valid": 0.1, "train": 0.8}
 #: Components per bucket when they are numbered inside their size.
 BUCKET = 50_000
-#: Up to this many bits, a miss leads to the bitset without any components set beforehand at once; above, step by step.
-FULL_BITS = 1 << 24
 
 
 def digest(c: Column) -> Column:
@@ -37,25 +36,27 @@ def components(edges: DataFrame) -> DataFrame:
     """
     whole = edges.where("a IS NOT NULL AND b IS NOT NULL")
     parents = materialize(whole.select(F.col("a").alias("node")).union(whole.select("b")).distinct().withColumn("root", F.col("node")), "parents")
-    live = materialize(_facing(whole), "edges")
+    live, first = materialize(_facing(whole), "edges"), True
     while not live.isEmpty():
-        hooks = materialize(live.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), "hooks")
-        while True:
+        hooks = materialize(live.groupBy("a").agg(F.min("b").alias("root"), F.count("*").alias("n_a")).withColumnRenamed("a", "node"), "hooks")
+        # Chains only grow where a hooked node is hooked onto; in stars there is none.
+        while not hooks.join(hooks.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = materialize(hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "hooks")
+            # Many nodes may hang on one root.
+            jumped = materialize(lookup(hooks, with_counts(hooks, up, "root"), "root", "__n", "left").select("node", F.coalesce("above", "root").alias("root"), "n_a"), "hooks")
             release(hooks)
-            hooks = jumped.select("node", "root")
-            hooks._pairforge_path = jumped._pairforge_path
-            if jumped.where("moved").isEmpty():
-                break
+            hooks = jumped
         over = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        nearer = materialize(parents.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "parents")
-        left = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        # In the first round every node is its own root; later a root may stand for a large part of all nodes.
+        counted = over.withColumn("__n", F.lit(1)) if first else materialize(with_counts(parents, over, "root"), "counted")
+        nearer = materialize(lookup(parents, counted, "root", "__n", "left").select("node", F.coalesce("above", "root").alias("root")), "parents")
+        ends = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"), "n_a")
+        half = lookup(live, ends, "a", "n_a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+        ends = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        moved = lookup(half, materialize(with_counts(live, ends, "b"), "ends"), "b", "__n", "left").select("a", F.coalesce("rb", "b").alias("b"))
         fewer = materialize(_facing(moved), "edges")
         release(parents, live, hooks)
-        parents, live = nearer, fewer
+        parents, live, first = nearer, fewer, False
     release(live)
     return parents
 
@@ -91,27 +92,56 @@ def straddling(rows: DataFrame, row_id: str, text: str, profile: DataFrame) -> D
     return lookup(placed, per.where("least <> most"), "root", "n_rows").select(F.col("row_id").alias(row_id))
 
 
+def least_miss(sizes: Iterable[int], target: int) -> int:
+    """No total of components of these sizes is nearer to ``target``: all are multiples of the greatest common divisor."""
+    step = gcd(*sizes)
+    return min(target % step, -target % step) if step else target
+
+
 def closest(sizes: Mapping[int, int], target: int) -> dict[int, int]:
     """How many components of each size to take so that their total is as close to ``target`` as possible.
 
-    The set of reachable totals is one bitset; each size enters with its multiplicity in doubling bundles.  A tie goes
-    to the smaller total.
+    The set of reachable totals is one bitset, in steps of the sizes' greatest common divisor; each size enters with its
+    multiplicity in doubling bundles, until no total can be closer.  Of the earlier bitsets, which tell what a total is made of, only
+    every so many-th is kept (the square root of their number); those between are made again.  A tie goes to the smaller total.
     """
-    limit = (1 << (2 * target + 2)) - 1
-    reach, before = 1, []
-    for size in sorted(sizes, reverse=True):
-        left, bundle = sizes[size], 1
-        while left and not reach >> target & 1:
+    usable = {s: m for s, m in sizes.items() if m > 0 and s <= 2 * target}
+    step = gcd(*usable)
+    if not step:
+        return {}
+    bits = 2 * target // step + 1
+    limit = (1 << bits) - 1
+    bundles = []
+    for size in sorted(usable, reverse=True):
+        left, bundle = usable[size], 1
+        while left:
             take = min(bundle, left)
-            before.append((size, take, reach))
-            reach |= (reach << (size * take)) & limit if size * take <= 2 * target + 1 else 0
+            if size * take < bits * step:
+                bundles.append((size, take))
             left, bundle = left - take, bundle * 2
-    total = next((t for d in range(target + 2) for t in (target - d, target + d) if t >= 0 and reach >> t & 1), 0)
+    grow = lambda reach, k: reach | (reach << (bundles[k][0] * bundles[k][1] // step)) & limit
+    best = min((target // step, -(-target // step)), key=lambda t: (abs(t * step - target), t))
+    every = isqrt(len(bundles)) + 1
+    kept, reach, n = [], 1, 0
+    while n < len(bundles) and not reach >> best & 1:
+        if n % every == 0:
+            kept.append(reach)
+        reach, n = grow(reach, n), n + 1
+    # The nearest reachable totals on both sides of the target.
+    below = (reach & ((1 << target // step + 1) - 1)).bit_length() - 1
+    above = reach >> target // step + 1
+    options = [below] + ([target // step + (above & -above).bit_length()] if above else [])
+    total = min(options, key=lambda t: (abs(t * step - target), t))
     chosen: dict[int, int] = {}
-    for size, take, was in reversed(before):
-        if not was >> total & 1:
-            chosen[size] = chosen.get(size, 0) + take
-            total -= size * take
+    for block in range(len(kept) - 1, -1, -1):
+        part = [kept[block]]
+        for k in range(block * every, min(n, (block + 1) * every) - 1):
+            part.append(grow(part[-1], k))
+        for k in range(block * every + len(part) - 1, block * every - 1, -1):
+            if not part[k - block * every] >> total & 1:
+                size, take = bundles[k]
+                chosen[size] = chosen.get(size, 0) + take
+                total -= size * take // step
     return chosen
 
 
@@ -119,24 +149,24 @@ def allot(sizes: Mapping[int, int], proportions: Mapping[str, float]) -> dict[st
     """Components of each size for every split but the last, which gets the rest.
 
     A share of every size is set first, so that each split has small and large components alike; the bitset then
-    settles what is left.  If that misses the target, the bitset decides everything; above FULL_BITS half of what is set
-    is released at a time, until the target is met or nothing is set, so that a miss is the least there can be.
+    settles what is left.  While that misses the target by more than it must, half of what is set is released, until nothing
+    is, so that the miss is the least there can be.
     """
     total = sum(s * m for s, m in sizes.items())
     free, out = dict(sizes), {}
     for name in list(proportions)[:-1]:
         target = round(total * proportions[name])
         share = {s: min(int(m * proportions[name]), free[s]) for s, m in sizes.items()}
-        found, miss = {}, None
+        found, miss, bound = {}, None, least_miss([s for s, m in free.items() if m], target)
         while True:
             more = closest({s: free[s] - share[s] for s in free if free[s] > share[s]}, max(0, target - sum(s * k for s, k in share.items())))
             other = {s: share[s] + more.get(s, 0) for s in free}
             off = abs(sum(s * k for s, k in other.items()) - target)
             if miss is None or off < miss:
                 found, miss = other, off
-            if not miss or not any(share.values()):
+            if miss <= bound or not any(share.values()):
                 break
-            share = {s: k // 2 if target > FULL_BITS else 0 for s, k in share.items()}
+            share = {s: k // 2 for s, k in share.items()}
         out[name] = {s: k for s, k in found.items() if k}
         free = {s: m - out[name].get(s, 0) for s, m in free.items()}
     return out
@@ -170,7 +200,9 @@ def group_split(rows: DataFrame, row_id: str, text: str, profile: DataFrame, pro
     numbered = bucket.join(base, ["size", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
     ranges = spark.createDataFrame(bounds or [], "size bigint, new_split string, lo bigint, hi bigint").alias("b")
     placed = numbered.alias("c").join(ranges, F.expr("c.size = b.size AND rank >= lo AND rank < hi"), "left").select("root", F.coalesce("new_split", F.lit(last)).alias("new_split"))
-    by_root = of.join(placed, "root").select("m", "n", F.col("root").alias("component"), "new_split")
+    placed = materialize(placed, "new")
+    # A component may have a large part of all molecules.
+    by_root = lookup(of, materialize(with_counts(of, placed, "root"), "counted"), "root", "__n").select("m", "n", F.col("root").alias("component"), "new_split")
     by_mol = materialize(by_root, "placed")
     with_mol = lookup(held.where("m IS NOT NULL"), by_mol, "m", "n").select("row_id", "component", "new_split")
     without = held.where("m IS NULL").select("row_id").join(placed, F.col("row_id") == F.col("root")).select("row_id", F.col("root").alias("component"), "new_split")

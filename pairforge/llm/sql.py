@@ -6,6 +6,24 @@ WITH named AS (
   FROM toxicitycliff t LEFT JOIN mol_profile p ON p.smiles = trim(t.toxic_smiles))
 """
 
+_COMPONENTS = """
+WITH RECURSIVE mols AS (SELECT trim(toxic_smiles) AS m, min(cliff_id) AS id FROM toxicitycliff WHERE trim(toxic_smiles) <> '' GROUP BY 1),
+keys AS (
+  SELECT id, m AS key FROM mols UNION SELECT id, p.canonical FROM mols JOIN mol_profile p ON p.smiles = m WHERE p.canonical IS NOT NULL
+  UNION SELECT id, p.scaffold FROM mols JOIN mol_profile p ON p.smiles = m WHERE p.scaffold IS NOT NULL),
+stars AS (SELECT id AS a, min(id) OVER (PARTITION BY key) AS b FROM keys),
+edges AS (SELECT a, b FROM stars UNION SELECT b, a FROM stars),
+reach AS (SELECT id, id AS at FROM mols UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.at),
+roots AS (SELECT m, min(at) AS root FROM reach JOIN mols USING (id) GROUP BY m)
+SELECT t.cliff_id, coalesce(r.root, t.cliff_id) AS component FROM toxicitycliff t LEFT JOIN roots r ON r.m = trim(t.toxic_smiles)
+"""
+
+# The shares themselves: the tables have single rows enough to meet them.
+_TOTALS = """
+WITH n AS (SELECT count(*) AS n, round_even(0.1::double * count(*), 0)::bigint AS share FROM toxicitycliff)
+SELECT 'test' AS new_split, share AS n_rows FROM n UNION ALL SELECT 'valid', share FROM n UNION ALL SELECT 'train', n - 2 * share FROM n
+"""
+
 _FRAGMENTS = """
 WITH cells AS (
   SELECT cliff_id, 1 AS side, only_toxic_safe_fragments AS cell FROM toxicitycliff
@@ -42,6 +60,8 @@ per AS (
 
 SQL = {
     "p2_found": _ENTITY + "SELECT cliff_id FROM named WHERE split IS NOT NULL AND entity IN (SELECT entity FROM named WHERE split IS NOT NULL AND entity IS NOT NULL GROUP BY entity HAVING count(DISTINCT split) > 1)",
+    "p2_components": _COMPONENTS,
+    "p2_totals": _TOTALS,
     "p3_ngrams": _FRAGMENTS + "SELECT ngram, n, occurrences, n_records, mark FROM marked",
     "p3_fragments": _FRAGMENTS + "SELECT ngram AS fragment, occurrences, n_records, mark FROM marked WHERE n = 1",
     "p3_found": _FRAGMENTS + "SELECT ngram AS fragment, mark FROM marked WHERE n = 1 AND mark IS NOT NULL",

@@ -328,9 +328,13 @@ def test_marks(spark):
 # -- splits ------------------------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_components(spark, monkeypatch, hot):
+    from pairforge.operators import lookup
+
+    monkeypatch.setattr(lookup, "HOT_ROWS", hot)
     rnd = random.Random(6)
-    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(500, 500 + i) for i in range(50)] + [(900, 900)]
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(500, 500 + i) for i in range(50)] + [(900, 900)] + [(500 + 7 * i, 501 + 7 * i) for i in range(9)]
     root = {x: x for e in edges for x in e}
 
     def find(x):
@@ -359,9 +363,24 @@ def test_closest_total(seed):
     assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(t - target) for t in totals)
 
 
-@pytest.mark.parametrize("bits", [0, 1 << 24])
-def test_first_split_is_closest_whatever_its_size(monkeypatch, bits):
-    monkeypatch.setattr(splits, "FULL_BITS", bits)
+def test_closest_total_needs_little_memory():
+    """Many sizes of one divisor and a target that none of their totals meets."""
+    import tracemalloc
+
+    sizes = {2 * i: 3 for i in range(1, 2001)}
+    tracemalloc.start()
+    got = splits.closest(sizes, 1_000_001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * k for s, k in got.items()) == 1_000_000 and peak < 20e6
+    rnd = random.Random(1)
+    sizes = {rnd.randrange(1, 4000) * 7: rnd.randrange(1, 4) for _ in range(300)}
+    got = splits.closest(sizes, 300_003)
+    assert all(k <= sizes[s] for s, k in got.items()) and abs(sum(s * k for s, k in got.items()) - 300_003) == splits.least_miss(sizes, 300_003)
+    assert splits.closest({5: 1}, 0) == splits.closest({}, 9) == {}
+
+
+def test_first_split_is_closest_whatever_is_set_beforehand():
     for seed in range(100):
         rnd = random.Random(seed)
         sizes = {rnd.randrange(1, 60): rnd.randrange(1, 40) for _ in range(rnd.randrange(1, 5))}
