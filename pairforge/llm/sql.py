@@ -13,8 +13,8 @@ keys AS (
   UNION SELECT id, p.scaffold FROM mols JOIN mol_profile p ON p.smiles = m WHERE p.scaffold IS NOT NULL),
 stars AS (SELECT id AS a, min(id) OVER (PARTITION BY key) AS b FROM keys),
 edges AS (SELECT a, b FROM stars UNION SELECT b, a FROM stars),
-reach AS (SELECT id, id AS at FROM mols UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.at),
-roots AS (SELECT m, min(at) AS root FROM reach JOIN mols USING (id) GROUP BY m)
+reach AS (SELECT id, id AS seen FROM mols UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+roots AS (SELECT m, min(seen) AS root FROM reach JOIN mols USING (id) GROUP BY m)
 SELECT t.cliff_id, coalesce(r.root, t.cliff_id) AS component FROM toxicitycliff t LEFT JOIN roots r ON r.m = trim(t.toxic_smiles)
 """
 
