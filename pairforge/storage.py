@@ -29,11 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema.  ``release`` deletes it."""
+    """Write ``df`` to the shared folder and read it back with the same schema.  ``release`` deletes it; what is left is
+    deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairforge-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._pairforge_path = path
     return out
@@ -44,6 +52,6 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_pairforge_path", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            files, target = _file_system(df.sparkSession, path)
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
