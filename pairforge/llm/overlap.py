@@ -34,6 +34,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: A pair of similar first texts with more pairs of second texts than this gets them from a similarity join, too.
 HOT_PAIRS = 1_000
+#: Rows of one text pair per salt when their pairs are made, and how many text pairs with more are broadcast at most.
+HOT_ROWS, BROADCAST_ROWS = 2_000, 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -324,13 +326,15 @@ def overlaps(df: DataFrame, row_id: str, first: str, second: str, in_a: Column,
     rows = rows.where("t1 <> '' AND t2 <> '' AND (in_a OR in_b)").withColumn("k1", _key("t1")).withColumn("k2", _key("t2"))
     texts = _distinct_texts(rows, "k1", "t1")
     near = materialize(_with_same(similar_texts(texts, edits), texts), "near")
+    release(texts)
     slim = materialize(rows.select("row_id", "k1", "k2", F.length("t2").alias("l2"), "in_a", "in_b"), "rows")  # texts stay behind
-    held = slim.groupBy("k1", "k2").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.first("l2").alias("l2"))
+    held = slim.groupBy("k1", "k2").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.first("l2").alias("l2"), F.count("*").alias("n"))
     held = materialize(held, "pairs")
     a = held.where("in_a").select(F.col("k1").alias("key_a"), F.col("k2").alias("k2_a"), F.col("l2").alias("l2_a"))
     b = held.where("in_b").select(F.col("k1").alias("key_b"), F.col("k2").alias("k2_b"), F.col("l2").alias("l2_b"))
     counted = near.join(a.groupBy("key_a").agg(F.count("*").alias("n_a")), "key_a").join(b.groupBy("key_b").agg(F.count("*").alias("n_b")), "key_b")
     counted = materialize(counted, "counted")
+    release(near)
     few, many = counted.where(F.col("n_a") * F.col("n_b") <= HOT_PAIRS), counted.where(F.col("n_a") * F.col("n_b") > HOT_PAIRS)
     met = few.join(a, "key_a").join(b, "key_b").where(f"abs(l2_a - l2_b) <= {edits}")
     quads = materialize(met.select("key_a", "key_b", "k2_a", "k2_b", F.col("edits").alias("edits_1"), "cosine"), "met")
@@ -342,9 +346,28 @@ def overlaps(df: DataFrame, row_id: str, first: str, second: str, in_a: Column,
     if not many.isEmpty():
         keys = many.select(F.col("key_a").alias("k1")).union(many.select("key_b")).distinct()
         hot = _distinct_texts(rows.join(keys, "k1", "left_semi"), "k2", "t2")
-        near2 = _with_same(similar_texts(hot, edits), hot).select(F.col("key_a").alias("k2_a"), F.col("key_b").alias("k2_b"), F.col("edits").alias("edits_2"))
-        more = many.join(a, "key_a").join(near2, "k2_a").join(b.drop("l2_b"), ["key_b", "k2_b"])
+        near2 = materialize(_with_same(similar_texts(hot, edits), hot).select(F.col("key_a").alias("k2_a"), F.col("key_b").alias("k2_b"), F.col("edits").alias("edits_2")), "near")
+        # From the side with fewer second texts, so that a hot first text is not spread over its neighbours.
+        more = many.where("n_a <= n_b").join(a, "key_a").join(near2, "k2_a").join(b, ["key_b", "k2_b"])
+        more = more.unionByName(many.where("n_a > n_b").join(b, "key_b").join(near2, "k2_b").join(a, ["key_a", "k2_a"]))
         found = found.unionByName(more.select("key_a", "key_b", "k2_a", "k2_b", F.col("edits").alias("edits_1"), "cosine", "edits_2"))
-    ra = slim.where("in_a").select(F.col("k1").alias("key_a"), F.col("k2").alias("k2_a"), F.col("row_id").alias("id_a"))
-    rb = slim.where("in_b").select(F.col("k1").alias("key_b"), F.col("k2").alias("k2_b"), F.col("row_id").alias("id_b"))
-    return found.join(ra, ["key_a", "k2_a"]).join(rb, ["key_b", "k2_b"]).where("id_a <> id_b").select("id_a", "id_b", "edits_1", "edits_2", "cosine")
+    return _rows_of(found, slim, held)
+
+
+def _rows_of(found: DataFrame, slim: DataFrame, held: DataFrame) -> DataFrame:
+    """The row pairs of pairs of text pairs.  Rows of a text pair that very many rows share are spread over salts, so that no
+    task makes all their pairs."""
+    hot = held.where(F.col("n") > HOT_ROWS).select("k1", "k2", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
+    n_hot = hot.count()
+    row, ka, kb = slim.withColumn("salt", F.lit(0)), ["key_a", "k2_a", "salt_a"], ["key_b", "k2_b", "salt_b"]
+    found = found.withColumns({"salt_a": F.lit(0), "salt_b": F.lit(0)})
+    if n_hot:
+        # At most one text pair in HOT_ROWS rows is hot.
+        few = (lambda df: F.broadcast(df)) if n_hot <= BROADCAST_ROWS else (lambda df: df)
+        salts = F.coalesce("salts", F.lit(1))
+        row = slim.join(few(hot), ["k1", "k2"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), salts).cast("int"))
+        for s in ("a", "b"):
+            named = hot.select(F.col("k1").alias(f"key_{s}"), F.col("k2").alias(f"k2_{s}"), "salts")
+            found = found.join(few(named), [f"key_{s}", f"k2_{s}"], "left").withColumn(f"salt_{s}", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    side = lambda s: row.where(f"in_{s}").select(F.col("k1").alias(f"key_{s}"), F.col("k2").alias(f"k2_{s}"), F.col("salt").alias(f"salt_{s}"), F.col("row_id").alias(f"id_{s}"))
+    return found.join(side("a"), ka).join(side("b"), kb).where("id_a <> id_b").select("id_a", "id_b", "edits_1", "edits_2", "cosine")

@@ -447,6 +447,7 @@ def distance(a, b):
 @pytest.mark.parametrize("hot", [1000, 0])
 def test_overlaps_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(overlap, "HOT_PAIRS", hot)
+    monkeypatch.setattr(overlap, "HOT_ROWS", 2_000 if hot else 2)
     rnd = random.Random(8)
     parts = ["C(C)", "c1ccccc1", "N(C)C", "C(=O)", "S(=O)(=O)", "OC", "[NH2+]", "CCCCCCCC"]
     rows = []
@@ -457,6 +458,7 @@ def test_overlaps_against_brute_force(spark, monkeypatch, hot):
             t = t[: rnd.randrange(1, 9)]
         for _ in range(5):
             rows.append((len(rows), edit(t, rnd.randrange(5), rnd) + rnd.choice(["", " "]), edit(n, rnd.randrange(4), rnd), rnd.choice(["train", "train", "test", "valid", None])))
+    rows += [(len(rows) + i, rows[0][1], rows[0][2], ["train", "test"][i % 2]) for i in range(12)]
     rows += [(len(rows) + i, t, n, s) for i, (t, n, s) in enumerate([(None, "C", "train"), ("C", None, "test"), ("", "C", "test"), ("  ", "C", "train"), ("C" * 3000, "C", "train"), ("C" * 3001, "CN", "test")])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "cliff_id bigint, toxic_smiles string, nontoxic_smiles string, split string, term string")
     clean = [(i, (t or "").strip(" "), (n or "").strip(" "), s) for i, t, n, s in rows]
