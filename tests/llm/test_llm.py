@@ -195,14 +195,17 @@ def test_leaks_against_brute_force(spark):
     q = spark.createDataFrame(items, "item_id bigint, question string")
     words = lambda t: re.findall("[a-z0-9]+", (canonical.form_of(t, LOOKS) or "").lower())
 
-    def runs(t):
+    def runs(t, n=12):
         w = words(t)
-        return {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
-    a, b = {i: runs(t) for i, t in docs}, {i: runs(t) for i, t in items}
-    want = {(i, j) for i in a for j in b if a[i] & b[j]}
+    length = {j: min(12, len(words(t))) for j, t in items if words(t)}
+    a, b = {n: {i: runs(t, n) for i, t in docs} for n in set(length.values())}, {j: runs(t, length[j]) for j, t in items if j in length}
+    want = {(i, j) for j in b for i, _ in docs if a[length[j]][i] & b[j]}
     got = leaks.leaks(d, "doc_id", "text", q, "item_id", "question", looks_df(spark)).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got if r["exact"]} == want and want
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["exact"]} == want and {r["window"] for r in got} == {5, 12} and all(r["window"] == length[r["item_id"]] for r in got)
+    quick = leaks.leaks(d, "doc_id", "text", q, "item_id", "question", looks_df(spark), partial=False).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in quick if r["exact"]} == want and {tuple(r) for r in quick} <= {tuple(r) for r in got}
     assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got) and all(r["similarity"] >= 0.8 for r in got)
     assert leaks.leaks(d, "doc_id", "text", q.limit(0), "item_id", "question", looks_df(spark)).count() == 0
     assert leaks.leaks(d.limit(0), "doc_id", "text", q, "item_id", "question", looks_df(spark)).count() == 0
@@ -238,7 +241,7 @@ def test_no_similar_windows_are_missed():
     want = {k: v for k, v in want.items() if v >= 0.8}
     found = leaks.build([(i, " ".join(w)) for i, w in items], weight, 12)
     batch = pa.record_batch({"doc_id": [i for i, _ in docs], "words": [" ".join(w) for _, w in docs]})
-    out = [r for b in leaks.search(found, weight, 12, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
+    out = [r for b in leaks.search([lambda: found], weight, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in out} == pytest.approx(want) and len(out) == len(want)
     assert sum(not r["exact"] for r in out) > 5
 
@@ -262,8 +265,9 @@ def test_similarity_depends_neither_on_passes_nor_on_which_words_items_have(spar
     windows = lambda t: [t.split()[i : i + 12] for i in range(len(t.split()) - 11)]
     want = {(i, j): max(similarity(x, y) for x in windows(a) for y in windows(b)) for i, a in docs for j, b in items if set(a.split()) & set(b.split())}
     want = {k: v for k, v in want.items() if v >= 0.8}
-    for most in (leaks.PASS_WINDOWS, 100):
-        monkeypatch.setattr(leaks, "PASS_WINDOWS", most)
+    for most, piece in ((leaks.PART_WINDOWS, leaks.PIECE), (100, 2)):
+        monkeypatch.setattr(leaks, "PART_WINDOWS", most)
+        monkeypatch.setattr(leaks, "PIECE", piece)
         got = leaks.leaks(d, "doc_id", "text", q, "item_id", "question", looks_df(spark)).collect()
         assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want)
     assert any(v < 1 for v in want.values())
@@ -276,9 +280,7 @@ def test_all_fingerprints_within_the_radius():
     base = rnd.integers(0, 2**63, 200).astype(np.uint64)
     items = leaks.build([(i, " ".join(f"{i}x{j}" for j in range(20))) for i in range(30)], {}, 12)
     items.prints = np.unique(base)
-    for b in range(leaks.BLOCKS):
-        part = ((items.prints >> np.uint64(16 * b)) & np.uint64(65535)).astype(np.int64)
-        items.index[b] = (np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=65536))]))
+    items.index = [leaks.block_index(items.prints, b) for b in range(leaks.BLOCKS)]
     query = items.prints.copy()
     for k in range(3):
         query ^= np.uint64(1) << rnd.integers(0, 64, len(query)).astype(np.uint64)
