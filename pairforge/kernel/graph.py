@@ -21,13 +21,18 @@ class ParseError(ValueError):
 class Graph:
     atoms: list[str] = field(default_factory=list)
     bonds: dict[tuple[int, int], str] = field(default_factory=dict)
+    _near: tuple | None = field(default=None, compare=False, repr=False)
 
     def neighbours(self) -> list[list[tuple[int, str]]]:
-        out: list[list[tuple[int, str]]] = [[] for _ in self.atoms]
-        for (a, b), s in self.bonds.items():
-            out[a].append((b, s))
-            out[b].append((a, s))
-        return out
+        """Per atom its neighbours and the bonds to them; kept until atoms or bonds are added."""
+        size = (len(self.atoms), len(self.bonds))
+        if self._near is None or self._near[0] != size:
+            out: list[list[tuple[int, str]]] = [[] for _ in self.atoms]
+            for (a, b), s in self.bonds.items():
+                out[a].append((b, s))
+                out[b].append((a, s))
+            self._near = size, out
+        return self._near[1]
 
     def without(self, drop: set[int]) -> Graph:
         keep = [i for i in range(len(self.atoms)) if i not in drop]
@@ -182,7 +187,7 @@ def ranks(g: Graph) -> list[int]:
 
 def write(g: Graph, part: list[int] | None = None, order: list[int] | None = None, root: int | None = None, extra: dict[int, list[str]] | None = None, first_ring: int = 1) -> str:
     """One connected part as text, depth first by ``order``; ``extra`` holds labels to put behind atoms."""
-    near, order, extra = g.neighbours(), order or list(range(len(g.atoms))), extra or {}
+    near, order, extra = g.neighbours(), order or range(len(g.atoms)), extra or {}
     part = part if part is not None else list(range(len(g.atoms)))
     root = root if root is not None else min(part, key=lambda i: order[i])
     children: dict[int, list[tuple[int, str]]] = {}
@@ -241,8 +246,8 @@ def write(g: Graph, part: list[int] | None = None, order: list[int] | None = Non
     return "".join(out)
 
 
-def canonical(g: Graph) -> str:
-    order = ranks(g)
+def canonical(g: Graph, order: list[int] | None = None) -> str:
+    order = order or ranks(g)
     return ".".join(sorted(write(g, p, order) for p in g.components()))
 
 

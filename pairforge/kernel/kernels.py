@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
+from itertools import combinations
 from typing import Protocol
 
 import pandas as pd
@@ -45,19 +49,60 @@ class TableKernel:
         return keys.join(self.table.select("smiles", *cols).dropDuplicates(["smiles"]), "smiles", "left")
 
 
-def _hash(x) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "big")
+@lru_cache(1 << 16)
+def _code(text: str) -> int:
+    """63 bits that stand for a symbol, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 1
+
+
+def _words(values: Iterable[int], bits: int) -> list[int]:
+    words = [0] * (bits // 64)
+    for x in values:
+        words[x % bits // 64] |= 1 << (x % 64)
+    return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
 def fingerprint(g: G.Graph, radius: int = RADIUS, bits: int = FP_BITS) -> list[int]:
     """Hashed circular neighbourhoods of every atom up to ``radius`` bonds, as 64-bit words (signed)."""
-    near, words = g.neighbours(), [0] * (bits // 64)
-    ident = [_hash((a, len(near[i]))) for i, a in enumerate(g.atoms)]
-    for _ in range(radius + 1):
-        for x in ident:
-            words[x % bits // 64] |= 1 << (x % 64)
-        ident = [_hash((ident[i], sorted((s, ident[j]) for j, s in near[i]))) for i in range(len(ident))]
-    return [w - (1 << 64) if w >> 63 else w for w in words]
+    near = [[(_code(s), j) for j, s in x] for x in g.neighbours()]
+    # Hashes of tuples of integers are the same in every process.
+    ident = [hash((_code(a), len(x))) for a, x in zip(g.atoms, near)]
+    seen = set(ident)
+    for _ in range(radius):
+        ident = [hash((ident[i], *sorted((s, ident[j]) for s, j in x))) for i, x in enumerate(near)]
+        seen.update(ident)
+    return _words(seen, bits)
+
+
+def path_fingerprint(g: G.Graph, longest: int = 7, bits: int = 2048) -> list[int]:
+    """Hashed paths of 1 to ``longest`` bonds, read from either end."""
+    near, code = [[(_code(s or "-"), j) for j, s in x] for x in g.neighbours()], [_code(a) for a in g.atoms]
+    seen: set[int] = set()
+    for start in range(len(code)):
+        todo = [((start,), (code[start],), (code[start],))]
+        for _ in range(longest):
+            longer = []
+            for atoms, there, back in todo:
+                for s, j in near[atoms[-1]]:
+                    if j not in atoms:
+                        longer.append(((*atoms, j), (*there, s, code[j]), (code[j], s, *back)))
+            seen.update(hash(min(there, back)) for _, there, back in longer)
+            todo = longer
+    return _words(seen, bits)
+
+
+def key_fingerprint(g: G.Graph, bits: int = 192) -> list[int]:
+    """Structural keys, made by rule: elements, bonds and pairs of bonds that occur once, twice, or four times; rings by size."""
+    near, names = g.neighbours(), [G.element(a) for a in g.atoms]
+    flat = G.bridges(g)
+    counts = Counter(names)
+    counts.update(f"{min(x, y)}{s or '-'}{max(x, y)}" for (a, b), s in g.bonds.items() for x, y in [(names[a], names[b])])
+    counts.update("".join(sorted((s or "-") + names[j] for j, s in pair)) + names[i] for i, x in enumerate(near) for pair in combinations(x, 2))
+    counts.update("ring" if b not in flat else "chain" for b in g.bonds)
+    counts.update(f"charge{a[-2]}" for a in g.atoms if a[0] == "[" and a[-2] in "+-")
+    counts["parts"] = len(g.components())
+    counts["rings"] = len(g.bonds) - len(g.atoms) + counts["parts"]
+    return _words((hash((_code(k), n)) for k, v in counts.items() for n in (1, 2, 4) if v >= n), bits)
 
 
 # Average atomic masses and usual valences.
@@ -97,32 +142,52 @@ def descriptors(g: G.Graph) -> dict[str, float | None]:
 class GraphKernel:
     """Profiles from this package's own graph, in batches on the executors.  A text that is no molecule has null fields;
     a molecule without a bond to cut has the empty SAFE text; one without rings has the empty scaffold and no
-    scaffold fingerprint.  Values are this kernel's own: compare them only with each other."""
+    scaffold fingerprint.  Values are this kernel's own: compare them only with each other.
+
+    ``columns`` names what is worked out; the other fields are null.  A text is parsed and ranked once for all of them.
+    """
 
-    def __init__(self, slicer="rotatable"):
-        self.slicer = slicer
+    def __init__(self, slicer="rotatable", columns: Iterable[str] | None = None):
+        self.slicer, self.columns = slicer, set(columns or [n for n in MOL_PROFILE.fieldNames() if n not in ("path_fp", "keys_fp")])
 
     def profile(self, molecules: DataFrame) -> DataFrame:
-        slicer = self.slicer
+        wanted, converter = self.columns, Converter(self.slicer)
 
         def one(text: str) -> dict:
+            out = {"smiles": text}
             try:
                 g = G.parse(text.strip())
             except G.ParseError:
-                return {"smiles": text}
-            core = G.scaffold(g)
-            try:
-                safe = Converter(slicer).encode(text.strip())
-            except ValueError:
-                safe = ""
-            return {"smiles": text, "canonical": G.canonical(g), "safe": safe, "scaffold": G.canonical(core) if core.atoms else "", "fp": fingerprint(g), "scaffold_fp": fingerprint(core) if core.atoms else None, "props": descriptors(g)}
-
-        def run(parts):
-            names = MOL_PROFILE.fieldNames()
-            for pdf in parts:
-                yield pd.DataFrame([{n: None for n in names} | one(x) for x in pdf["smiles"]], columns=names)
-
-        return molecules.select("smiles").where("smiles IS NOT NULL").distinct().mapInPandas(run, MOL_PROFILE)
+                return out
+            order = G.ranks(g) if wanted & {"canonical", "safe"} else None
+            if "canonical" in wanted:
+                out["canonical"] = G.canonical(g, order)
+            if "safe" in wanted:
+                try:
+                    out["safe"] = converter.encode_graph(g, order)
+                except ValueError:
+                    out["safe"] = ""
+            if wanted & {"scaffold", "scaffold_fp"}:
+                core = G.scaffold(g)
+                if "scaffold" in wanted:
+                    out["scaffold"] = G.canonical(core) if core.atoms else ""
+                if "scaffold_fp" in wanted:
+                    out["scaffold_fp"] = fingerprint(core) if core.atoms else None
+            for name, make in (("fp", fingerprint), ("path_fp", path_fingerprint), ("keys_fp", key_fingerprint), ("props", descriptors)):
+                if name in wanted:
+                    out[name] = make(g)
+            return out
+
+        return _profiled(molecules, one)
+
+
+def _profiled(molecules: DataFrame, one) -> DataFrame:
+    def run(parts):
+        names = MOL_PROFILE.fieldNames()
+        for pdf in parts:
+            yield pd.DataFrame([{n: None for n in names} | one(x) for x in pdf["smiles"]], columns=names)
+
+    return molecules.select("smiles").where("smiles IS NOT NULL").distinct().mapInPandas(run, MOL_PROFILE)
 
 
 class RdkitKernel:
@@ -134,7 +199,7 @@ class RdkitKernel:
     def profile(self, molecules: DataFrame) -> DataFrame:
         def one(text: str) -> dict:
             from rdkit import Chem
-            from rdkit.Chem import BRICS, Crippen, Descriptors, Lipinski, rdFingerprintGenerator, rdMolDescriptors
+            from rdkit.Chem import BRICS, Crippen, Descriptors, Lipinski, MACCSkeys, rdFingerprintGenerator, rdMolDescriptors
             from rdkit.Chem.Scaffolds import MurckoScaffold
 
             mol = Chem.MolFromSmiles(text)
@@ -142,10 +207,8 @@ class RdkitKernel:
                 return {"smiles": text}
             gen = rdFingerprintGenerator.GetMorganGenerator(radius=RADIUS, fpSize=FP_BITS)
 
-            def words(m):
-                on = set(gen.GetFingerprint(m).GetOnBits())
-                raw = [sum(1 << b for b in range(64) if w * 64 + b in on) for w in range(FP_BITS // 64)]
-                return [w - (1 << 64) if w >> 63 else w for w in raw]
+            def words(bits):
+                return _words(bits.GetOnBits(), -(-bits.GetNumBits() // 64) * 64)
 
             canon = Chem.MolToSmiles(mol)
             core = MurckoScaffold.GetScaffoldForMol(mol)
@@ -155,14 +218,9 @@ class RdkitKernel:
             except ValueError:
                 safe = ""
             props = {"MW": Descriptors.ExactMolWt(mol), "logP": Crippen.MolLogP(mol), "TPSA": rdMolDescriptors.CalcTPSA(mol), "HBD": float(Lipinski.NumHDonors(mol)), "HBA": float(Lipinski.NumHAcceptors(mol)), "RotB": float(Lipinski.NumRotatableBonds(mol))}
-            return {"smiles": text, "canonical": canon, "safe": safe, "scaffold": Chem.MolToSmiles(core), "fp": words(mol), "scaffold_fp": words(core) if core.GetNumHeavyAtoms() else None, "props": props}
-
-        def run(parts):
-            names = MOL_PROFILE.fieldNames()
-            for pdf in parts:
-                yield pd.DataFrame([{n: None for n in names} | one(x) for x in pdf["smiles"]], columns=names)
+            return {"smiles": text, "canonical": canon, "safe": safe, "scaffold": Chem.MolToSmiles(core), "fp": words(gen.GetFingerprint(mol)), "scaffold_fp": words(gen.GetFingerprint(core)) if core.GetNumHeavyAtoms() else None, "path_fp": words(Chem.RDKFingerprint(mol)), "keys_fp": words(MACCSkeys.GenMACCSKeys(mol)), "props": props}
 
-        return molecules.select("smiles").where("smiles IS NOT NULL").distinct().mapInPandas(run, MOL_PROFILE)
+        return _profiled(molecules, one)
 
 
 def register(spark) -> None:

@@ -97,16 +97,24 @@ class Converter:
             g = G.parse(text)
         except G.ParseError as x:
             raise EncodeError(str(x)) from None
-        cuts = [(a, b) for a, b in self.fragment(g, allow_empty) if not any(a in c and b in c for c in constraints)]
         if randomize:
             order = list(range(len(g.atoms)))
             random.Random(seed).shuffle(order)
         else:
             order = G.ranks(g) if canonical else list(range(len(g.atoms)))
+        return self.encode_graph(g, order, constraints, allow_empty)
+
+    def encode_graph(self, g: G.Graph, order: list[int], constraints: Iterable[set[int]] = (), allow_empty: bool = False) -> str:
+        """The fragments of a graph whose atoms are written in this order."""
+        constraints = list(constraints)
+        cuts = [(a, b) for a, b in self.fragment(g, allow_empty) if not any(a in c and b in c for c in constraints)]
         kinds = {c: g.bonds[c] for c in cuts}
         whole = G.Graph(g.atoms, {b: s for b, s in g.bonds.items() if b not in kinds})
         parts = sorted(whole.components(), key=len, reverse=True)
-        first = 1 + max([0, *G.ring_numbers(".".join(G.write(whole, p, order) for p in parts)), *G.ring_numbers(text)])
+        place = {i: k for k, p in enumerate(parts) for i in p}
+        # Above all labels of rings: no fragment opens more of them than it has ring bonds.
+        inside = Counter(place[a] for a, b in whole.bonds)
+        first = 1 + max([inside[k] - len(p) + 1 for k, p in enumerate(parts)], default=0)
         extra: dict[int, list[str]] = {}
         for n, (a, b) in enumerate(sorted(cuts, key=lambda c: sorted((order[c[0]], order[c[1]]))), first):
             s = kinds[a, b] if kinds[a, b] not in ("", "-") else ""

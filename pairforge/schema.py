@@ -18,7 +18,7 @@ CLIFFS = T.StructType(_strings(*CLIFF_COLUMNS))
 PROPERTIES = ["MW", "logP", "TPSA", "HBD", "HBA", "RotB"]
 PROPS = T.StructType([T.StructField(p, T.DoubleType()) for p in PROPERTIES])
 WORDS = T.ArrayType(T.LongType())
-MOL_PROFILE = T.StructType([*_strings("smiles", "canonical", "safe", "scaffold"), T.StructField("fp", WORDS), T.StructField("scaffold_fp", WORDS), T.StructField("props", PROPS)])
+MOL_PROFILE = T.StructType([*_strings("smiles", "canonical", "safe", "scaffold"), T.StructField("fp", WORDS), T.StructField("scaffold_fp", WORDS), T.StructField("props", PROPS), T.StructField("path_fp", WORDS), T.StructField("keys_fp", WORDS)])
 ANSWER = T.StructType(_strings("answer", "gold_only_toxic_safe_fragments", "gold_only_nontoxic_safe_fragments"))
 QA = T.StructType([
     T.StructField("id", T.LongType()), *_strings("question"), T.StructField("answer", ANSWER), *_strings("dataset_name", "endpoint"),
@@ -27,7 +27,7 @@ QA = T.StructType([
 METRICS = ["fragment_EM", "fragment_F1", "fragment_Levenshtein", "exact_match", "bleu", "morgan_fts", "validity", "prs_property_score", "copy_rate", "levenshtein", "rdk_fts", "maccs_fts"]
 PREDICTIONS = T.StructType([
     *_strings("model", "split", "task", "step"), T.StructField("id", T.LongType()), *_strings("dataset_name", "endpoint"), T.StructField("source_index", T.LongType()),
-    T.StructField("gold", ANSWER), *_strings("pred", "raw"), *[T.StructField(m, T.DoubleType()) for m in METRICS],
+    T.StructField("gold", ANSWER), *_strings("pred", "raw"), T.StructField("asked_at", T.TimestampType()), *[T.StructField(m, T.DoubleType()) for m in METRICS],
 ])
 
 
