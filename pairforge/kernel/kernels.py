@@ -187,7 +187,12 @@ def _profiled(molecules: DataFrame, one) -> DataFrame:
         for pdf in parts:
             yield pd.DataFrame([{n: None for n in names} | one(x) for x in pdf["smiles"]], columns=names)
 
-    return molecules.select("smiles").where("smiles IS NOT NULL").distinct().mapInPandas(run, MOL_PROFILE)
+    return spread(molecules.select("smiles").where("smiles IS NOT NULL").distinct()).mapInPandas(run, MOL_PROFILE)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Small rows that are slow to work on, over four tasks per core: by their size alone they would be merged into a few tasks."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 class RdkitKernel:

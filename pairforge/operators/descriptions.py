@@ -34,16 +34,20 @@ def _topic(key: str) -> str:
     return _TOPIC[stem]
 
 
+def text_of(scope: str, key: str) -> str:
+    """The text of a known assay, organ class, endpoint or dataset."""
+    said = {"assay": f"is active in the assay {key} of the stress response and nuclear receptor panel", "organ": f"has side effects of the class: {key}"}
+    return f"The toxic molecule of each pair {said.get(scope) or _topic(key)}."
+
+
 def dimension(spark: SparkSession) -> DataFrame:
     """``scope``, ``key``, ``text``: what each key stands for.  Fixed size."""
-    rows = [("assay", a, f"The toxic molecule of each pair is active in the assay {a} of the stress response and nuclear receptor panel.") for a in ASSAYS]
-    rows += [("organ", o, f"The toxic molecule of each pair has side effects of the class: {o}.") for o in ORGAN_CLASSES]
-    rows += [("organ_lower", o.lower(), "") for o in ORGAN_CLASSES]
-    rows += [("endpoint", e, f"The toxic molecule of each pair {_topic(e)}.") for e in ENDPOINTS]
-    rows += [("dataset", d, f"The toxic molecule of each pair {_topic(d)}.") for d in [*DATASETS, *ENZYME_SETS]]
+    keys = {"assay": ASSAYS, "organ": ORGAN_CLASSES, "endpoint": ENDPOINTS, "dataset": [*DATASETS, *ENZYME_SETS]}
+    rows = [(scope, k, text_of(scope, k)) for scope, names in keys.items() for k in names] + [("organ_lower", o.lower(), "") for o in ORGAN_CLASSES]
     return spark.createDataFrame(rows, "scope string, key string, text string")
 
 
+ORGAN_CLASS = "The toxic molecule of each pair has side effects of the class "
 GENERIC_ASSAY = "The toxic molecule of each pair is active in an assay of the stress response and nuclear receptor panel."
 GENERIC_ORGAN = "The toxic molecule of each pair has side effects recorded after approval."
 
@@ -65,7 +69,7 @@ def with_description(df: DataFrame, dims: DataFrame, out: str = "description") -
     out_df = df
     for scope, name, key in (("assay", "pre", bare), ("assay", "raw", ep), ("organ", "organ", ep), ("organ_lower", "low", F.lower(ep)), ("endpoint", "ep", F.lower(ep)), ("dataset", "ds", F.lower(ds))):
         out_df = look(out_df, scope, name, key)
-    organ_text = F.coalesce("__t_organ", F.concat(F.lit("The toxic molecule of each pair has side effects of the class "), ep, F.lit(".")))
+    organ_text = F.coalesce("__t_organ", F.concat(F.lit(ORGAN_CLASS), ep, F.lit(".")))
     dsl = F.lower(ds)
     text = (
         F.when((ep == "") & (ds == ""), F.lit(""))

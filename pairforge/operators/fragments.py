@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.text import fragment_join, fragment_set
-from pairforge.schema import require_columns
+from pairforge.functions.text import fragment_join, fragment_set, str_or_empty
+from pairforge.schema import CLIFF_COLUMNS, require_columns
 
 
 def attach_safe(pairs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -26,6 +26,18 @@ def attach_safe(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     return pairs
 
 
+def for_export(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The nine columns of CLIFFS: both molecules in canonical form where the profile has one, else as they are without outer white space;
+    null and ``nan`` (any case) become the empty text.  ValueError naming what is missing."""
+    require_columns(pairs, CLIFF_COLUMNS, "pairs")
+    forms = profile.where("canonical IS NOT NULL").groupBy("smiles").agg(F.min("canonical").alias("__c"))
+    for side in ("toxic_smiles", "nontoxic_smiles"):
+        bare = str_or_empty(F.col(side))
+        pairs = pairs.join(forms.withColumnRenamed("smiles", "__k"), F.col(side) == F.col("__k"), "left")
+        pairs = pairs.withColumn(side, F.when(F.lower(bare) == "nan", "").otherwise(F.coalesce("__c", bare))).drop("__k", "__c")
+    return pairs.select(*CLIFF_COLUMNS)
+
+
 def compare_fragments(pairs: DataFrame) -> DataFrame:
     """Nine more columns: sorted, dot-joined fragment sets (both, common, only), their sizes and whether they differ."""
     require_columns(pairs, ["toxic_safe", "nontoxic_safe"], "pairs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
@@ -16,7 +17,15 @@ from pairforge.functions.scoring import REPORTED, finite
 from pairforge.functions.text import strip
 from pairforge.operators.qa import TASKS
 
-SYSTEM = "You edit molecules written as SMILES or SAFE. Return only the JSON object that the question asks for."
+# Our own wording, one message per task.
+_ROLE = "You edit molecules written as SMILES or SAFE. Return only the JSON object that the question asks for. "
+SYSTEM = {
+    "task1": _ROLE + "Its answer is the toxic fragment, or the toxic fragments joined by dots.",
+    "task2": _ROLE + "Its answer is the fragment that replaces the toxic one, or the fragments joined by dots.",
+    "task3": _ROLE + "Its answer is the whole molecule as SMILES.",
+    "task3_nontoxic_safe_generation": _ROLE + "Its answer is the whole molecule as SAFE.",
+    "task3_stepwise_cot_safe_generation": _ROLE + "It has a key for each step, and the answer is the whole molecule as SAFE.",
+}
 
 
 class Provider(Protocol):
@@ -45,25 +54,83 @@ class ReplayProvider:
 
 
 class RemoteProvider:
-    """Calls ``ask(system, question)`` in threads, three attempts with growing pauses; then an ``ERROR: `` text."""
+    """Calls ``ask(system, question)`` from several threads.  A call that fails is made again after pauses that double; what fails
+    ``retries`` times becomes an ``ERROR: `` text, which a later run asks again."""
 
     def __init__(self, ask, workers: int = 8, retries: int = 3, pause: float = 1.0):
         self.ask, self.workers, self.retries, self.pause = ask, workers, retries, pause
 
-    def _one(self, system: str, question: str) -> str:
-        said = ""
-        for k in range(self.retries):
+    def generate(self, system: str, questions: list[str]) -> list[str]:
+        replies: dict[int, str] = {}
+        open_ = list(range(len(questions)))
+
+        def attempt(i: int) -> str | Exception:
             try:
-                return self.ask(system, question)
+                return self.ask(system, questions[i])
             except Exception as x:  # noqa: BLE001
-                said = f"ERROR: {x}"
-                if k + 1 < self.retries:
-                    time.sleep(self.pause * 2**k)
-        return said
+                return x
 
-    def generate(self, system: str, questions: list[str]) -> list[str]:
         with ThreadPoolExecutor(self.workers) as pool:
-            return list(pool.map(lambda q: self._one(system, q), questions))
+            for k in range(self.retries):
+                if k and open_:
+                    time.sleep(self.pause * 2 ** (k - 1))
+                said = dict(zip(open_, pool.map(attempt, open_)))
+                replies |= {i: f"ERROR: {x}" if isinstance(x, Exception) else x for i, x in said.items()}
+                open_ = [i for i, x in said.items() if isinstance(x, Exception)]
+        return [replies[i] for i in range(len(questions))]
+
+
+class ChatProvider(RemoteProvider):
+    """A chat service in JSON mode through the client library ``openai``, if it is installed; its key comes from the environment of the
+    executors.  The client is made where it is used."""
+
+    def __init__(self, name: str, temperature: float = 0.7, workers: int = 8, retries: int = 3):
+        super().__init__(self._chat, workers, retries)
+        self.name, self.temperature, self._client = name, temperature, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_client": None}
+
+    def _chat(self, system: str, question: str) -> str:
+        if self._client is None:
+            from openai import OpenAI
+
+            self._client = OpenAI()
+        talk = [{"role": role, "content": text} for role, text in (("system", system), ("user", question))]
+        made = self._client.chat.completions.create(model=self.name, messages=talk, temperature=self.temperature, response_format={"type": "json_object"})
+        return made.choices[0].message.content or ""
+
+
+class LocalProvider:
+    """A model from a folder, run by the libraries ``vllm`` and ``transformers`` if they are installed; loaded once per Python worker.
+    Replies are sampled freely: a schema forced on them would be met by empty fields, too."""
+
+    def __init__(self, folder: str, temperature: float = 0.7, tensor_parallel_size: int = 1, max_model_len: int = 4096, max_tokens: int = 1024):
+        self.folder, self.temperature, self.tensor_parallel_size, self.max_model_len, self.max_tokens, self._loaded = folder, temperature, tensor_parallel_size, max_model_len, max_tokens, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_loaded": None}
+
+    def load(self):
+        from transformers import AutoTokenizer
+        from vllm import LLM, SamplingParams
+
+        engine = LLM(model=self.folder, trust_remote_code=True, tensor_parallel_size=self.tensor_parallel_size, max_model_len=self.max_model_len)
+        return AutoTokenizer.from_pretrained(self.folder, trust_remote_code=True), engine, SamplingParams(temperature=self.temperature, max_tokens=self.max_tokens)
+
+    def generate(self, system: str, questions: list[str]) -> list[str]:
+        self._loaded = self._loaded or self.load()
+        tokenizer, engine, sampling = self._loaded
+        chat = lambda q: tokenizer.apply_chat_template([{"role": "system", "content": system}, {"role": "user", "content": q}], tokenize=False, add_generation_prompt=True)
+        return [x.outputs[0].text for x in engine.generate(list(map(chat, questions)), sampling)]
+
+
+def load_provider(name: str, temperature: float = 0.7, workers: int = 8, tensor_parallel_size: int = 1) -> Provider:
+    """``echo`` (a dry run), a model in a folder, or the name of a remote one."""
+    if name == "echo":
+        return EchoProvider()
+    folder = Path(name).expanduser()
+    return LocalProvider(str(folder), temperature, tensor_parallel_size) if folder.is_dir() else ChatProvider(name, temperature, workers)
 
 
 def task_of_file(stem: Column) -> Column:
@@ -78,30 +145,39 @@ def step_of_file(stem: Column) -> Column:
     return F.when(F.endswith(stem, F.lit("_multi")), "multi_step").otherwise("single_step")
 
 
-def first_questions(qa: DataFrame, limit: int | None) -> DataFrame:
-    """The first records by id (a limit is the feature: a trial run)."""
-    return qa if limit is None else qa.orderBy("id").limit(limit)
+def first_questions(qa: DataFrame, limit: int | None, keys: list[str] | None = None) -> DataFrame:
+    """The first records by id, of each file if its ``keys`` are given (a limit is the feature: a trial run)."""
+    if not limit:
+        return qa
+    if not keys:
+        return qa.orderBy("id").limit(limit)
+    # Spark keeps at most ``limit`` rows of a file per task before it shuffles them.
+    return qa.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).where(F.col("__r") <= limit).drop("__r")
 
 
 def unanswered(qa: DataFrame, predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Questions without a reply; replies that begin with ``ERROR`` do not count."""
     keys = keys or ["id"]
-    done = predictions.where(~F.coalesce(F.startswith("raw", F.lit("ERROR")), F.lit(False))).select(*keys).distinct()
+    done = predictions.where(~F.coalesce(F.startswith("raw", F.lit("ERROR:")), F.lit(False))).select(*keys).distinct()
     return qa.join(done, keys, "left_anti")
 
 
-def ask(qa: DataFrame, provider: Provider, system: str = SYSTEM, batch: int = 256) -> DataFrame:
-    """``qa`` with ``raw``, the replies.  Materialise the result before scoring: a stage that is tried again asks again."""
+def ask(qa: DataFrame, provider: Provider, system: str | dict[str, str] = "", batch: int = 256) -> DataFrame:
+    """``qa`` with ``raw``, the replies; ``system`` is one message or one per ``task``.  Materialise the result before scoring: a
+    stage that is tried again asks again."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*qa.schema.fields, T.StructField("raw", T.StringType())])
-    packed = qa.select(F.to_json(F.struct(*[F.col(c) for c in qa.columns])).alias("row"), F.col("question").alias("q"))
+    task = F.col("task") if isinstance(system, dict) else F.lit("")
+    packed = qa.select(F.to_json(F.struct(*[F.col(c) for c in qa.columns])).alias("row"), F.col("question").alias("q"), task.alias("task"))
+    message = system if isinstance(system, dict) else {"": system}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for at in range(0, len(pdf), batch):
-                piece = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"row": piece["row"], "raw": provider.generate(system, [q or "" for q in piece["q"]])})
+            for kind, rows in pdf.groupby("task", sort=False):
+                for at in range(0, len(rows), batch):
+                    piece = rows.iloc[at : at + batch]
+                    yield pd.DataFrame({"row": piece["row"], "raw": provider.generate(message[kind], [q or "" for q in piece["q"]])})
 
     replies = packed.mapInPandas(run, "row string, raw string")
     return replies.select(F.from_json("row", T.StructType(qa.schema.fields)).alias("r"), "raw").select("r.*", "raw").to(schema)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.similarity import lev_090, popcount, tanimoto_090
 from pairforge.schema import PAIR_COLUMNS, require_columns
+from pairforge.storage import materialize
 
 KEYS = ["dataset_name", "endpoint"]
 #: Characters per place in the segment join.
 PLACES = 16
+#: No fingerprint has more bits.
+MAX_BITS = 1 << 15
 
 
 def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,28 +35,43 @@ def _segments(text: Column) -> tuple[Column, Column]:
     return edits, F.greatest(F.lit(1), F.floor(F.length(text) / (edits + 1)).cast("int"))
 
 
+def _named(df: DataFrame, side: str) -> DataFrame:
+    """Molecules of one side with ``id``, 64 bits that stand for group and text while candidates are looked for."""
+    return df.withColumn(f"{side}_id", F.xxhash64(*KEYS, f"{side}_smiles"))
+
+
+def _back(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Candidate ids with groups and molecules again; what only shares an id with a candidate is judged like one."""
+    t = toxic.select(*[F.col(k).alias(f"__t_{k}") for k in KEYS], "toxic_id", "toxic_smiles", *[f"toxic_{c}" for c in columns or []])
+    n = nontoxic.select(*KEYS, "nontoxic_id", "nontoxic_smiles", *[f"nontoxic_{c}" for c in columns or []])
+    same = F.expr(" AND ".join(f"__t_{k} = {k}" for k in KEYS))
+    return pairs.join(t, "toxic_id").join(n, "nontoxic_id").where(same)
+
+
 def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     """Pairs with a text similarity of 0.9 or more.
 
     A positive text of length l is cut into floor(l / 9) + 1 segments; a partner within the allowed edits holds one of
     them unchanged at most floor(l / 9) characters away.  Negative texts offer their substrings of the widths (one or
-    two, at most 8) that partners of their length use.  The segment and its place in steps of PLACES characters are part of
-    the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.
+    two, at most 8) that partners of their length use.  Group, segment and its place in steps of PLACES characters are hashed to
+    the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.  Neither
+    texts nor groups move with the segments, only hashes; the pairs they give are judged on the texts.
     """
+    toxic, nontoxic = _named(toxic, "toxic"), _named(nontoxic, "nontoxic")
     edits, width = _segments(F.col("toxic_smiles"))
     pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), F.col("toxic_smiles").substr(i * width + 1, width).alias("piece")))
-    t = toxic.select(*KEYS, "toxic_smiles", edits.alias("edits"), F.explode(pieces).alias("s"))
+    t = toxic.select(*KEYS, "toxic_id", F.length("toxic_smiles").alias("length_t"), edits.alias("edits"), F.explode(pieces).alias("s"))
     reach = F.sequence(F.floor((F.col("s.at") - F.col("edits")) / PLACES), F.floor((F.col("s.at") + F.col("edits")) / PLACES))
-    t = t.select(*KEYS, "toxic_smiles", "edits", F.col("s.at").alias("at"), F.col("s.piece").alias("piece"), F.explode(reach).alias("place"))
+    t = t.select("*", F.explode(reach).alias("place")).select("toxic_id", "length_t", "edits", F.col("s.at").alias("at_t"), F.xxhash64(*KEYS, "s.piece", "place").alias("key"))
     length = F.length("nontoxic_smiles")
     partners = F.sequence(F.ceil(length * 0.9).cast("int"), F.floor(length / 0.9).cast("int"))
     widths = F.array_distinct(F.transform(partners, lambda x: F.greatest(F.lit(1), F.floor(x / (F.floor(x / 9) + 1)).cast("int"))))
-    none = F.array().cast("array<struct<at:int,piece:string>>")
-    grams = F.flatten(F.transform(widths, lambda w: F.when(length >= w, F.transform(F.sequence(F.lit(1), length - w + 1), lambda i: F.struct((i - 1).alias("at"), F.col("nontoxic_smiles").substr(i, w).alias("piece")))).otherwise(none)))
-    n = nontoxic.select(*KEYS, "nontoxic_smiles", F.explode(grams).alias("s")).select(*KEYS, "nontoxic_smiles", F.col("s.at").alias("at_n"), F.col("s.piece").alias("piece"), F.floor(F.col("s.at") / PLACES).alias("place"))
-    near = (F.abs(F.col("at") - F.col("at_n")) <= F.col("edits")) & (F.abs(F.length("toxic_smiles") - length) * 10 <= F.greatest(F.length("toxic_smiles"), length))
-    pairs = t.join(n, [*KEYS, "piece", "place"]).where(near).select(*PAIR_COLUMNS).distinct()
-    return pairs.where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles")))
+    n = nontoxic.select(*KEYS, "nontoxic_id", "nontoxic_smiles", length.alias("length_n"), F.explode(widths).alias("w")).where("length_n >= w")
+    n = n.select("*", F.explode(F.sequence(F.lit(0), F.col("length_n") - F.col("w"))).alias("at_n"))
+    n = n.select("nontoxic_id", "length_n", "at_n", F.xxhash64(*KEYS, F.col("nontoxic_smiles").substr(F.col("at_n") + 1, F.col("w")), F.floor(F.col("at_n") / PLACES)).alias("key"))
+    near = F.expr("abs(at_t - at_n) <= edits AND abs(length_t - length_n) * 10 <= greatest(length_t, length_n)")
+    met = t.join(n, "key").where(near).select("toxic_id", "nontoxic_id").distinct()
+    return _back(met, toxic, nontoxic).where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
 
 
 def length_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
@@ -64,19 +82,55 @@ def length_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     return t.join(nontoxic.withColumn("block", block("nontoxic_smiles")), [*KEYS, "block"]).where(near & lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
 
 
-def _rarest(fp: str) -> Column:
-    """The bits of which one at least two fingerprints of Tanimoto 0.9 must share: any floor(n / 10) + 1 of them in one
-    fixed order; here the order of a bit hash."""
-    bits = F.flatten(F.transform(F.col(fp), lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: i * 64 + b)))
-    ordered = F.array_sort(F.transform(bits, lambda b: F.struct(F.xxhash64(b).alias("h"), b.alias("b"))))
-    return F.transform(F.slice(ordered, 1, F.greatest(F.lit(1), F.floor(F.size(ordered) / 10).cast("int") + 1)), lambda x: x["b"])
+def _bits(words: Column) -> Column:
+    """The set bits of a fingerprint."""
+    return F.flatten(F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: i * 64 + b)))
+
+
+def _prefix_pairs(prints: DataFrame, ordered: Column, n: str) -> DataFrame:
+    """``prints`` with ``pair``: pairs of bits of which one at least two fingerprints of Tanimoto 0.9 must share.
+
+    Such a partner lacks at most floor(n / 10) of a fingerprint's bits.  So the two rarest bits they share are among the rarest
+    floor(n / 10) + 2 of both, in whatever order rarity puts all bits.  A fingerprint of one bit is its own key.
+    """
+    first = prints.withColumn("__first", F.slice(ordered, 1, F.floor(F.col(n) / 10).cast("int") + 2))
+    # Generators, not nested lambdas: those would work out the list again for each of its members.
+    one = first.select("*", F.posexplode("__first").alias("__i", "__x"))
+    rest = F.when(F.col(n) == 1, F.array("__x")).otherwise(F.slice("__first", F.col("__i") + 2, F.size("__first")))
+    return one.select("*", F.explode(rest).alias("__y")).withColumn("pair", F.col("__x") * MAX_BITS + F.col("__y")).drop("__first", "__i", "__x", "__y")
 
 
 def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFrame:
-    """Pairs whose fingerprints reach 0.9, from a prefix of each fingerprint's bits, with the number of bits as filter."""
-    side = lambda df, name: df.where(f"{name}_{column} IS NOT NULL").select(*KEYS, f"{name}_smiles", F.col(f"{name}_{column}").alias(f"{name}_w"), popcount(F.col(f"{name}_{column}")).alias(f"{name}_n"), F.explode(_rarest(f"{name}_{column}")).alias("bit"))
+    """Pairs whose fingerprints reach 0.9.
+
+    Fingerprints are looked at once per group, however many molecules share one (a scaffold's, say).  They meet in pairs of
+    their rarest bits, by measured frequency, and in blocks of their number of bits; what meets is judged on the words, and
+    molecules are joined to what is left.
+    """
+    toxic, nontoxic = [df.where(f"{s}_{column} IS NOT NULL").withColumn(f"{s}_id", F.xxhash64(*KEYS, f"{s}_{column}")) for s, df in (("toxic", toxic), ("nontoxic", nontoxic))]
+
+    def prints(df: DataFrame, s: str) -> DataFrame:
+        one = df.select(*KEYS, f"{s}_id", F.col(f"{s}_{column}").alias(f"{s}_w")).distinct()
+        return one.withColumns({f"{s}_n": popcount(F.col(f"{s}_w")), "bits": _bits(F.col(f"{s}_w"))}).where(f"{s}_n > 0")
+
+    t, n = materialize(prints(toxic, "toxic"), "prints"), materialize(prints(nontoxic, "nontoxic"), "prints")
+    # As many rows as a fingerprint has bits, whatever the data.
+    held = t.select(F.explode("bits").alias("bit")).unionByName(n.select(F.explode("bits").alias("bit"))).groupBy("bit").agg(F.count("*").alias("n")).collect()
+    order = {r["bit"]: k for k, r in enumerate(sorted(held, key=lambda r: (r["n"], r["bit"])))}
+    if not order:
+        return toxic.select(*KEYS, "toxic_smiles", F.lit("").alias("nontoxic_smiles")).limit(0).select(*PAIR_COLUMNS)
+    rank = F.array(*[F.lit(order.get(b, 0)) for b in range(max(order) + 1)])
+    block = lambda c: F.floor(F.ln(F.col(c).cast("double")) / F.ln(F.lit(10 / 9))).cast("int")
+
+    def keyed(df: DataFrame, s: str, blocks: Column) -> DataFrame:
+        rows = _prefix_pairs(df.select(*KEYS, f"{s}_id", f"{s}_n", "bits"), F.array_sort(F.transform("bits", lambda b: F.get(rank, b))), f"{s}_n").drop("bits")
+        return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, F.explode(blocks).alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
+
     near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n)")
-    return side(toxic, "toxic").join(side(nontoxic, "nontoxic"), [*KEYS, "bit"]).where(near & tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w"))).select(*PAIR_COLUMNS)
+    met = keyed(t, "toxic", F.array(*[block("toxic_n") + i for i in (-1, 0, 1)])).join(keyed(n, "nontoxic", F.array(block("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
+    judged = met.join(t.select("toxic_id", "toxic_w"), "toxic_id").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
+    out = _back(judged.select("toxic_id", "nontoxic_id", "toxic_w", "nontoxic_w"), toxic, nontoxic, [column])
+    return out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS)
 
 
 def pair_molecules(molecules: DataFrame, compat: bool = False, by_length: bool = False) -> DataFrame:

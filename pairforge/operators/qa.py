@@ -63,6 +63,11 @@ def has_key(df: DataFrame) -> DataFrame:
     return df.where("dataset_name <> '' OR endpoint <> ''")
 
 
+def without_key(df: DataFrame) -> DataFrame:
+    """The rows that ``has_key`` leaves out, to count them."""
+    return df.where("dataset_name = '' AND endpoint = ''")
+
+
 def step_of(task: str) -> Column:
     """single_step if there is exactly one toxic (task1) or one toxic and one other fragment; none at all is multi_step."""
     one = fragment_count(F.col("only_toxic_safe_fragments")) == 1

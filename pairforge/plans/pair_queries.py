@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import scoring, similarity
+from pairforge.functions import sql as functions_sql
 from pairforge.functions.text import fragment_join, fragment_list, fragment_set, py_repr, strip
+from pairforge.kernel import kernels
 from pairforge.kernel.kernels import GraphKernel, TableKernel, distinct_molecules
-from pairforge.operators import descriptions, fences, fragments, groupsplit, inference, pairing, qa
+from pairforge.operators import descriptions, evaluation, fences, fragments, groupsplit, inference, pairing, qa
 from pairforge.plans.pair_sql import SQL
-from pairforge.schema import CLIFF_COLUMNS, PREDICTIONS, PROPERTIES
-from pairforge.sources.files import ordered_ids
+from pairforge.schema import PREDICTIONS, PROPERTIES
+from pairforge.sources.files import ordered_ids, read_qa, write_qa
 from pairforge.sources.tables import table
 from pairforge.storage import materialize, shared_dir
 
@@ -40,17 +44,37 @@ def pair_by_length(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_all_rules(spark: SparkSession, d: str) -> DataFrame:
     rows = _molecules(spark, d).where("label IN (0, 1)")
-    profile = materialize(GraphKernel().profile(rows), "profile")
+    profile = materialize(GraphKernel(columns=("fp", "scaffold_fp")).profile(rows), "profile")
     return pairing.pair_molecules(rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left"))
 
 
+def pair_by_bits(spark: SparkSession, d: str) -> DataFrame:
+    """All three rules on fingerprints that SQL can make, too: pairs of neighbouring characters, and all characters, hashed to 64 bits."""
+    rows = _molecules(spark, d).where("label IN (0, 1)")
+    code = lambda i: F.ascii(F.col("smiles").substr(i, F.lit(1)))
+    word = lambda bits: F.aggregate(F.array_distinct(bits), F.lit(0).cast("bigint"), lambda n, b: n.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+    places = F.sequence(F.lit(1), F.length("smiles"))
+    fp = word(F.transform(places, lambda i: F.pmod(code(i) * 31 + code(i + 1) * 7, F.lit(63)).cast("int")))
+    scaffold = word(F.transform(places, lambda i: F.pmod(code(i) * 5 + F.floor(i / 8), F.lit(63)).cast("int")))
+    return pairing.pair_molecules(rows.withColumns({"fp": F.when(F.length("smiles") > 0, F.array(fp)), "scaffold_fp": F.when(F.length("smiles") > 30, F.array(scaffold))}))
+
+
 def cliffs(spark: SparkSession, d: str) -> DataFrame:
-    """From molecules to pairs with fragments: pair, encode each molecule once, compare, filter, export."""
-    pairs = materialize(pairing.pair_molecules(_molecules(spark, d)), "pairs")
-    profile = materialize(GraphKernel().profile(distinct_molecules((pairs, "toxic_smiles"), (pairs, "nontoxic_smiles"))), "profile")
+    """From molecules to pairs with fragments: pair by all rules, compare, filter by fragments and by all properties, export."""
+    rows = _molecules(spark, d).where("label IN (0, 1)")
+    profile = materialize(GraphKernel().profile(rows), "profile")
+    pairs = materialize(pairing.pair_molecules(rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left")), "pairs")
     compared = materialize(fragments.compare_fragments(fragments.attach_safe(pairs, profile)), "compared")
-    kept = fences.property_deltas(fences.fragment_filters(compared), profile, ["MW", "HBD", "HBA", "RotB"])
-    return fences.drop_outliers(materialize(kept, "deltas"), [f"delta_abs_{p}" for p in ("MW", "HBD", "HBA", "RotB")]).select(*CLIFF_COLUMNS)
+    kept = fences.property_deltas(fences.fragment_filters(compared), profile)
+    return fragments.for_export(fences.drop_outliers(materialize(kept, "deltas"), [f"delta_abs_{p}" for p in PROPERTIES]), profile)
+
+
+def cliffs_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same from delivered pairs and profiles on: compare, filter by fragments and by all properties, export."""
+    profile = table(spark, d, "mol_profile")
+    compared = materialize(_compared(spark, d), "compared")
+    kept = materialize(fences.property_deltas(fences.fragment_filters(compared), profile), "deltas")
+    return fragments.for_export(fences.drop_outliers(kept, [f"delta_abs_{p}" for p in PROPERTIES]), profile)
 
 
 def fragment_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -147,6 +171,61 @@ def json_salvage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", F.try_variant_get(F.try_parse_json(inference.salvage(F.col("raw"))), "$.k", "int").alias("k"))
 
 
+def task3_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Molecule answers scored on delivered profiles: a right answer, a copy of the input, or no molecule, by turns."""
+    pred = F.when(F.col("cliff_id") % 3 == 0, F.col("nontoxic_smiles")).when(F.col("cliff_id") % 3 == 1, F.col("toxic_smiles")).otherwise("no molecule")
+    rows = table(spark, d, "toxicitycliff").select(
+        "cliff_id", F.lit("task3").alias("task"), F.lit("single_step").alias("step"), F.struct(F.col("nontoxic_smiles").alias("answer")).alias("gold"),
+        F.to_json(F.struct(pred.alias("answer"))).alias("raw"), F.concat(F.lit("Edit this. SMILES = "), py_repr(F.col("toxic_smiles"))).alias("question"),
+    )
+    scored = evaluation.with_metrics(rows, TableKernel(table(spark, d, "mol_profile")))
+    return scored.select("cliff_id", "exact_match", "bleu", "levenshtein", "validity", "prs_property_score", "copy_rate")
+
+
+def safe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules written as fragments and read back: the same canonical form each time."""
+    kernels.register(spark)
+    rows = table(spark, d, "molecules").select("smiles").where("smiles IS NOT NULL").distinct()
+    rows = kernels.spread(rows).selectExpr("smiles", "smiles_to_safe(smiles) AS safe", "canonical_smiles(smiles) AS canonical")
+    return materialize(rows.where("safe IS NOT NULL"), "safe").selectExpr("smiles", "safe_to_smiles(safe) = canonical AS same")
+
+
+def description_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Endpoint descriptions by precedence: known and unknown keys of every kind, dealt to the pairs by their ids."""
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), F.pmod(F.col("cliff_id") / by, F.lit(len(names))).cast("int"))
+    organ = pick(descriptions.ORGAN_CLASSES, 8)
+    endpoint = F.get(F.array(F.lit(None).cast("string"), F.concat(F.lit("tox21_"), pick(descriptions.ASSAYS, 8)), F.lit("TOX21_other"), organ, F.lower(organ), F.upper(pick(descriptions.ENDPOINTS, 8)), pick(descriptions.ASSAYS, 8), F.col("endpoint")), F.pmod("cliff_id", F.lit(8)).cast("int"))
+    dataset = pick([*descriptions.DATASETS, *descriptions.ASSAY_SETS, *descriptions.ORGAN_SETS, *descriptions.ENZYME_SETS, "", "unknown"], 64)
+    rows = table(spark, d, "toxicitycliff").select("cliff_id", dataset.alias("dataset_name"), endpoint.alias("endpoint"))
+    return descriptions.with_description(rows, descriptions.dimension(spark))
+
+
+def qa_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written to their files and read back, counted per file."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    write_qa(qa.build_qa(_qa_input(spark, d).withColumn("split", F.lit("test")), strict=False), path)
+    back = read_qa(spark, path)
+    return back.groupBy("split", "task", "step").agg(F.count("*").alias("n"), F.sum("source_index").alias("ids"), F.sum(F.length("question")).cast("bigint").alias("characters"))
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions registered for SQL."""
+    functions_sql.register(spark)
+    _scored(spark, d).createOrReplaceTempView("pairforge_scored")
+    return spark.sql("SELECT cliff_id, set_f1(gold, pred) AS f1, bleu1(gold, pred) AS bleu, size(fragment_list(gold)) AS n_gold FROM pairforge_scored")
+
+
+def infer_run(spark: SparkSession, d: str) -> DataFrame:
+    """Ask, score, append and summarise, with a model that answers every question with itself."""
+    items = table(spark, d, "eval_items").select(
+        "split", "task", F.concat("step", F.lit("_step")).alias("step"), F.col("item_id").alias("id"), "question",
+        F.struct(F.col("answer.answer").alias("answer"), F.lit(None).cast("string").alias("gold_only_toxic_safe_fragments"), F.lit(None).cast("string").alias("gold_only_nontoxic_safe_fragments")).alias("answer"),
+        "dataset_name", "endpoint", "source_index",
+    )
+    out = evaluation.run(items.replace(qa.TASKS, subset="task"), inference.EchoProvider(), "echo", f"{shared_dir(spark)}/infer-{uuid.uuid4().hex}")
+    return out.select("split", "task", "step", "total", "inference_samples")
+
+
 def regex_context(spark: SparkSession, d: str) -> DataFrame:
     question = F.concat(F.lit("Edit this. SMILES = "), py_repr(F.col("toxic_smiles")), F.lit(" please"))
     return table(spark, d, "toxicitycliff").select("cliff_id", inference.input_molecule(F.lit(None).cast("string"), question).alias("molecule"))
@@ -214,16 +293,14 @@ def kernel_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return groupsplit.seeded_permutation(table(spark, d, "eval_items").select(F.col("item_id").alias("id")), "id", 42)
+    return groupsplit.seeded_permutation(table(spark, d, "eval_items").select(F.col("item_id").alias("was")), "was", 42)
 
 
 def stream_means(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     from pairforge.streaming.means import prediction_stream, running_means
 
     path, name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", f"means_{uuid.uuid4().hex}"
-    rows = _predictions(spark, d).withColumn("id", F.col("cliff_id"))
+    rows = _predictions(spark, d).withColumns({"id": F.col("cliff_id"), "asked_at": F.timestamp_seconds(F.col("cliff_id") % 1000 + 1_700_000_000)})
     rows.select(*[F.col(f.name) for f in PREDICTIONS if f.name in rows.columns]).write.json(path)
     q = running_means(prediction_stream(spark, path), ["fragment_EM", "fragment_F1"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -233,8 +310,8 @@ def stream_means(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pair_levenshtein, pair_by_length, pair_all_rules, cliffs, fragment_sets, fragment_compare, core_filter, tukey_fences, fragment_filters, fixed_thresholds, property_deltas,
-        property_outliers, group_split, row_numbers, step_route, description_lookup, qa_records, resume_anti, infer_replay, json_salvage, regex_context, fragment_scores, tanimoto_words,
+        pair_levenshtein, pair_by_length, pair_all_rules, pair_by_bits, cliffs, cliffs_of_pairs, fragment_sets, fragment_compare, core_filter, tukey_fences, fragment_filters, fixed_thresholds, property_deltas,
+        property_outliers, group_split, row_numbers, step_route, description_lookup, qa_records, resume_anti, infer_replay, infer_run, task3_scores, safe_round_trip, description_ladder, qa_round_trip, sql_functions, json_salvage, regex_context, fragment_scores, tanimoto_words,
         qed_prs, summary, summary_rollup, distinct_union, limit_prefix, safe_lookup, kernel_table, kernel_profile, seeded_shuffle, stream_means,
     )
 }

@@ -1,6 +1,9 @@
 """DuckDB SQL for the queries of the pair engine."""
 
+import random
+
 from pairforge.functions.scoring import DESIRABILITY
+from pairforge.operators import descriptions as D
 from pairforge.operators.qa import BODY, ONE_KEY, PREAMBLE, TASKS, THREE_KEYS
 
 
@@ -37,6 +40,22 @@ FROM m t JOIN m n ON t.dataset_name = n.dataset_name AND t.endpoint = n.endpoint
 WHERE 10 * levenshtein(t.smiles, n.smiles) <= greatest(length(t.smiles), length(n.smiles))"""
 )
 
+
+def _word(bit: str) -> str:
+    return f"list_sum(list_transform(list_distinct(list_transform(range(1, length(smiles) + 1), lambda i: {bit})), lambda b: 1::bigint << b::integer))::bigint"
+
+
+_NEXT = "(CASE WHEN i < length(smiles) THEN ascii(smiles[i + 1]) ELSE 0 END)"
+_BITS = (
+    _MOLECULES
+    + f""",
+f AS (SELECT *, {_word(f"(ascii(smiles[i]) * 31 + {_NEXT} * 7) % 63")} AS fp, CASE WHEN length(smiles) > 30 THEN {_word("(ascii(smiles[i]) * 5 + i // 8) % 63")} END AS sfp FROM m)
+SELECT DISTINCT t.dataset_name, t.endpoint, t.smiles AS toxic_smiles, n.smiles AS nontoxic_smiles
+FROM f t JOIN f n ON t.dataset_name = n.dataset_name AND t.endpoint = n.endpoint AND t.label = 1 AND n.label = 0
+WHERE 10 * bit_count(t.fp & n.fp)::integer >= 9 * bit_count(t.fp | n.fp)::integer OR coalesce(10 * bit_count(t.sfp & n.sfp)::integer >= 9 * bit_count(t.sfp | n.sfp)::integer, false)
+  OR CASE WHEN 10 * abs(length(t.smiles) - length(n.smiles)) <= greatest(length(t.smiles), length(n.smiles)) THEN 10 * levenshtein(t.smiles, n.smiles) <= greatest(length(t.smiles), length(n.smiles)) ELSE false END"""
+)
+
 _COMPARED = f"""
 WITH s AS (
   SELECT cliff_id, dataset_name, endpoint, toxic_smiles, nontoxic_smiles, toxic_safe, nontoxic_safe, {_set("toxic_safe")} AS t, {_set("nontoxic_safe")} AS n FROM toxicitycliff),
@@ -108,7 +127,7 @@ WITH r AS (
   SELECT cliff_id, coalesce(split, 'none') AS split, {_strip("coalesce(only_toxic_safe_fragments, '')")} AS gold, {_strip("coalesce(only_nontoxic_safe_fragments, '')")} AS pred FROM toxicitycliff),
 l AS (
   SELECT *, list_filter(string_split(replace(gold, ' ', ''), '.'), lambda x: x <> '') AS g, list_filter(string_split(replace(pred, ' ', ''), '.'), lambda x: x <> '') AS p
-  FROM r WHERE regexp_full_match(gold, '[ -~]*') AND regexp_full_match(pred, '[ -~]*')),
+  FROM r),
 k AS (SELECT *, len(list_distinct(g)) AS ng, len(list_distinct(p)) AS np, len(list_intersect(list_distinct(g), list_distinct(p)))::double AS hit FROM l),
 scored AS (
   SELECT cliff_id, split, CASE WHEN gold <> '' AND list_sort(g) = list_sort(p) THEN 1.0::double ELSE 0.0::double END AS em,
@@ -119,7 +138,7 @@ scored AS (
       list_sum(list_transform(list_distinct(string_split(pred, '')), lambda c: least(length(pred) - length(replace(pred, c, '')), length(gold) - length(replace(gold, c, '')))))::double / length(pred) END AS bleu,
     CASE WHEN len(g) = 0 OR len(p) = 0 THEN levenshtein(gold, pred)::double ELSE
       list_sum(list_transform(p, lambda x: list_min(list_transform(g, lambda y: levenshtein(x, y)))))::double / len(p) END AS lev,
-    CASE WHEN len(g) = 1 THEN 'single_step' ELSE 'multi_step' END AS step
+    CASE WHEN len(g) = 1 THEN 'single_step' ELSE 'multi_step' END AS step, g
   FROM k)
 """
 
@@ -134,9 +153,77 @@ _QED = "exp((" + " + ".join(f"{v[-1]}::double * ln({_desirability(p)})" for p, v
 
 _WORDS = "list_value(" + ", ".join(f"list_sum(list_transform(list_zip(embedding[{a}:{a + 15}], range(0, 16)), lambda x: CASE WHEN x[1] > 0 THEN (1::bigint << x[2]::integer) ELSE 0 END))::bigint" for a in (1, 17, 33, 49)) + ")"
 
+_KEPT = _LONG.replace("SELECT cliff_id FROM kept", ", chosen AS (SELECT * FROM kept") + ")"
+_OF_PAIRS = (
+    _COMPARED
+    + _KEPT
+    + ", d AS (SELECT s.*, pa.canonical AS ca, pb.canonical AS cb, "
+    + ", ".join(f"pb.props.{f} - pa.props.{f} AS delta_{p}" for p, f in _PROPS.items())
+    + " FROM chosen s LEFT JOIN mol_profile pa ON pa.smiles = s.toxic_smiles LEFT JOIN mol_profile pb ON pb.smiles = s.nontoxic_smiles), f AS (SELECT "
+    + ", ".join(map(_two_sided, _PROPS))
+    + " FROM d) SELECT dataset_name, endpoint, "
+    + ", ".join(f"coalesce({c}, {_strip(x)}, '') AS {x}" for c, x in (("ca", "toxic_smiles"), ("cb", "nontoxic_smiles")))
+    + ", toxic_safe, nontoxic_safe, only_toxic_safe_fragments, only_nontoxic_safe_fragments, common_safe_fragments FROM d, f WHERE NOT ("
+    + " OR ".join(f"coalesce(abs(delta_{p}) < lo_{p} OR abs(delta_{p}) > hi_{p}, false)" for p in _PROPS)
+    + ")"
+)
+
+_FAMILY = "CASE task " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASKS.items()) + " END"
+_TASK3 = rf"""
+WITH q AS (SELECT smiles, canonical, {_QED} AS qed FROM mol_profile),
+r AS (
+  SELECT cliff_id, coalesce({_strip("nontoxic_smiles")}, '') AS gold, coalesce({_strip("CASE cliff_id % 3 WHEN 0 THEN nontoxic_smiles WHEN 1 THEN toxic_smiles ELSE 'no molecule' END")}, '') AS pred,
+    replace(toxic_smiles, chr(92), chr(92) || chr(92)) AS input FROM toxicitycliff),
+j AS (
+  SELECT cliff_id, a.canonical AS g, b.canonical AS p, c.canonical AS i, b.qed AS qp, c.qed AS qi
+  FROM r LEFT JOIN q a ON a.smiles = gold LEFT JOIN q b ON b.smiles = pred LEFT JOIN q c ON c.smiles = input)
+SELECT cliff_id, CASE WHEN g = p THEN 1.0::double ELSE 0.0::double END AS exact_match,
+  CASE WHEN g <> '' AND p <> '' THEN list_sum(list_transform(list_distinct(string_split(p, '')), lambda c: least(length(p) - length(replace(p, c, '')), length(g) - length(replace(g, c, '')))))::double / length(p) ELSE 0.0::double END AS bleu,
+  coalesce(levenshtein(g, p), 0)::double AS levenshtein, CASE WHEN p IS NULL THEN 0.0::double ELSE 1.0::double END AS validity,
+  coalesce(exp(-abs(qi - qp)), 0.0::double) AS prs_property_score, CASE WHEN i = p THEN 1.0::double ELSE 0.0::double END AS copy_rate
+FROM j"""
+
+
+def _pick(names: list[str], by: int) -> str:
+    return f"list_value({', '.join(map(_q, names))})[((cliff_id // {by}) % {len(names)} + 1)::integer]"
+
+
+def _text_of(scope: str, key: str) -> str:
+    names = {"assay": D.ASSAYS, "organ": D.ORGAN_CLASSES, "endpoint": D.ENDPOINTS, "dataset": [*D.DATASETS, *D.ENZYME_SETS]}[scope]
+    return f"CASE {key} " + " ".join(f"WHEN {_q(n)} THEN {_q(D.text_of(scope, n))}" for n in names) + " END"
+
+
+_ORGAN = "coalesce(" + _text_of("organ", "e") + f", {_q(D.ORGAN_CLASS)} || e || '.')"
+_LADDER = f"""
+WITH k AS (
+  SELECT cliff_id, {_pick([*D.DATASETS, *D.ASSAY_SETS, *D.ORGAN_SETS, *D.ENZYME_SETS, "", "unknown"], 64)} AS dataset_name,
+    CASE cliff_id % 8 WHEN 1 THEN 'tox21_' || {_pick(D.ASSAYS, 8)} WHEN 2 THEN 'TOX21_other' WHEN 3 THEN {_pick(D.ORGAN_CLASSES, 8)} WHEN 4 THEN lower({_pick(D.ORGAN_CLASSES, 8)})
+      WHEN 5 THEN upper({_pick(D.ENDPOINTS, 8)}) WHEN 6 THEN {_pick(D.ASSAYS, 8)} WHEN 7 THEN endpoint END AS endpoint FROM toxicitycliff),
+x AS (SELECT *, coalesce(endpoint, '') AS e, dataset_name AS d FROM k)
+SELECT cliff_id, dataset_name, endpoint, CASE WHEN e = '' AND d = '' THEN ''
+  WHEN starts_with(lower(e), 'tox21_') THEN coalesce({_text_of("assay", "replace(e, 'tox21_', '')")}, {_q(D.GENERIC_ASSAY)})
+  WHEN lower(e) IN ({", ".join(_q(o.lower()) for o in D.ORGAN_CLASSES)}) THEN {_ORGAN}
+  WHEN {_text_of("endpoint", "lower(e)")} IS NOT NULL THEN {_text_of("endpoint", "lower(e)")}
+  WHEN {_text_of("dataset", "lower(d)")} IS NOT NULL THEN {_text_of("dataset", "lower(d)")}
+  WHEN lower(d) = 'tox21' THEN coalesce({_text_of("assay", "e")}, {_q(D.GENERIC_ASSAY)})
+  WHEN lower(d) IN ({", ".join(map(_q, D.ORGAN_SETS))}) THEN CASE WHEN e = '' THEN {_q(D.GENERIC_ORGAN)} ELSE {_ORGAN} END END AS description
+FROM x"""
+
+_PLACES = list(range(400))  # eval_items has so many rows at every scale
+random.Random(42).shuffle(_PLACES)
+
 SQL = {
+    "cliffs_of_pairs": _OF_PAIRS,
+    "task3_scores": _TASK3,
+    "description_ladder": _LADDER,
+    "infer_run": f"SELECT split, {_FAMILY} AS task, step || '_step' AS step, count(*) AS total, count(*) AS inference_samples FROM eval_items GROUP BY ALL",
+    "qa_round_trip": _CLEAN.rstrip() + ", every AS (" + " UNION ALL ".join(map(_task_sql, TASKS)) + f") SELECT 'test' AS split, {_FAMILY} AS task, step, count(*) AS n, sum(id)::bigint AS ids, sum(length(question))::bigint AS characters FROM every GROUP BY ALL",
+    "sql_functions": _GOLD + "SELECT cliff_id, f1, bleu, len(g)::integer AS n_gold FROM scored",
+    "stream_means": _GOLD + "SELECT 'm' AS model, split, 'task2' AS task, step, count(*) AS total, avg(em) AS \"fragment_EM\", CASE WHEN step = 'multi_step' THEN avg(f1) END AS \"fragment_F1\" FROM scored GROUP BY split, step",
+    "seeded_shuffle": f"SELECT item_id AS was, list_position({_PLACES}, row_number() OVER (ORDER BY item_id) - 1)::bigint - 1 AS id FROM eval_items",
     "pair_levenshtein": _PAIRS,
     "pair_by_length": _PAIRS,
+    "pair_by_bits": _BITS,
     "fragment_sets": f"SELECT cliff_id, {_join(_set('toxic_safe'))} AS fragments, len(list_filter(string_split(replace(coalesce(toxic_safe, ''), ' ', ''), '.'), lambda x: x <> ''))::integer AS n_listed FROM toxicitycliff",
     "fragment_compare": _COMPARED + "SELECT * EXCLUDE (tokens) FROM compared",
     "core_filter": _COMPARED + "SELECT cliff_id, n_common_safe, n_only_toxic_safe, n_only_nontoxic_safe FROM core",

@@ -260,12 +260,143 @@ def test_resume_and_models(spark):
         return q.upper()
 
     said = inference.RemoteProvider(flaky, workers=1, pause=0).generate("", ["a", "bad"])
-    assert said == ["A", "ERROR: down"] and len(tried) == 5
+    assert said == ["A", "ERROR: down"] and tried == ["a", "bad", "a", "bad", "bad"]
     both = before.unionByName(spark.createDataFrame([(2, "now")], "id long, raw string")).withColumn("at", F.monotonically_increasing_id())
     assert {r["id"]: r["raw"] for r in inference.latest(both, ["id"], "at").collect()} == {1: "fine", 2: "now"}
     assert [r["id"] for r in inference.first_questions(items, 2).collect()] == [1, 2]
 
 
+def test_providers(tmp_path):
+    import pickle
+
+    assert isinstance(inference.load_provider("echo"), inference.EchoProvider) and isinstance(inference.load_provider(str(tmp_path)), inference.LocalProvider)
+    chat = inference.load_provider("some-model", 0.1, 3)
+    assert (chat.name, chat.temperature, chat.workers) == ("some-model", 0.1, 3)
+    chat._client = object()
+    assert pickle.loads(pickle.dumps(inference.load_provider(str(tmp_path)))).folder == str(tmp_path) and chat.__getstate__()["_client"] is None
+
+    class Engine:
+        def generate(self, prompts, sampling):
+            return [type("R", (), {"outputs": [type("O", (), {"text": p + sampling})]}) for p in prompts]
+
+    class Tokens:
+        def apply_chat_template(self, talk, tokenize, add_generation_prompt):
+            return "|".join(t["content"] for t in talk)
+
+    local = inference.LocalProvider(str(tmp_path))
+    local.load = lambda: (Tokens(), Engine(), "!")
+    assert local.generate("s", ["a", "b"]) == ["s|a!", "s|b!"]
+
+    class Calls:
+        def create(self, model, messages, temperature, response_format):
+            return type("R", (), {"choices": [type("C", (), {"message": type("M", (), {"content": messages[1]["content"] + model})})]})
+
+    chat._client = type("C", (), {"chat": type("D", (), {"completions": Calls()})})
+    assert chat.generate("s", ["q"]) == ["qsome-model"]
+
+
+def test_molecule_answers_are_scored(spark):
+    from pairforge.kernel.kernels import GraphKernel
+    from pairforge.operators import evaluation
+
+    toxic, gold = "CC(C)c1ccccc1CCO", "CC(C)c1ccccc1CCN"
+    safe = S.smiles_to_safe(gold)
+    asked = [
+        ("task3", gold, '{"answer": "NCCc1ccccc1C(C)C"}', (1, 1, 1, 0, 1)), ("task3", gold, toxic, (0, 1, None, 1, None)), ("task3", gold, "C(", (0, 0, 0, 0, 0)), ("task3", "", gold, (0, 1, 0, 0, 0)), ("task3", gold, None, (0, 0, 0, 0, 0)),
+        ("task3_nontoxic_safe_generation", safe, safe, (1, 1, 1, 0, 1)), ("task3_stepwise_cot_safe_generation", safe, '{"answer": "C1.C2("}', (0, 0, 0, 0, 0)), ("task1", "a", "a", (None,) * 5),
+    ]
+    df = spark.createDataFrame([(i, t, "single_step", (g,), r, f"SMILES = '{toxic}'") for i, (t, g, r, _) in enumerate(asked)], "id int, task string, step string, gold struct<answer: string>, raw string, question string")
+    got = {r["id"]: r for r in evaluation.with_metrics(df).collect()}
+    assert len(got) == len(asked)
+    for i, (_, _, _, want) in enumerate(asked):
+        r = got[i]
+        for name, w in zip(("exact_match", "validity", "bleu", "copy_rate", "morgan_fts"), want):
+            assert r[name] == w or w is None and (i == 1 or r[name] is None), (i, name, r[name])
+    assert 0 < got[1]["rdk_fts"] < 1 and 0 < got[1]["maccs_fts"] <= 1 and 0 < got[1]["morgan_fts"] < 1 and got[7]["fragment_EM"] == 1
+    assert set(evaluation.with_metrics(df.limit(0), GraphKernel(columns=evaluation.SCORING_FIELDS)).columns) >= {"exact_match", "copy_rate"}
+
+
+def test_inference_run(spark, tmp_path):
+    """Limit, resume, failures asked again, files and summaries."""
+    from pairforge import cli
+    from pairforge.operators import evaluation
+    from pairforge.sources import files
+
+    folder = tmp_path / "qa" / "test"
+    folder.mkdir(parents=True)
+    for name, n in (("test_task1_single", 5), ("test_task3_smiles_gen_multi", 3)):
+        rows = [{"id": i, "question": f"q{i} SMILES = 'CCO'", "answer": {"answer": "CCN"}, "dataset_name": "d", "endpoint": "", "source_index": i} for i in range(n)]
+        (folder / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    records = files.read_qa(spark, str(tmp_path / "qa"))
+
+    class Sometimes(inference.EchoProvider):
+        def generate(self, system, questions):
+            assert system in inference.SYSTEM.values()
+            return ["ERROR: busy" if q.startswith("q1 ") else '{"answer": "CCN"}' for q in questions]
+
+    out = str(tmp_path / "out")
+    first = {(r["task"], r["step"]): r for r in evaluation.run(records, Sometimes(), "a/m", out, limit=2).collect()}
+    assert {k: (r["total"], r["inference_samples"]) for k, r in first.items()} == {("task1", "single_step"): (2, 2), ("task3", "multi_step"): (2, 2)}
+    assert first["task3", "multi_step"]["metrics_mean"]["exact_match"] == 0.5 and first["task1", "single_step"]["metrics_mean"]["fragment_EM_Acc"] == 50
+
+    class Fine(inference.EchoProvider):
+        def generate(self, system, questions):
+            assert not any(q.startswith("q0 ") for q in questions)
+            return ['{"answer": "CCN"}' for _ in questions]
+
+    second = {r["task"]: r for r in evaluation.run(records, Fine(), "a/m", out).collect()}
+    assert {k: (r["total"], r["inference_samples"], r["metrics_mean"]["fragment_EM" if k == "task1" else "exact_match"]) for k, r in second.items()} == {"task1": (5, 4, 1), "task3": (3, 2, 1)}
+    every = evaluation.read_predictions(spark, second["task1"]["predictions_path"])
+    assert every.count() == 10 and {r["endpoint"] for r in every.select("endpoint").distinct().collect()} == {"d"}
+    cli.main(["infer", "--qa", str(tmp_path / "qa"), "--model", "echo", "--out", str(tmp_path / "echo"), "--limit", "1"])
+    made = sorted(p.name for p in (tmp_path / "echo").iterdir())
+    assert made == ["predictions_echo", "summary_echo_test_task1_single_step.json", "summary_echo_test_task3_multi_step.json"]
+    assert json.loads((tmp_path / "echo" / made[1]).read_text())["inference_samples"] == 1
+
+
+def test_export(spark):
+    from pairforge.schema import CLIFF_COLUMNS
+
+    df = spark.createDataFrame([(*"de", " CO ", t, *"abcde", "x") for t in ("CC", "NaN", None, "?")], [*CLIFF_COLUMNS, "more"])
+    profile = spark.createDataFrame([("CC", "C-C"), (" CO ", "OC"), ("?", None)], "smiles string, canonical string")
+    out = fragments.for_export(df, profile)
+    assert out.columns == CLIFF_COLUMNS and sorted((r["toxic_smiles"], r["nontoxic_smiles"]) for r in out.collect()) == [("OC", ""), ("OC", ""), ("OC", "?"), ("OC", "C-C")]
+    with pytest.raises(ValueError, match="toxic_safe"):
+        fragments.for_export(df.drop("toxic_safe"), profile)
+
+
+def test_running_means(spark, tmp_path):
+    from pairforge.schema import PREDICTIONS
+    from pairforge.streaming import means
+
+    for k in range(2):  # the second delivery repeats the first
+        spark.createDataFrame([("m", "test", "task1", "single_step", i, float(i % 2)) for i in range(6 + 2 * k)], "model string, split string, task string, step string, id long, fragment_EM double").withColumn("asked_at", F.when(F.col("id") != 3, F.timestamp_seconds(F.col("id") + 1_700_000_000))).write.mode("append").json(f"{tmp_path}/in")
+    for late in ("1 hour", None):
+        name = f"means_{late is None}"
+        q = means.running_means(means.prediction_stream(spark, f"{tmp_path}/in"), ["fragment_EM"], late).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert [(r["total"], r["fragment_EM"]) for r in spark.table(name).collect()] == [(8, 0.5)]
+    assert "asked_at" in PREDICTIONS.fieldNames()
+
+
+def test_bits_of_hot_groups(spark):
+    """Many molecules with one fingerprint, fingerprints of a single bit, empty ones, and a size border."""
+    def fp(bits):
+        words = [0, 0]
+        for b in bits:
+            words[b // 64] |= 1 << b % 64
+        return [w - (1 << 64) if w >> 63 else w for w in words]
+
+    kinds = [[], [5], [127], list(range(9)), list(range(10)), list(range(11)), list(range(3, 40)), list(range(4, 40)), list(range(4, 45)), list(range(60, 128))]
+    rows = [("d", "e", f"{lab}-{k}-{i}", lab, fp(b)) for k, b in enumerate(kinds) for lab in (0, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "dataset_name string, endpoint string, smiles string, label int, fp array<bigint>")
+    toxic, nontoxic = pairing.sides(df)
+    got = [tuple(r)[2:] for r in pairing.bit_candidates(toxic, nontoxic, "fp").collect()]
+    want = {(a[2], b[2]) for a in rows if a[3] for b in rows if not b[3] for x, y in [(set(kinds[int(a[2].split("-")[1])]), set(kinds[int(b[2].split("-")[1])]))] if x | y and 10 * len(x & y) >= 9 * len(x | y)}
+    assert set(got) == want and len(got) == len(want)
+    assert pairing.bit_candidates(toxic.limit(0), nontoxic.limit(0), "fp").count() == 0
+
+
 def test_summary(spark):
     rows = [("m", "test", "task1", "single_step", 1.0, None, None), ("m", "test", "task1", "single_step", float("nan"), None, None), ("m", "test", "task3", "multi_step", None, None, None)]
     df = spark.createDataFrame(rows, "model string, split string, task string, step string, fragment_EM double, fragment_F1 double, fragment_Levenshtein double")
