@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.kernel import graph as G
+from pairforge.kernel.properties import descriptors
 from pairforge.kernel.safe import Converter
 from pairforge.schema import MOL_PROFILE
 
@@ -105,40 +106,6 @@ def key_fingerprint(g: G.Graph, bits: int = 192) -> list[int]:
     return _words((hash((_code(k), n)) for k, v in counts.items() for n in (1, 2, 4) if v >= n), bits)
 
 
-# Average atomic masses and usual valences.
-MASS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
-VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
-
-
-def hydrogens(g: G.Graph, i: int, near) -> int:
-    atom = g.atoms[i]
-    if atom[0] == "[":
-        m = G._ELEMENT.match(atom)
-        return 0 if m["h"] is None else int(m["h"] or 1)
-    aromatic = atom.islower()
-    used = sum({"=": 2, "#": 3}.get(s, 1) for _, s in near[i]) + aromatic
-    free = VALENCE.get(atom.capitalize(), 0)
-    if atom.capitalize() in ("S", "P"):
-        free = next((v for v in (free, free + 2, free + 4) if v >= used), used)
-    return max(0, free - used)
-
-
-def descriptors(g: G.Graph) -> dict[str, float | None]:
-    """Mass, donors, acceptors and rotatable bonds from the graph; logP and polar area need a chemistry library."""
-    near, flat = g.neighbours(), G.bridges(g)
-    names = [G.element(a).capitalize() for a in g.atoms]
-    h = [hydrogens(g, i, near) for i in range(len(g.atoms))]
-    turn = sum(1 for a, b in flat if g.bonds[a, b] in ("", "-") and len(near[a]) > 1 and len(near[b]) > 1)
-    return {
-        "MW": round(sum(MASS.get(n, 0.0) for n in names) + MASS["H"] * sum(h), 3),
-        "logP": None,
-        "TPSA": None,
-        "HBD": float(sum(1 for n, k in zip(names, h) if n in ("N", "O") and k)),
-        "HBA": float(sum(1 for n in names if n in ("N", "O"))),
-        "RotB": float(turn),
-    }
-
-
 class GraphKernel:
     """Profiles from this package's own graph, in batches on the executors.  A text that is no molecule has null fields;
     a molecule without a bond to cut has the empty SAFE text; one without rings has the empty scaffold and no
@@ -147,7 +114,7 @@ class GraphKernel:
     ``columns`` names what is worked out; the other fields are null.  A text is parsed and ranked once for all of them.
     """
 
-    def __init__(self, slicer="rotatable", columns: Iterable[str] | None = None):
+    def __init__(self, slicer="brics", columns: Iterable[str] | None = None):
         self.slicer, self.columns = slicer, set(columns or [n for n in MOL_PROFILE.fieldNames() if n not in ("path_fp", "keys_fp")])
 
     def profile(self, molecules: DataFrame) -> DataFrame:

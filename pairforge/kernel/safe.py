@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pairforge.kernel import graph as G
+from pairforge.kernel import properties
+from pairforge.kernel.smarts import PatternError, View, pattern
 
 
 class DecodeError(ValueError):
@@ -17,6 +21,9 @@ class EncodeError(ValueError):
     """A molecule that cannot be encoded."""
 
 
+__all__ = ["Converter", "DecodeError", "EncodeError", "FragmentationError", "PatternError", "SLICERS", "safe_to_smiles", "smiles_to_safe"]
+
+
 class FragmentationError(ValueError):
     """A molecule in which there is no bond to cut."""
 
@@ -57,21 +64,48 @@ def matched_pairs(g: G.Graph) -> Bonds:
     return [b for b in G.bridges(g) if _single(g, b) and (fine[b[0]] or fine[b[1]])]
 
 
-SLICERS: dict[str, Callable[[G.Graph], Bonds]] = {"hr": any_single, "rotatable": rotatable, "mmpa": matched_pairs, "attach": any_bond}
+SLICERS: dict[str, Callable[[G.Graph], Bonds]] = {"brics": properties.brics, "recap": properties.recap, "hr": any_single, "rotatable": rotatable, "mmpa": matched_pairs, "attach": any_bond}
+
+
+def with_hydrogens(g: G.Graph) -> G.Graph:
+    """The graph with an atom for every hydrogen."""
+    atoms, bonds = list(g.atoms), dict(g.bonds)
+    for i, n in enumerate(View(g).hydrogens):
+        if atoms[i][0] == "[" and G.element(atoms[i]) != "H":
+            atoms[i] = re.sub(r"^(\[[0-9]*(?:\*|[A-Z][a-z]?|[a-z]{1,2})@*)H[0-9]*", r"\1", atoms[i])
+        for _ in range(n - sum(G.element(g.atoms[j]) == "H" for j, _ in g.neighbours()[i])):
+            bonds[i, len(atoms)] = ""
+            atoms.append("[H]")
+    return G.Graph(atoms, bonds)
+
+
+def without_hydrogens(g: G.Graph) -> G.Graph:
+    """The graph with its plain hydrogen atoms drawn into the atoms that hold them."""
+    near = g.neighbours()
+    drop = {i for i, a in enumerate(g.atoms) if a == "[H]" and len(near[i]) == 1 and G.element(g.atoms[near[i][0][0]]) != "H"}
+    atoms = list(g.atoms)
+    for i, a in enumerate(atoms):
+        n = sum(j in drop for j, _ in near[i])
+        if a[0] == "[" and n:
+            m = re.match(r"(\[[0-9]*(?:\*|[A-Z][a-z]?|[a-z]{1,2})@*)(?:H([0-9]*))?(.*)", a)
+            n += 0 if m[2] is None else int(m[2] or 1)
+            atoms[i] = f"{m[1]}H{n if n > 1 else ''}{m[3]}"
+    return G.Graph(atoms, g.bonds).without(drop)
 
 
 class Converter:
     """Encoder and decoder.
 
-    ``slicer`` is a name of SLICERS or a callable from a graph to the bonds to cut.  Rule sets that need substructure
-    queries come with a kernel that wraps a chemistry library.
+    ``slicer`` is a name of SLICERS, a list of patterns of which the first two atoms are the ends of a bond to cut, or a callable from
+    a graph to such bonds.  ``require_hs`` writes hydrogens as atoms of their own; the slicer ``attach`` does.
     """
 
-    def __init__(self, slicer: str | Callable[[G.Graph], Bonds] | None = "rotatable", ignore_stereo: bool = False, label_by_ring: bool = True):
+    def __init__(self, slicer: str | list[str] | Callable[[G.Graph], Bonds] | None = "brics", ignore_stereo: bool = False, label_by_ring: bool = True, require_hs: bool | None = None):
+        self.require_hs = require_hs if require_hs is not None else slicer == "attach"
         if isinstance(slicer, str):
-            if slicer.lower() not in SLICERS:
-                raise ValueError(f"slicer {slicer!r} is unknown here")
-            slicer = SLICERS[slicer.lower()]
+            slicer = SLICERS[slicer.lower()] if slicer.lower() in SLICERS else [slicer]
+        if isinstance(slicer, (list, tuple)):
+            slicer = partial(properties.matched_bonds, patterns=[pattern(x).text for x in slicer])  # PatternError if one cannot be read
         self.slicer, self.ignore_stereo, self.label_by_ring = slicer, ignore_stereo, label_by_ring
 
     def fragment(self, g: G.Graph, allow_empty: bool = False) -> list[tuple[int, int]]:
@@ -88,8 +122,8 @@ class Converter:
         new = {old: k for k, old in enumerate(order)}
         return G.Graph([g.atoms[i] for i in order], {(new[a], new[b]): s for (a, b), s in g.bonds.items()})
 
-    def encode(self, text: str, canonical: bool = True, randomize: bool = False, seed: int | None = None, constraints: Iterable[set[int]] = (), allow_empty: bool = False) -> str:
-        """Fragments by size, largest first, joined by dots; cut bonds lying wholly inside a constraint (a set of atoms by
+    def encode(self, text: str, canonical: bool = True, randomize: bool = False, seed: int | None = None, constraints: Iterable[set[int] | str] = (), allow_empty: bool = False) -> str:
+        """Fragments by size, largest first, joined by dots; cut bonds lying wholly inside a constraint (a pattern, or a set of atoms by
         their place in the text) stay whole.  EncodeError for a broken text, FragmentationError without a cut."""
         if self.ignore_stereo:
             text = text.replace("@", "").replace("/", "").replace("\\", "")
@@ -97,6 +131,9 @@ class Converter:
             g = G.parse(text)
         except G.ParseError as x:
             raise EncodeError(str(x)) from None
+        if self.require_hs:
+            g = with_hydrogens(g)
+        constraints = [c for x in constraints for c in ([set(m) for m in pattern(x).matches(View(g))] if isinstance(x, str) else [x])]
         if randomize:
             order = list(range(len(g.atoms)))
             random.Random(seed).shuffle(order)
@@ -124,15 +161,14 @@ class Converter:
         return ".".join(G.write(whole, p, order, r, extra) for p, r in zip(parts, roots))
 
     def ensure_valid(self, text: str) -> str:
-        """A dummy atom for each ring label that occurs an odd number of times."""
-        out = [text]
-        for k, (n, count) in enumerate(Counter(G.ring_numbers(text)).items(), 1):
-            if count % 2:
-                out.append(f"[*:{n if self.label_by_ring else k}]{G.ring_text(n)}")
-        return ".".join(out)
-
-    def decode(self, text: str, canonical: bool = False, fix: bool = True, remove_dummies: bool = True, ignore_errors: bool = False) -> str | None:
-        """The molecule of a fragment text; DecodeError, or None with ``ignore_errors``, if it is broken."""
+        """The text with a partner for each ring label that stands alone: a dummy atom with the label's number, or with its place
+        among all labels."""
+        counts = Counter(G.ring_numbers(text))
+        alone = ((n, n if self.label_by_ring else k) for k, n in enumerate(counts, 1) if counts[n] % 2)
+        return text + "".join(f".[*:{name}]{G.ring_text(n)}" for n, name in alone)
+
+    def decode(self, text: str, canonical: bool = False, fix: bool = True, remove_dummies: bool = True, ignore_errors: bool = False, remove_added_hs: bool = True, as_graph: bool = False) -> str | G.Graph | None:
+        """The molecule of a fragment text, or its graph; DecodeError, or None with ``ignore_errors``, if it is broken."""
         try:
             g = G.parse(self.ensure_valid(text) if fix else text)
         except G.ParseError as x:
@@ -142,11 +178,13 @@ class Converter:
         if remove_dummies:
             near = g.neighbours()
             g = g.without({i for i, a in enumerate(g.atoms) if G.is_dummy(a) and len(near[i]) <= 1})
-        return G.canonical(g) if canonical else ".".join(G.write(g, p) for p in g.components())
+        if remove_added_hs:
+            g = without_hydrogens(g)
+        return g if as_graph else G.canonical(g) if canonical else ".".join(G.write(g, p) for p in g.components())
 
 
-def smiles_to_safe(text: str, canonical: bool = True, slicer: str = "rotatable", **options) -> str:
-    return Converter(slicer).encode(text, canonical=canonical, **options)
+def smiles_to_safe(text: str, canonical: bool = True, slicer="brics", require_hs: bool | None = None, ignore_stereo: bool = False, **options) -> str:
+    return Converter(slicer, ignore_stereo, require_hs=require_hs).encode(text, canonical=canonical, **options)
 
 
 def safe_to_smiles(text: str, canonical: bool = True, **options) -> str | None:

@@ -429,12 +429,12 @@ def test_more_cuts_than_two_digits(spark):
     from pairforge.kernel.kernels import GraphKernel
 
     text = "CO" * 60 + "C"
-    safe = S.smiles_to_safe(text)
+    safe = S.smiles_to_safe(text, slicer="rotatable")
     assert safe.count(".") == 118 and "%(100)" in safe and "%99" in safe and G.ring_numbers("C%(100)C%12C3") == [100, 12, 3]
     assert S.safe_to_smiles(safe) == G.canonical(G.parse(text))
     assert S.Converter().decode("C%(123).C%(124).N%(123)", canonical=True) == G.canonical(G.parse("CN.C"))
     rows = spark.createDataFrame([(text,)], "smiles string")
-    assert GraphKernel().profile(rows).first()["safe"] == safe
+    assert GraphKernel("rotatable").profile(rows).first()["safe"] == safe
 
 
 def test_safe_details():
@@ -458,18 +458,61 @@ def test_safe_details():
             G.parse(bad)
 
 
+# Published values: exact mass, logP, polar surface, donors, acceptors, rotatable bonds.
+KNOWN = {
+    "CC(=O)Oc1ccccc1C(=O)O": (180.0423, 1.3101, 63.60, 1, 3, 2), "Cn1c(=O)c2c(ncn2C)n(C)c1=O": (194.0804, -1.0293, 61.82, 0, 6, 0), "CC(=O)Nc1ccc(O)cc1": (151.0633, 1.3506, 49.33, 2, 2, 1), "c1ccccc1": (78.0470, 1.6866, 0, 0, 0, 0),
+    "Cc1ccccc1": (92.0626, 1.9950, 0, 0, 0, 0), "CCO": (46.0419, -0.0014, 20.23, 1, 1, 0), "CC(C)Cc1ccc(cc1)C(C)C(=O)O": (206.1307, 3.0732, 37.30, 1, 1, 4), "c1ccncc1": (79.0422, 1.0816, 12.89, 0, 1, 0), "Nc1ccccc1": (93.0578, 1.2688, 26.02, 1, 1, 0),
+}
+
+
+@pytest.mark.parametrize("text", KNOWN)
+def test_properties_of_known_molecules(text):
+    from pairforge.kernel.properties import descriptors
+
+    assert list(descriptors(G.parse(text)).values()) == pytest.approx(KNOWN[text], abs=6e-4)
+    # However it is written.
+    assert list(descriptors(G.parse(G.canonical(G.parse(text)))).values()) == pytest.approx(KNOWN[text], abs=6e-4)
+
+
+def test_patterns():
+    from pairforge.kernel.smarts import PatternError, View, pattern
+
+    found = lambda p, text: sorted(pattern(p).matches(View(G.parse(text))))
+    assert found("C=O", "CC(=O)O") == [(1, 2)] and found("[#6]!@[#8;D1]", "CC(=O)O") == [(1, 2), (1, 3)] and found("[OH]", "CC(=O)O") == [(3,)]
+    assert found("[$(C=O)]-[O,N]", "CC(=O)NC") == [(1, 3)] and found("[!#6]", "CCO") == [(2,)] and found("c1ccccc1", "Cc1ccccc1")[0][0] == 1 and len(found("c1ccccc1", "c1ccccc1")) == 12
+    assert found("[R]", "C1CC1C") == [(0,), (1,), (2,)] and found("[r3]", "C1CC1C1CCC1") == [(0,), (1,), (2,)] and found("[r4;R1]", "C1CC1C1CCC1")[0] == (3,)
+    assert found("[N+;H3]", "[NH3+]C") == [(0,)] and found("[#7;+0,-]", "[NH3+]CN") == [(2,)] and found("[X4;!H0]", "CC(F)(F)F") == [(0,)] and found("A~a", "Cc1ccccc1") == [(0, 1)] and found("[v4]", "CO") == [(0,)]
+    assert found("c-!@c", "c1ccccc1c1ccccc1") == [(5, 6), (6, 5)] and found("C/C=C/C", "CC=CC") == [(0, 1, 2, 3), (3, 2, 1, 0)] and found("[C@H](N)C", "CC(N)C")[0] == (1, 2, 0)
+    for bad in ("", "C(", "[C", "C1", "[Q]", "[C;]", "C=", "$(C"):
+        with pytest.raises(PatternError):
+            pattern(bad)
+
+
+def test_rules_for_cutting():
+    cut = lambda text, slicer: sorted(S.Converter(slicer).fragment(G.parse(text), True))
+    assert cut("CC(=O)Oc1ccccc1C(=O)O", "brics") == [(1, 3), (3, 4), (9, 10)] and cut("CCCC", "brics") == [] and cut("CCOCC", "brics") == [(1, 2), (2, 3)] and cut("CC=CC", "brics") == [(1, 2)]
+    assert (1, 3) in cut("CC(=O)Nc1ccc(O)cc1", "recap") and cut("c1ccccc1c1ccccc1", "recap") == [(5, 6)]
+    assert cut("CCOC", ["[#6]-[#8]"]) == [(1, 2), (2, 3)] and cut("CCOC", "C-O") == [(1, 2), (2, 3)]
+    assert S.smiles_to_safe("CCOCC", constraints=["CO"], allow_empty=True).count(".") == 0
+    hydrogens = S.with_hydrogens(G.parse("C[NH3+]"))
+    assert len(hydrogens.atoms) == 8 and G.canonical(S.without_hydrogens(hydrogens)) == G.canonical(G.parse("C[NH3+]"))
+    whole = S.smiles_to_safe("CO", slicer="attach")
+    assert whole.count("[H]") == 4 and S.safe_to_smiles(whole) == G.canonical(G.parse("CO")) and "[H]" in S.safe_to_smiles(whole, remove_added_hs=False)
+    assert S.Converter().decode("CO", as_graph=True).atoms == ["C", "O"]
+
+
 def test_kernels(spark):
     from pairforge.kernel.kernels import GraphKernel, TableKernel, register
 
     df = spark.createDataFrame([("CCO",), ("CCO",), ("c1ccccc1CCN",), ("bad(",), (None,)], "smiles string")
     got = {r["smiles"]: r for r in GraphKernel().profile(df).collect()}
     assert set(got) == {"CCO", "c1ccccc1CCN", "bad("} and got["bad("]["canonical"] is None and got["CCO"]["scaffold"] == "" and got["CCO"]["scaffold_fp"] is None
-    assert len(got["CCO"]["fp"]) == 16 and got["CCO"]["props"]["MW"] == pytest.approx(46.07, abs=0.01) and got["CCO"]["props"]["HBD"] == 1 and got["CCO"]["props"]["logP"] is None
+    assert len(got["CCO"]["fp"]) == 16 and got["CCO"]["props"]["MW"] == pytest.approx(46.0419, abs=1e-4) and got["CCO"]["props"]["HBD"] == 1 and got["CCO"]["props"]["logP"] == pytest.approx(-0.0014)
     table = spark.createDataFrame([("CCO", "OCC")], "smiles string, canonical string")
     got = {r["smiles"]: r["canonical"] for r in TableKernel(table).profile(df).collect()}
     assert got == {"CCO": "OCC", "c1ccccc1CCN": None, "bad(": None}
     register(spark)
-    assert tuple(spark.sql("SELECT safe_to_smiles(smiles_to_safe('CCCC')) = canonical_smiles('CCCC'), smiles_to_safe('C(')").first()) == (True, None)
+    assert tuple(spark.sql("SELECT safe_to_smiles(smiles_to_safe('CCOCC')) = canonical_smiles('CCOCC'), smiles_to_safe('C(')").first()) == (True, None)
 
 
 def test_files(spark, tmp_path):
