@@ -33,8 +33,9 @@ def valid_smiles(c: Column) -> Column:
     brackets = F.regexp_replace(outside, "[^()]", "")
     depth = F.aggregate(F.split(brackets, ""), F.lit(0), lambda d, x: F.when(d < 0, d).when(x == "(", d + 1).when(x == ")", d - 1).otherwise(d))
     labels = F.regexp_extract_all(outside, F.lit("(%[0-9][0-9]|[0-9])"), F.lit(1))
-    paired = F.forall(F.array_distinct(labels), lambda y: F.size(F.filter(labels, lambda x: x == y)) % 2 == 0)
-    return F.coalesce(text.rlike(_ATOMS) & (depth == 0) & paired, F.lit(False))
+    # Labels that are open, one pass: a label opens a ring, or closes the one it opened.
+    open_ = F.aggregate(labels, F.array().cast("array<string>"), lambda a, x: F.when(F.array_contains(a, x), F.array_remove(a, x)).otherwise(F.array_append(a, x)))
+    return F.coalesce(text.rlike(_ATOMS) & (depth == 0) & (F.size(open_) == 0), F.lit(False))
 
 
 def valid_raw_label(c: Column) -> Column:
@@ -94,7 +95,9 @@ def parse_lines(df: DataFrame, rec_id: str, line: str, schema: T.StructType = RA
             kept = F.nullif(cell[f.name], F.lit(""))
         return F.when(F.col("reason").isNull(), F.when(F.col("clean"), read).otherwise(kept)).alias(f.name)
 
-    return out.select("rec_id", *[value(f) for f in schema], F.when(F.col("reason").isNotNull(), F.col("line")).alias("corrupt"), "reason")
+    # Through a generator, below which no later filter is pushed: it would read and check every line once more for each of its parts.
+    whole = F.struct(*[value(f) for f in schema], F.when(F.col("reason").isNotNull(), F.col("line")).alias("corrupt"), F.col("reason").alias("reason"))
+    return out.select("rec_id", F.explode(F.array(whole)).alias("r")).select("rec_id", "r.*")
 
 
 def check_rows(df: DataFrame, rec_id: str, fields: list[str], checks: dict[str, Check] | None = None) -> DataFrame:
