@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +136,8 @@ def look_map(lookalikes: DataFrame) -> dict[str, str]:
     return {r["looks"]: r["plain"] for r in rows if r["looks"]}
 
 
-def with_form(df: DataFrame, text: str, lookalikes: DataFrame, keep: list[str], keep_text: bool = False) -> DataFrame:
-    """``keep`` columns (and the text) plus ``form``.  A null text has a null form, an empty or invisible one an empty
+def with_form(df: DataFrame, text: str, lookalikes: DataFrame, keep: list[str], keep_text: bool = False, then: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """``keep`` columns (and the text) plus ``form``, or what ``then`` makes of arrays of forms.  A null text has a null form, an empty or invisible one an empty
     form.  Other columns are left out, so their names cannot clash."""
     looks = look_map(lookalikes)
     rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -147,7 +147,7 @@ def with_form(df: DataFrame, text: str, lookalikes: DataFrame, keep: list[str],
         former = Former(looks)
         for b in batches:
             texts = b.column(b.schema.get_field_index("__text"))
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep] + ([texts] if keep_text else []) + [former(texts)]
+            cols = [b.column(b.schema.get_field_index(k)) for k in keep] + ([texts] if keep_text else []) + [then(former(texts)) if then else former(texts)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return rows.mapInArrow(run, T.StructType(fields))

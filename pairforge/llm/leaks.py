@@ -39,11 +39,17 @@ MAYBE_BITS = 20
 STRIDE = 60_000
 
 
+def bare_words(forms: pa.Array) -> pa.Array:
+    """The longest runs of a-z and 0-9 in the lower-cased forms, joined by single blanks.
+
+    Of the characters outside ASCII that a form can hold only U+0130 has such letters in its lower case: an i and a mark.
+    """
+    return pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(forms, "\u0130", "i ")), "[^a-z0-9]+", " "), " ")
+
+
 def words_of(df: DataFrame, key: str, text: str, lookalikes: DataFrame) -> DataFrame:
-    """``key`` and ``words``: the longest runs of a-z and 0-9 in the lower-cased form, joined by single blanks.
-    Null, empty and wordless texts are left out."""
-    form = with_form(df, text, lookalikes, [key])
-    return form.select(F.col(key), F.trim(F.regexp_replace(F.lower("form"), "[^a-z0-9]+", " ")).alias("words")).where("words <> ''")
+    """``key`` and ``words``: the words of the form, in lower case, joined by single blanks.  Null, empty and wordless texts are left out."""
+    return with_form(df, text, lookalikes, [key], then=bare_words).withColumnRenamed("form", "words").where("words <> ''")
 
 
 def rarest_weight(n_docs: int) -> int:
@@ -258,17 +264,21 @@ def judge(items: Items, hashes: np.ndarray, weights: np.ndarray, at: np.ndarray,
     grid = np.arange(window)
     a, b = hashes[at[:, None] + grid], items.hashes[place[:, None] + grid]
     same = (a == b).all(axis=1)
+    out = np.ones(len(at))
+    rest = np.nonzero(~same)[0]
+    a, b = a[rest], b[rest]
     k = min(shingle, window)
     spans = np.arange(window - k + 1)[:, None] + np.arange(k)
-    sa, sb = np.zeros((len(at), len(spans)), np.uint64), np.zeros((len(at), len(spans)), np.uint64)
+    sa, sb = np.zeros((len(rest), len(spans)), np.uint64), np.zeros((len(rest), len(spans)), np.uint64)
     for i in range(k):
         sa = _mix(sa * np.uint64(0x9E3779B97F4A7C15) + a[:, spans[:, i]])
         sb = _mix(sb * np.uint64(0x9E3779B97F4A7C15) + b[:, spans[:, i]])
-    wa, wb = weights[at[:, None] + grid][:, spans].sum(axis=2), items.weights[place[:, None] + grid][:, spans].sum(axis=2)
+    wa, wb = weights[at[rest][:, None] + grid][:, spans].sum(axis=2), items.weights[place[rest][:, None] + grid][:, spans].sum(axis=2)
     hit = sa[:, :, None] == sb[:, None, :]
     shared = ((wa * hit.any(axis=2)).sum(axis=1) + (wb * hit.any(axis=1)).sum(axis=1)) / 2
     total = wa.sum(axis=1) + wb.sum(axis=1) - shared
-    return np.where(same, 1.0, shared / np.maximum(total, 1)), same
+    out[rest] = shared / np.maximum(total, 1)
+    return out, same
 
 
 def search(parts: list, weight: dict[str, int], shingle: int, least: float, rarest: int = 8, partial: bool = True):

@@ -211,6 +211,15 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), "doc_id", "text", q, "item_id", "question", looks_df(spark)).count() == 0
 
 
+def test_words_of_every_character():
+    import pyarrow as pa
+
+    every = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) != "Cs"]
+    forms = [canonical.form_of(f"A{c}b9 {c}", {}) for c in every] + ["", "  ", None]
+    want = [None if f is None else " ".join(re.findall("[a-z0-9]+", f.lower())) for f in forms]
+    assert leaks.bare_words(pa.array(forms)).to_pylist() == want
+
+
 def test_no_similar_windows_are_missed():
     """Every pair of similarity 0.8 or more, with its best similarity, against brute force over all windows."""
     import pyarrow as pa
