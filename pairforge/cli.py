@@ -11,35 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.kernel.kernels import GraphKernel, TableKernel, distinct_molecules
-from pairforge.operators import descriptions, evaluation, fences, fragments, groupsplit, inference, pairing, qa
+from pairforge.operators import descriptions, evaluation, fences, groupsplit, inference, qa, stages
 from pairforge.shipping import ship
-from pairforge.schema import CLIFF_COLUMNS, CLIFFS, METRICS, PAIR_COLUMNS, PREDICTIONS, PROPERTIES
+from pairforge.schema import CLIFF_COLUMNS, CLIFFS, METRICS, PAIR_COLUMNS, PREDICTIONS
 from pairforge.sources import files
 from pairforge.storage import materialize
 
 
-def kernel(spark: SparkSession, profile: str | None):
-    return TableKernel(spark.read.parquet(profile)) if profile else GraphKernel()
+def kernel(spark: SparkSession, profile: str | None, *columns: str):
+    return TableKernel(spark.read.parquet(profile)) if profile else GraphKernel(columns=columns)
 
 
 def pair(spark: SparkSession, a) -> None:
     """Molecules to filtered pairs."""
     rows = files.read_molecules(spark, a.input).dropna(subset=["smiles"])
-    profile = materialize(kernel(spark, a.profile).profile(rows), "profile")
-    with_fp = rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left")
-    pairs = materialize(pairing.pair_molecules(with_fp, compat=a.compat), "pairs")
-    compared = materialize(fragments.compare_fragments(fragments.attach_safe(pairs, profile)), "compared")
-    kept = fences.fragment_filters(compared, not a.no_iqr, a.fragment_length, a.max_fragments)
-    if not a.keep_property_outliers:
-        kept = fences.drop_outliers(materialize(fences.property_deltas(kept, profile), "deltas"), [f"delta_abs_{p}" for p in PROPERTIES])
-    numbered = files.ordered_ids(fragments.for_export(kept, profile), PAIR_COLUMNS)
-    files.write_csv(numbered, a.out, order_by="row_id", one_file=a.one_file)
+    out = stages.toxicity_cliffs(rows, lambda *columns: kernel(spark, a.profile, *columns), a.compat, not a.no_iqr, a.fragment_length, a.max_fragments, not a.keep_property_outliers)
+    files.write_csv(files.ordered_ids(out, PAIR_COLUMNS), a.out, order_by="row_id", one_file=a.one_file)
 
 
 def split(spark: SparkSession, a) -> None:
     """Pairs to train and test by the scaffold of the toxic molecule."""
     rows = files.numbered_csv(spark, a.input, CLIFFS, "row_id")
-    profile = kernel(spark, a.profile).profile(distinct_molecules((rows, "toxic_smiles"))).select(F.col("smiles").alias("toxic_smiles"), "scaffold")
+    profile = kernel(spark, a.profile, "scaffold").profile(distinct_molecules((rows, "toxic_smiles"))).select(F.col("smiles").alias("toxic_smiles"), "scaffold")
     parts = materialize(groupsplit.smallest_first_split(rows.join(profile, "toxic_smiles", "left"), "row_id", F.col("scaffold"), a.test_share), "parts")
     for name in ("train", "test"):
         files.write_csv(parts.where(F.col("split") == name).select("row_id", *CLIFF_COLUMNS), f"{a.out_dir}/{name}.csv", order_by="row_id")
@@ -71,22 +64,18 @@ def build(spark: SparkSession, a) -> None:
 def score(spark: SparkSession, a) -> None:
     """Predictions (with their replies and, for molecules, their questions) to scores and one summary per task and step."""
     rows = spark.read.schema(T.StructType([*PREDICTIONS.fields, T.StructField("question", T.StringType())])).json(a.predictions)
-    scored = evaluation.with_metrics(rows.drop(*METRICS), scoring_kernel(spark, a.profile), a.compat)
+    scored = evaluation.with_metrics(rows.drop(*METRICS), kernel(spark, a.profile, *evaluation.SCORING_FIELDS), a.compat)
     files.write_summary(inference.summarise(scored), a.out)
 
 
 def infer(spark: SparkSession, a) -> None:
     """Records to predictions and summaries; what is answered already is not asked again."""
     provider = inference.load_provider(a.model, a.temperature, a.workers, a.tensor_parallel_size)
-    summary = evaluation.run(files.read_qa(spark, a.qa), provider, a.model, a.out, a.limit, scoring_kernel(spark, a.profile), a.compat)
+    summary = evaluation.run(files.read_qa(spark, a.qa), provider, a.model, a.out, a.limit, kernel(spark, a.profile, *evaluation.SCORING_FIELDS), a.compat)
     for path in files.write_summary(summary, a.out):
         print(path)
 
 
-def scoring_kernel(spark: SparkSession, profile: str | None):
-    return TableKernel(spark.read.parquet(profile)) if profile else GraphKernel(columns=evaluation.SCORING_FIELDS)
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pairforge", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)

@@ -12,7 +12,7 @@ from pairforge.functions import sql as functions_sql
 from pairforge.functions.text import fragment_join, fragment_list, fragment_set, py_repr, strip
 from pairforge.kernel import kernels
 from pairforge.kernel.kernels import GraphKernel, TableKernel, distinct_molecules
-from pairforge.operators import descriptions, evaluation, fences, fragments, groupsplit, inference, pairing, qa
+from pairforge.operators import descriptions, evaluation, fences, fragments, groupsplit, inference, pairing, qa, stages
 from pairforge.plans.pair_sql import SQL
 from pairforge.schema import PREDICTIONS, PROPERTIES
 from pairforge.sources.files import ordered_ids, read_qa, write_qa
@@ -61,12 +61,7 @@ def pair_by_bits(spark: SparkSession, d: str) -> DataFrame:
 
 def cliffs(spark: SparkSession, d: str) -> DataFrame:
     """From molecules to pairs with fragments: pair by all rules, compare, filter by fragments and by all properties, export."""
-    rows = _molecules(spark, d).where("label IN (0, 1)")
-    profile = materialize(GraphKernel().profile(rows), "profile")
-    pairs = materialize(pairing.pair_molecules(rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left")), "pairs")
-    compared = materialize(fragments.compare_fragments(fragments.attach_safe(pairs, profile)), "compared")
-    kept = fences.property_deltas(fences.fragment_filters(compared), profile)
-    return fragments.for_export(fences.drop_outliers(materialize(kept, "deltas"), [f"delta_abs_{p}" for p in PROPERTIES]), profile)
+    return stages.toxicity_cliffs(_molecules(spark, d).where("label IN (0, 1)"), lambda *columns: GraphKernel(columns=columns))
 
 
 def cliffs_of_pairs(spark: SparkSession, d: str) -> DataFrame:
