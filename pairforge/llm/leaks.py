@@ -2,7 +2,7 @@
 
 Item-sized windows of both sides – as long as the item, up to the passage of 12 words – have 64-bit SimHash fingerprints.  Four blocks
 of 16 bits index those of the items: whatever lies within three bits shares a block with it, so all such windows are found,
-those with the same words among them.  Exact weighted-shingle similarity on the words then verifies the candidates.
+those with the same words among them.  Exact weighted-shingle similarity, on 64-bit hashes of the words, then verifies the candidates.
 
 A window of similarity 0.8 that is not the same lies about seven bits away, so fingerprints alone miss most partial leaks.  For
 these (``partial``) the shingles of the items' windows are indexed as well: a document window looks up its rarest shingles, as
