@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairforge.functions.text import fragment_list
+from pairforge.functions.text import char_ngrams, fragment_list, strip
 
 
 def finite(c: Column) -> Column:
@@ -44,6 +44,15 @@ def bleu1(gold: Column, pred: Column) -> Column:
     return F.when((F.length(gold) > 0) & (F.length(pred) > 0), hits / F.length(pred)).otherwise(0.0)
 
 
+def bleu(gold: Column, pred: Column, n: int = 1, characters: bool = True) -> Column:
+    """Clipped precision over character n-grams of the texts without blanks (U+0020), or over fragments; 0 if either has none."""
+    bare = lambda c: F.replace(strip(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(""))
+    g, p = (char_ngrams(bare(gold), n), char_ngrams(bare(pred), n)) if characters else (fragment_list(gold), fragment_list(pred))
+    count = lambda tokens, x: F.size(F.filter(tokens, lambda y: y == x))
+    hits = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, x: a + F.least(count(p, x), count(g, x)))
+    return F.when((F.size(g) > 0) & (F.size(p) > 0), hits / F.size(p)).otherwise(0.0)
+
+
 def fragment_levenshtein(gold: Column, pred: Column) -> Column:
     """Mean over predicted fragments of the distance to the nearest gold one; whole texts if either has no fragment."""
     g, p = fragment_list(gold), fragment_list(pred)

@@ -195,8 +195,15 @@ class RdkitKernel:
         return _profiled(molecules, one)
 
 
+@F.pandas_udf(T.DoubleType())
+def safe_validity(texts: pd.Series) -> pd.Series:
+    decode = Converter().decode
+    return texts.map(lambda x: float(bool(x and x.strip() and decode(x.strip(), ignore_errors=True)))).astype(float)
+
+
 def register(spark) -> None:
-    """SQL functions ``smiles_to_safe``, ``safe_to_smiles`` and ``canonical_smiles`` (null where a text is broken)."""
+    """SQL functions ``smiles_to_safe``, ``safe_to_smiles`` and ``canonical_smiles`` (null where a text is broken), and
+    ``safe_validity``: 1 if a SAFE text can be decoded to a molecule, else 0."""
 
     def series(f):
         def safe(x):
@@ -213,6 +220,7 @@ def register(spark) -> None:
 
     spark.udf.register("smiles_to_safe", series(lambda x: Converter().encode(x)))
     spark.udf.register("safe_to_smiles", series(lambda x: Converter().decode(x, canonical=True)))
+    spark.udf.register("safe_validity", safe_validity)
     spark.udf.register("canonical_smiles", series(lambda x: G.canonical(G.parse(x))))
 
 

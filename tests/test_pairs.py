@@ -50,6 +50,23 @@ def test_scores(spark):
         assert row == pytest.approx(tuple(want)), (row, want)
 
 
+def test_bleu_of_any_tokens(spark):
+    from collections import Counter
+
+    g, p = F.col("g"), F.col("p")
+    pairs = [(a, b) for a, b, *_ in SCORES] + [(None, "a"), ("a b.c", " ab.c "), ("abcabc", "bcabca")]
+    grams = lambda s, n: [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    def want(a, b):
+        a, b = Counter(a), Counter(b)
+        return sum((a & b).values()) / sum(b.values()) if a and b else 0
+
+    bare = lambda x: (x or "").strip().replace(" ", "")
+    got = values(spark, pairs, "g string, p string", *[scoring.bleu(g, p, n) for n in (1, 2, 4)], scoring.bleu(g, p, characters=False))
+    for row, (a, b) in zip(got, pairs):
+        assert row == pytest.approx((*[want(grams(bare(a), n), grams(bare(b), n)) for n in (1, 2, 4)], want([x for x in bare(a).split(".") if x], [x for x in bare(b).split(".") if x])))
+
+
 def test_score_queries_keep_every_row(spark, tmp_path):
     from pairforge.plans import pair_queries
 
@@ -501,6 +518,27 @@ def test_rules_for_cutting():
     assert S.Converter().decode("CO", as_graph=True).atoms == ["C", "O"]
 
 
+#: What the kernel makes of a few texts: canonical form, fragments, scaffold.  These are its own and must not change by chance.
+PROFILES = {
+    "CC(=O)Oc1ccccc1C(=O)O": ("CC(=O)Oc1ccccc1C(O)=O", "c1ccc4c3c1.CC2=O.C3(O)=O.O24", "c1ccccc1"),
+    "CC(C)Cc1ccc(cc1)C(C)C(=O)O": ("CC(C)Cc1ccc(C(C)C(O)=O)cc1", "c1cc3ccc12.CC3C(O)=O.CC(C)C2", "c1ccccc1"),
+    "C[C@H](N)C(=O)O": ("C[C@H](C(O)=O)N", "", ""),
+    "[NH3+]CC.[Cl-]": ("CC[NH3+].[Cl-]", "", ""),
+    "C1CC2CCC1C2CCN": ("C1CC2CCC1C2CCN", "C1CC2CCC1C23.C3CN", "C1CC2CCC1C2"),
+    "C1CC(": (None, None, None),
+    "": (None, None, None),
+}
+
+
+def test_profiles_against_a_fixed_table(spark):
+    from pairforge.kernel.kernels import GraphKernel
+
+    df = spark.createDataFrame([(t,) for t in [*PROFILES, *PROFILES, None]], "smiles string").repartition(3)
+    got = {r["smiles"]: r for r in GraphKernel(columns=[*("canonical", "safe", "scaffold", "fp", "path_fp", "keys_fp")]).profile(df).collect()}
+    assert {t: (r["canonical"], r["safe"], r["scaffold"]) for t, r in got.items()} == PROFILES
+    assert [len(got["C1CC2CCC1C2CCN"][c]) for c in ("fp", "path_fp", "keys_fp")] == [16, 32, 3] and got["C1CC2CCC1C2CCN"]["props"] is None
+
+
 def test_kernels(spark):
     from pairforge.kernel.kernels import GraphKernel, TableKernel, register
 
@@ -513,6 +551,7 @@ def test_kernels(spark):
     assert got == {"CCO": "OCC", "c1ccccc1CCN": None, "bad(": None}
     register(spark)
     assert tuple(spark.sql("SELECT safe_to_smiles(smiles_to_safe('CCOCC')) = canonical_smiles('CCOCC'), smiles_to_safe('C(')").first()) == (True, None)
+    assert tuple(spark.sql("SELECT safe_validity('C1.N1'), safe_validity('C1.N('), safe_validity(' '), safe_validity(NULL)").first()) == (1, 0, 0, 0)
 
 
 def test_files(spark, tmp_path):
