@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.similarity import lev_090, popcount, tanimoto_090
+from pairforge.functions.similarity import lev_090, lev_similarity, popcount, tanimoto, tanimoto_090
 from pairforge.schema import PAIR_COLUMNS, require_columns
 from pairforge.storage import materialize
 
@@ -48,13 +48,23 @@ def _back(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, columns: list
     return pairs.join(t, "toxic_id").join(n, "nontoxic_id").where(same)
 
 
+def _block(n: Column) -> Column:
+    """A number of a size: sizes of which the smaller is at least 0.9 of the greater are at most one apart.  The blocks are wider than
+    that by a hair, so that no logarithm rounds a border case two apart."""
+    return F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9)) / (1 + 1e-9)).cast("int")
+
+
+def _near_blocks(n: Column) -> Column:
+    return F.explode(F.array(*[_block(n) + i for i in (-1, 0, 1)]))
+
+
 def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     """Pairs with a text similarity of 0.9 or more.
 
     A positive text of length l is cut into floor(l / 9) + 1 segments; a partner within the allowed edits holds one of
     them unchanged at most floor(l / 9) characters away.  Negative texts offer their substrings of the widths (one or
-    two, at most 8) that partners of their length use.  Group, segment and its place in steps of PLACES characters are hashed to
-    the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.  Neither
+    two, at most 8) that partners of their length use.  Group, segment, its place in steps of PLACES characters and the block of
+    lengths are hashed to the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.  Neither
     texts nor groups move with the segments, only hashes; the pairs they give are judged on the texts.
     """
     toxic, nontoxic = _named(toxic, "toxic"), _named(nontoxic, "nontoxic")
@@ -62,13 +72,14 @@ def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), F.col("toxic_smiles").substr(i * width + 1, width).alias("piece")))
     t = toxic.select(*KEYS, "toxic_id", F.length("toxic_smiles").alias("length_t"), edits.alias("edits"), F.explode(pieces).alias("s"))
     reach = F.sequence(F.floor((F.col("s.at") - F.col("edits")) / PLACES), F.floor((F.col("s.at") + F.col("edits")) / PLACES))
-    t = t.select("*", F.explode(reach).alias("place")).select("toxic_id", "length_t", "edits", F.col("s.at").alias("at_t"), F.xxhash64(*KEYS, "s.piece", "place").alias("key"))
+    t = t.select("*", F.explode(reach).alias("place")).select("*", _near_blocks(F.col("length_t")).alias("block"))
+    t = t.select("toxic_id", "length_t", "edits", F.col("s.at").alias("at_t"), F.xxhash64(*KEYS, "s.piece", "place", "block").alias("key"))
     length = F.length("nontoxic_smiles")
     partners = F.sequence(F.ceil(length * 0.9).cast("int"), F.floor(length / 0.9).cast("int"))
     widths = F.array_distinct(F.transform(partners, lambda x: F.greatest(F.lit(1), F.floor(x / (F.floor(x / 9) + 1)).cast("int"))))
     n = nontoxic.select(*KEYS, "nontoxic_id", "nontoxic_smiles", length.alias("length_n"), F.explode(widths).alias("w")).where("length_n >= w")
     n = n.select("*", F.explode(F.sequence(F.lit(0), F.col("length_n") - F.col("w"))).alias("at_n"))
-    n = n.select("nontoxic_id", "length_n", "at_n", F.xxhash64(*KEYS, F.col("nontoxic_smiles").substr(F.col("at_n") + 1, F.col("w")), F.floor(F.col("at_n") / PLACES)).alias("key"))
+    n = n.select("nontoxic_id", "length_n", "at_n", F.xxhash64(*KEYS, F.col("nontoxic_smiles").substr(F.col("at_n") + 1, F.col("w")), F.floor(F.col("at_n") / PLACES), _block(F.col("length_n"))).alias("key"))
     near = F.expr("abs(at_t - at_n) <= edits AND abs(length_t - length_n) * 10 <= greatest(length_t, length_n)")
     met = t.join(n, "key").where(near).select("toxic_id", "nontoxic_id").distinct()
     return _back(met, toxic, nontoxic).where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
@@ -77,9 +88,8 @@ def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
 def length_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     """The same pairs by blocks of length: fewer rows move, more pairs are compared.  For texts of prose length."""
     near = F.abs(F.length("toxic_smiles") - F.length("nontoxic_smiles")) * 10 <= F.greatest(F.length("toxic_smiles"), F.length("nontoxic_smiles"))
-    block = lambda c: F.floor(F.ln(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9))).cast("int")
-    t = toxic.withColumn("block", F.explode(F.array(*[block("toxic_smiles") + i for i in (-1, 0, 1)])))
-    return t.join(nontoxic.withColumn("block", block("nontoxic_smiles")), [*KEYS, "block"]).where(near & lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
+    t = toxic.withColumn("block", _near_blocks(F.length("toxic_smiles")))
+    return t.join(nontoxic.withColumn("block", _block(F.length("nontoxic_smiles"))), [*KEYS, "block"]).where(near & lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
 
 
 def _bits(words: Column) -> Column:
@@ -120,14 +130,12 @@ def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFr
     if not order:
         return toxic.select(*KEYS, "toxic_smiles", F.lit("").alias("nontoxic_smiles")).limit(0).select(*PAIR_COLUMNS)
     rank = F.array(*[F.lit(order.get(b, 0)) for b in range(max(order) + 1)])
-    block = lambda c: F.floor(F.ln(F.col(c).cast("double")) / F.ln(F.lit(10 / 9))).cast("int")
-
-    def keyed(df: DataFrame, s: str, blocks: Column) -> DataFrame:
+    def keyed(df: DataFrame, s: str, block: Column) -> DataFrame:
         rows = _prefix_pairs(df.select(*KEYS, f"{s}_id", f"{s}_n", "bits"), F.array_sort(F.transform("bits", lambda b: F.get(rank, b))), f"{s}_n").drop("bits")
-        return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, F.explode(blocks).alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
+        return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, block.alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
 
     near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n)")
-    met = keyed(t, "toxic", F.array(*[block("toxic_n") + i for i in (-1, 0, 1)])).join(keyed(n, "nontoxic", F.array(block("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
+    met = keyed(t, "toxic", _near_blocks(F.col("toxic_n"))).join(keyed(n, "nontoxic", _block(F.col("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
     judged = met.join(t.select("toxic_id", "toxic_w"), "toxic_id").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
     out = _back(judged.select("toxic_id", "nontoxic_id", "toxic_w", "nontoxic_w"), toxic, nontoxic, [column])
     return out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS)
@@ -149,3 +157,16 @@ def pair_molecules(molecules: DataFrame, compat: bool = False, by_length: bool =
         if column in molecules.columns:
             out = out.unionByName(bit_candidates(toxic, nontoxic, column))
     return out.dropDuplicates()
+
+
+def with_scores(pairs: DataFrame, molecules: DataFrame) -> DataFrame:
+    """Pairs with ``text_similarity`` and, where ``molecules`` has fingerprints, ``fp_similarity`` and ``scaffold_fp_similarity`` (null where one is
+    missing): the scores themselves, for the sink of scored pairs."""
+    out = pairs.withColumn("text_similarity", lev_similarity(F.col("toxic_smiles"), F.col("nontoxic_smiles")))
+    columns = [c for c in ("fp", "scaffold_fp") if c in molecules.columns]
+    if columns:
+        one = molecules.where("smiles IS NOT NULL").groupBy("smiles").agg(*[F.first(c, True).alias(c) for c in columns])
+        for s in ("toxic", "nontoxic"):
+            out = out.join(one.select(F.col("smiles").alias(f"{s}_smiles"), *[F.col(c).alias(f"__{s}_{c}") for c in columns]), f"{s}_smiles", "left")
+        out = out.withColumns({f"{c}_similarity": tanimoto(F.col(f"__toxic_{c}"), F.col(f"__nontoxic_{c}")) for c in columns}).drop(*[f"__{s}_{c}" for s in ("toxic", "nontoxic") for c in columns])
+    return out

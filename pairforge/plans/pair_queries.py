@@ -15,7 +15,7 @@ from pairforge.kernel.kernels import GraphKernel, TableKernel, distinct_molecule
 from pairforge.operators import descriptions, evaluation, fences, fragments, groupsplit, inference, pairing, qa, stages
 from pairforge.plans.pair_sql import SQL
 from pairforge.schema import PREDICTIONS, PROPERTIES
-from pairforge.sources.files import ordered_ids, read_qa, write_qa
+from pairforge.sources.files import ordered_ids, read_csv_texts, read_qa, write_csv, write_qa
 from pairforge.sources.tables import table
 from pairforge.storage import materialize, shared_dir
 
@@ -48,15 +48,31 @@ def pair_all_rules(spark: SparkSession, d: str) -> DataFrame:
     return pairing.pair_molecules(rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left"))
 
 
-def pair_by_bits(spark: SparkSession, d: str) -> DataFrame:
-    """All three rules on fingerprints that SQL can make, too: pairs of neighbouring characters, and all characters, hashed to 64 bits."""
+def _with_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules with fingerprints that SQL can make, too: pairs of neighbouring characters, and all characters, hashed to 64 bits."""
     rows = _molecules(spark, d).where("label IN (0, 1)")
     code = lambda i: F.ascii(F.col("smiles").substr(i, F.lit(1)))
     word = lambda bits: F.aggregate(F.array_distinct(bits), F.lit(0).cast("bigint"), lambda n, b: n.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
     places = F.sequence(F.lit(1), F.length("smiles"))
     fp = word(F.transform(places, lambda i: F.pmod(code(i) * 31 + code(i + 1) * 7, F.lit(63)).cast("int")))
     scaffold = word(F.transform(places, lambda i: F.pmod(code(i) * 5 + F.floor(i / 8), F.lit(63)).cast("int")))
-    return pairing.pair_molecules(rows.withColumns({"fp": F.when(F.length("smiles") > 0, F.array(fp)), "scaffold_fp": F.when(F.length("smiles") > 30, F.array(scaffold))}))
+    return rows.withColumns({"fp": F.when(F.length("smiles") > 0, F.array(fp)), "scaffold_fp": F.when(F.length("smiles") > 30, F.array(scaffold))})
+
+
+def pair_by_bits(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.pair_molecules(_with_bits(spark, d))
+
+
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(_with_bits(spark, d), "bits")
+    return pairing.with_scores(pairing.pair_molecules(rows), rows)
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs written as ordered CSV and read back as texts with their places."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(table(spark, d, "toxicitycliff").select("cliff_id", "dataset_name", "endpoint", "toxic_smiles", "toxic_safe", "common_safe_fragments", F.col("cliff_id").alias("__at")), path, order_by="__at")
+    return read_csv_texts(spark, path)
 
 
 def cliffs(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +321,7 @@ def stream_means(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pair_levenshtein, pair_by_length, pair_all_rules, pair_by_bits, cliffs, cliffs_of_pairs, fragment_sets, fragment_compare, core_filter, tukey_fences, fragment_filters, fixed_thresholds, property_deltas,
+        pair_levenshtein, pair_by_length, pair_all_rules, pair_by_bits, pair_scores, cliffs, cliffs_of_pairs, csv_round_trip, fragment_sets, fragment_compare, core_filter, tukey_fences, fragment_filters, fixed_thresholds, property_deltas,
         property_outliers, group_split, row_numbers, step_route, description_lookup, qa_records, resume_anti, infer_replay, infer_run, task3_scores, safe_round_trip, description_ladder, qa_round_trip, sql_functions, json_salvage, regex_context, fragment_scores, tanimoto_words,
         qed_prs, summary, summary_rollup, distinct_union, limit_prefix, safe_lookup, kernel_table, kernel_profile, seeded_shuffle, stream_means,
     )

@@ -50,11 +50,14 @@ _BITS = (
     _MOLECULES
     + f""",
 f AS (SELECT *, {_word(f"(ascii(smiles[i]) * 31 + {_NEXT} * 7) % 63")} AS fp, CASE WHEN length(smiles) > 30 THEN {_word("(ascii(smiles[i]) * 5 + i // 8) % 63")} END AS sfp FROM m)
-SELECT DISTINCT t.dataset_name, t.endpoint, t.smiles AS toxic_smiles, n.smiles AS nontoxic_smiles
+SELECT DISTINCT t.dataset_name, t.endpoint, t.smiles AS toxic_smiles, n.smiles AS nontoxic_smiles{{more}}
 FROM f t JOIN f n ON t.dataset_name = n.dataset_name AND t.endpoint = n.endpoint AND t.label = 1 AND n.label = 0
 WHERE 10 * bit_count(t.fp & n.fp)::integer >= 9 * bit_count(t.fp | n.fp)::integer OR coalesce(10 * bit_count(t.sfp & n.sfp)::integer >= 9 * bit_count(t.sfp | n.sfp)::integer, false)
   OR CASE WHEN 10 * abs(length(t.smiles) - length(n.smiles)) <= greatest(length(t.smiles), length(n.smiles)) THEN 10 * levenshtein(t.smiles, n.smiles) <= greatest(length(t.smiles), length(n.smiles)) ELSE false END"""
 )
+_TANIMOTO = ", ".join(f"CASE WHEN bit_count(t.{c} | n.{c}) > 0 THEN bit_count(t.{c} & n.{c})::double / bit_count(t.{c} | n.{c}) END AS {name}_similarity" for c, name in (("fp", "fp"), ("sfp", "scaffold_fp")))
+_SCORES = _BITS.replace("{more}", ", 1 - levenshtein(t.smiles, n.smiles)::double / greatest(length(t.smiles), length(n.smiles), 1) AS text_similarity, " + _TANIMOTO)
+_BITS = _BITS.replace("{more}", "")
 
 _COMPARED = f"""
 WITH s AS (
@@ -224,6 +227,10 @@ SQL = {
     "pair_levenshtein": _PAIRS,
     "pair_by_length": _PAIRS,
     "pair_by_bits": _BITS,
+    "pair_scores": _SCORES,
+    "csv_round_trip": "SELECT row_number() OVER (ORDER BY cliff_id) - 1 AS source_index, cliff_id::varchar AS cliff_id, "
+    + ", ".join(f"nullif({c}, '') AS {c}" for c in ("dataset_name", "endpoint", "toxic_smiles", "toxic_safe", "common_safe_fragments"))
+    + " FROM toxicitycliff",
     "fragment_sets": f"SELECT cliff_id, {_join(_set('toxic_safe'))} AS fragments, len(list_filter(string_split(replace(coalesce(toxic_safe, ''), ' ', ''), '.'), lambda x: x <> ''))::integer AS n_listed FROM toxicitycliff",
     "fragment_compare": _COMPARED + "SELECT * EXCLUDE (tokens) FROM compared",
     "core_filter": _COMPARED + "SELECT cliff_id, n_common_safe, n_only_toxic_safe, n_only_nontoxic_safe FROM core",

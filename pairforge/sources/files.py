@@ -68,7 +68,7 @@ def write_csv(df: DataFrame, path: str, order_by: str | None = None, one_file: b
         out = (df.coalesce(1) if one_file else df.repartitionByRange(order_by)).sortWithinPartitions(order_by).drop(order_by)
     elif one_file:
         out = df.coalesce(1)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 #: A file of records, or a folder of its parts: split folder and name.
