@@ -33,13 +33,17 @@ def _cells(df: DataFrame) -> list:
     return [cell_fragments(F.col("only_toxic_safe_fragments")), cell_fragments(F.col("only_nontoxic_safe_fragments"))]
 
 
-def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+def _ngrams(spark: SparkSession, d: str, report_n: int | None) -> DataFrame:
     rows = table(spark, d, "toxicitycliff")
-    return terms.with_mark(terms.ngram_counts(rows, _cells(rows)), rows.count()).select(F.array_join("ngram", ".").alias("ngram"), "n", "occurrences", "n_records", "mark")
+    return terms.with_mark(terms.ngram_counts(rows, _cells(rows), report_n=report_n), rows.count()).select(F.array_join("ngram", ".").alias("ngram"), "n", "occurrences", "n_records", "mark")
+
+
+def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return _ngrams(spark, d, None)
 
 
 def p3_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return p3_ngrams(spark, d).where("n = 1").select(F.col("ngram").alias("fragment"), "occurrences", "n_records", "mark")
+    return _ngrams(spark, d, 1).select(F.col("ngram").alias("fragment"), "occurrences", "n_records", "mark")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

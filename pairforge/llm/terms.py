@@ -87,24 +87,26 @@ def _all_repeats(several: DataFrame, cells: list[Column]) -> DataFrame:
     return heads.select("head", F.explode(F.sequence(F.lit(1), F.size("head"))).alias("n")).select(F.slice("head", 1, F.col("n")).alias("ngram"))
 
 
-def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = None) -> DataFrame:
+def ngram_counts(df: DataFrame, cells: list[Column], max_n: int | None = None, report_n: int | None = None) -> DataFrame:
     """``ngram``, ``n``, ``occurrences``, ``n_records`` of every run of tokens inside a cell, whatever its length; of runs
-    of up to ``max_n`` tokens only if that is asked for.  A cell of T tokens has T (T + 1) / 2 runs, each of which is an answer.
+    of up to ``max_n`` tokens only if that is asked for.  A cell of T tokens has T (T + 1) / 2 runs, each of which is an answer; with
+    ``report_n`` suffixes are ordered whole, but only intervals of up to so many tokens are answered.
 
     ``cells`` are token arrays of one record each; n-grams do not cross cells, and a record holds an n-gram if any of
     its cells does.  Equal suffixes are combined before the shuffle that sorts them, so a token that makes up a third
     of everything is one weighted row.  Null and empty cells hold nothing; a row counts as a record even if it equals
     another; other columns of ``df`` are left out.
     """
+    upto = min((n for n in (max_n, report_n) if n is not None), default=None)
     named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
     cols = [F.coalesce(F.col(f"c{i}"), F.array().cast("array<string>")) for i in range(len(cells))]
     # One suffix per row, so that no row holds all suffixes of a long cell.
     cell = named.select(F.explode(F.filter(F.array(*cols), lambda c: F.size(c) > 0)).alias("cell")).select("cell", F.explode(F.sequence(F.lit(1), F.size("cell"))).alias("at"))
     suffix = cell.select(F.slice("cell", F.col("at"), F.size("cell") if max_n is None else F.lit(max_n)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("weight"))
     ordered = suffix.repartitionByRange("suffix").sortWithinPartitions("suffix")
-    occurrences = ordered.mapInArrow(intervals(max_n), _OUT).withColumn("repeats", F.lit(0).cast("bigint"))
+    occurrences = ordered.mapInArrow(intervals(upto), _OUT).withColumn("repeats", F.lit(0).cast("bigint"))
     several = named.where(sum((F.size(c) for c in cols), F.lit(0)) > 1)
-    twice = _all_repeats(several, cols) if max_n is None else several.select(F.explode(_repeats(cols, max_n)).alias("ngram"))
+    twice = _all_repeats(several, cols) if upto is None else several.select(F.explode(_repeats(cols, upto)).alias("ngram"))
     again = twice.select("ngram", F.size("ngram").alias("n"), F.lit(0).cast("bigint").alias("occurrences"), F.lit(1).cast("bigint").alias("repeats"))
     both = occurrences.unionByName(again).groupBy("ngram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("repeats").alias("repeats"))
     return both.select("ngram", "n", "occurrences", (F.col("occurrences") - F.col("repeats")).alias("n_records"))

@@ -331,6 +331,15 @@ def test_ngrams_of_every_length(spark):
     assert len(got) == len(want) and max(map(len, want)) == 60 and terms.ngram_counts(df.limit(0), [F.col("x")]).count() == 0
 
 
+def test_fragments_of_long_cells(spark):
+    """Whole suffixes, but only the intervals of one token are answered: a cell of thousands of tokens has few of those."""
+    rnd = random.Random(14)
+    cells = [[rnd.choice("abcdef") for _ in range(3000)], ["a"] * 2000, None, [], ["z"]] + [[rnd.choice("abcz")] * rnd.randrange(4) for _ in range(50)]
+    df = spark.createDataFrame([(c,) for c in cells], "x array<string>").repartition(3)
+    got = {(r["ngram"][0], r["n"]): (r["occurrences"], r["n_records"]) for r in terms.ngram_counts(df, [F.col("x")], report_n=1).collect()}
+    assert got == {(t, 1): (sum((c or []).count(t) for c in cells), sum(t in (c or []) for c in cells)) for t in "abcdefz"}
+
+
 def test_marks(spark):
     df = spark.createDataFrame([(["x"], 1, 1, 2), (["y"], 1, 3, 3), (["z"], 1, 9, 2)], "ngram array<string>, n int, occurrences int, n_records int")
     assert [r["mark"] for r in terms.with_mark(df, 100).orderBy("ngram").collect()] == ["rare", "common", "rare"]
