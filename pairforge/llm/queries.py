@@ -98,6 +98,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return plan.join(used, "source", "left").withColumns(zero).withColumn("reached_share", F.round(F.col("used_tokens") / F.lit(total), 9))
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per weighted source its tokens, whether it is limited, and whether its uses meet its quota to within one record."""
+    found, uses = _mixture(spark, d)
+    longest = mixing.token_counts(table(spark, d, "documents"), "doc_id", "text", "source").groupBy("source").agg(F.max("tokens").alias("longest"))
+    used = uses.groupBy("source").agg(F.sum("tokens").alias("used"))
+    plan = spark.createDataFrame([(s.source, s.tokens, s.limited, s.quota) for s in found], "source string, source_tokens bigint, limited boolean, quota bigint")
+    short = F.col("quota") - F.coalesce("used", F.lit(0))
+    return plan.join(longest, "source", "left").join(used, "source", "left").select("source", "source_tokens", "limited", ((short >= 0) & (short <= F.when(F.col("limited"), 0).otherwise(F.col("longest") - 1))).alias("met"))
+
+
 def _docs(spark: SparkSession, d: str):
     return table(spark, d, "documents"), "doc_id", "text", table(spark, d, "lookalikes")
 
@@ -115,4 +125,4 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.with_form(docs, text, looks, [key])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_components, p2_totals, p3_found, p3_fragments, p3_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_classes, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_components, p2_totals, p3_found, p3_fragments, p3_ngrams, p5_found, p5_report, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_classes, p8_forms)}

@@ -67,5 +67,6 @@ SQL = {
     "p3_found": _FRAGMENTS + "SELECT ngram AS fragment, mark FROM marked WHERE n = 1 AND mark IS NOT NULL",
     "p5_found": _NEAR + "SELECT least(id_a, id_b) AS cliff_id_a, greatest(id_a, id_b) AS cliff_id_b FROM near",
     "p5_report": _NEAR + "SELECT split, dataset_name, count(*) AS n_pairs, count(DISTINCT id_b) AS n_rows, count(*) FILTER (WHERE exact) AS n_exact FROM near GROUP BY split, dataset_name",
+    "p7_limits": _TOKENS + "SELECT source, tokens::bigint AS source_tokens, tokens * max_repeats < target_share * (SELECT sum(tokens) FROM per) AS limited, true AS met FROM per",
     "p7_found": _TOKENS + "SELECT source FROM per WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM per)",
 }
