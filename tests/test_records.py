@@ -138,7 +138,8 @@ def test_lookup_of_hot_keys(spark, monkeypatch):
     groups = spark.createDataFrame([("h", 20, "x"), ("c", 1, "y")], "k string, n bigint, v string")
     got = sorted((r["i"], r["v"]) for r in lookup.lookup(rows, groups, "k", "n").collect())
     assert got == [(i, "x") for i in range(20)] + [(99, "y")]
-    for limit in (5, 100):
+    for limit, most in ((5, 100_000), (5, 0), (100, 100_000)):  # by broadcast; too many hot keys; none
         monkeypatch.setattr(lookup, "HOT_ROWS", limit)
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)
         left = sorted(((r["i"], r["v"]) for r in lookup.lookup(rows, lookup.with_counts(rows, groups.drop("n"), "k", "n"), "k", "n", "left").collect()), key=repr)
         assert left == sorted(got + [(1, None), (2, None)], key=repr)
