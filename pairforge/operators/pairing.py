@@ -6,18 +6,27 @@ candidate join on a key that no such pair can miss; the union is made distinct.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairforge.functions.similarity import lev_090, lev_similarity, popcount, tanimoto, tanimoto_090
 from pairforge.schema import PAIR_COLUMNS, require_columns
 from pairforge.storage import materialize
 
 KEYS = ["dataset_name", "endpoint"]
-#: Characters per place in the segment join.
-PLACES = 16
 #: No fingerprint has more bits.
 MAX_BITS = 1 << 15
+#: Levels of a sketch.
+LEVELS = 8
+#: Blocks of length per factor of 10 / 9, and characters that are put into sketches at a time.
+FINE, SLICE = 3, 1 << 20
 
 
 def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,12 +38,6 @@ def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pick(1, "toxic"), pick(0, "nontoxic")
 
 
-def _segments(text: Column) -> tuple[Column, Column]:
-    """Number of edits allowed by the longest partner (len / 9), and the width of as many segments plus one."""
-    edits = F.floor(F.length(text) / 9).cast("int")
-    return edits, F.greatest(F.lit(1), F.floor(F.length(text) / (edits + 1)).cast("int"))
-
-
 def _named(df: DataFrame, side: str) -> DataFrame:
     """Molecules of one side with ``id``, 64 bits that stand for group and text while candidates are looked for."""
     return df.withColumn(f"{side}_id", F.xxhash64(*KEYS, f"{side}_smiles"))
@@ -48,48 +51,69 @@ def _back(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, columns: list
     return pairs.join(t, "toxic_id").join(n, "nontoxic_id").where(same)
 
 
-def _block(n: Column) -> Column:
-    """A number of a size: sizes of which the smaller is at least 0.9 of the greater are at most one apart.  The blocks are wider than
-    that by a hair, so that no logarithm rounds a border case two apart."""
-    return F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9)) / (1 + 1e-9)).cast("int")
+def _sketches(texts: list[str]) -> np.ndarray:
+    """Per text 2 x LEVELS words of 64 bits, two of them a level: a bit of level l says that more than l of the text's pairs of neighbouring
+    characters fall into its class, of 128 classes."""
+    flat, size = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), size)
+    inner = owner[1:] == owner[:-1]
+    pair, owner = (flat[:-1] * np.uint64(0x100000001B3) + flat[1:])[inner] * np.uint64(0x9E3779B97F4A7C15), owner[:-1][inner]
+    pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    held = np.bincount(owner * 128 + (pair >> np.uint64(40) & np.uint64(127)).astype(np.int64), minlength=len(texts) * 128).reshape(-1, 128)
+    return np.concatenate([np.packbits(held > level, axis=1, bitorder="little").view("<i8").T for level in range(LEVELS)])
 
 
-def _near_blocks(n: Column) -> Column:
-    return F.explode(F.array(*[_block(n) + i for i in (-1, 0, 1)]))
+def _sketched(df: DataFrame, side: str) -> DataFrame:
+    """Groups and molecules of one side with their lengths and sketches, one column a word."""
+    text = f"{side}_smiles"
+    rows = df.select(*KEYS, text)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.utf8_length(b.column(text)).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.nonzero(np.diff(ends // SLICE))[0] + 1), b.num_rows]  # bounds the arrays
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    part = b.slice(x, y - x)
+                    words = map(pa.array, _sketches(part.column(text).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pc.utf8_length(part.column(text)), *words], names=schema.names)
 
-def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
-    """Pairs with a text similarity of 0.9 or more.
+    schema = T.StructType([*rows.schema, T.StructField(f"{side}_length", T.IntegerType(), False), *[T.StructField(f"{side}_{i}", T.LongType(), False) for i in range(2 * LEVELS)]])
+    return rows.mapInArrow(sketch, schema)
+
+
+def _sketches_near() -> Column:
+    """True if so few pairs of neighbouring characters differ as the edits allowed leave.
 
-    A positive text of length l is cut into floor(l / 9) + 1 segments; a partner within the allowed edits holds one of
-    them unchanged at most floor(l / 9) characters away.  Negative texts offer their substrings of the widths (one or
-    two, at most 8) that partners of their length use.  Group, segment, its place in steps of PLACES characters and the block of
-    lengths are hashed to the join key, which spreads a hot group and keeps a segment common to most molecules from meeting all of them.  Neither
-    texts nor groups move with the segments, only hashes; the pairs they give are judged on the texts.
+    One edit takes away two pairs at most (one if it puts a character in) and adds as many, and no class can show more missing pairs than there are.
     """
-    toxic, nontoxic = _named(toxic, "toxic"), _named(nontoxic, "nontoxic")
-    edits, width = _segments(F.col("toxic_smiles"))
-    pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), F.col("toxic_smiles").substr(i * width + 1, width).alias("piece")))
-    t = toxic.select(*KEYS, "toxic_id", F.length("toxic_smiles").alias("length_t"), edits.alias("edits"), F.explode(pieces).alias("s"))
-    reach = F.sequence(F.floor((F.col("s.at") - F.col("edits")) / PLACES), F.floor((F.col("s.at") + F.col("edits")) / PLACES))
-    t = t.select("*", F.explode(reach).alias("place")).select("*", _near_blocks(F.col("length_t")).alias("block"))
-    t = t.select("toxic_id", "length_t", "edits", F.col("s.at").alias("at_t"), F.xxhash64(*KEYS, "s.piece", "place", "block").alias("key"))
-    length = F.length("nontoxic_smiles")
-    partners = F.sequence(F.ceil(length * 0.9).cast("int"), F.floor(length / 0.9).cast("int"))
-    widths = F.array_distinct(F.transform(partners, lambda x: F.greatest(F.lit(1), F.floor(x / (F.floor(x / 9) + 1)).cast("int"))))
-    n = nontoxic.select(*KEYS, "nontoxic_id", "nontoxic_smiles", length.alias("length_n"), F.explode(widths).alias("w")).where("length_n >= w")
-    n = n.select("*", F.explode(F.sequence(F.lit(0), F.col("length_n") - F.col("w"))).alias("at_n"))
-    n = n.select("nontoxic_id", "length_n", "at_n", F.xxhash64(*KEYS, F.col("nontoxic_smiles").substr(F.col("at_n") + 1, F.col("w")), F.floor(F.col("at_n") / PLACES), _block(F.col("length_n"))).alias("key"))
-    near = F.expr("abs(at_t - at_n) <= edits AND abs(length_t - length_n) * 10 <= greatest(length_t, length_n)")
-    met = t.join(n, "key").where(near).select("toxic_id", "nontoxic_id").distinct()
-    return _back(met, toxic, nontoxic).where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
+    most = F.expr("2 * (greatest(toxic_length, nontoxic_length) div 10)")
+    missing = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}_{i}").bitwiseAND(F.bitwise_not(f"{b}_{i}"))) for i in range(2 * LEVELS)])
+    return (missing("toxic", "nontoxic") <= most) & (missing("nontoxic", "toxic") <= most)
 
 
 def length_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
-    """The same pairs by blocks of length: fewer rows move, more pairs are compared.  For texts of prose length."""
-    near = F.abs(F.length("toxic_smiles") - F.length("nontoxic_smiles")) * 10 <= F.greatest(F.length("toxic_smiles"), F.length("nontoxic_smiles"))
-    t = toxic.withColumn("block", _near_blocks(F.length("toxic_smiles")))
-    return t.join(nontoxic.withColumn("block", _block(F.length("nontoxic_smiles"))), [*KEYS, "block"]).where(near & lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
+    """Pairs with a text similarity of 0.9 or more, by blocks of length.
+
+    A molecule looks for partners in the blocks that its partners' lengths fall into, narrow ones, so that a hot group falls into many keys.  What meets
+    is judged by length, then by sketches in a few machine instructions, and only what these leave by edit distance.  Sorted, never broadcast:
+    Spark takes the rows for about as small as the table they come from, not counting copies and sketches.
+    """
+    fine = lambda n: F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9)) * FINE).cast("int")
+    t = _sketched(toxic, "toxic").withColumn("block", F.explode(F.sequence(fine(F.expr("(9 * toxic_length + 9) div 10")), fine(F.expr("10 * toxic_length div 9")))))
+    n = _sketched(nontoxic, "nontoxic").withColumn("block", fine(F.col("nontoxic_length")))
+    near = F.expr("abs(toxic_length - nontoxic_length) * 10 <= greatest(toxic_length, nontoxic_length)")
+    met = t.hint("merge").join(n, [*KEYS, "block"]).where(near & _sketches_near())
+    return met.where(lev_090(F.col("toxic_smiles"), F.col("nontoxic_smiles"))).select(*PAIR_COLUMNS)
+
+
+def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
+    """The same pairs, without those of two empty texts.
+
+    A join on shared pieces of text would move every negative once per substring, and pieces are common to most molecules: blocks of length
+    move a row once per block, and meeting is cheap.
+    """
+    return length_candidates(*[df.where(f"{s}_smiles <> ''") for s, df in (("toxic", toxic), ("nontoxic", nontoxic))])
 
 
 def _bits(words: Column) -> Column:
@@ -97,6 +121,16 @@ def _bits(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: i * 64 + b)))
 
 
+def _block(n: Column) -> Column:
+    """A number of a size: sizes of which the smaller is at least 0.9 of the greater are at most one apart.  The blocks are wider than
+    that by a hair, so that no logarithm rounds a border case two apart."""
+    return F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9)) / (1 + 1e-9)).cast("int")
+
+
+def _near_blocks(n: Column) -> Column:
+    return F.explode(F.array(*[_block(n) + i for i in (-1, 0, 1)]))
+
+
 def _prefix_pairs(prints: DataFrame, ordered: Column, n: str) -> DataFrame:
     """``prints`` with ``pair``: pairs of bits of which one at least two fingerprints of Tanimoto 0.9 must share.
 
@@ -135,7 +169,8 @@ def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFr
         return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, block.alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
 
     near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n)")
-    met = keyed(t, "toxic", _near_blocks(F.col("toxic_n"))).join(keyed(n, "nontoxic", _block(F.col("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
+    # Sorted, never broadcast: Spark takes the keys for about as small as the table of fingerprints they come from.
+    met = keyed(t, "toxic", _near_blocks(F.col("toxic_n"))).hint("merge").join(keyed(n, "nontoxic", _block(F.col("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
     judged = met.join(t.select("toxic_id", "toxic_w"), "toxic_id").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
     out = _back(judged.select("toxic_id", "nontoxic_id", "toxic_w", "nontoxic_w"), toxic, nontoxic, [column])
     return out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS)

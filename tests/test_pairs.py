@@ -214,6 +214,34 @@ def test_pairing_equals_brute_force(spark):
     assert pairing.pair_molecules(df.limit(0)).count() == 0
 
 
+def test_sketches_lose_no_pair_and_spare_most_edit_distances(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(60):
+        t = "".join(rnd.choices(["CC", "c1ccccc1", "N", "O(C)", "=", "S(=O)", "\U0001f600é"], k=rnd.choice([1, 3, 12, 30, 60])))
+        for lab in (0, 1):
+            for _ in range(rnd.randrange(0, 2 + len(t) // 10)):
+                at = rnd.randrange(len(t) + 1)
+                t = t[:at] + rnd.choice(["C", "N", ""]) + t[at + rnd.randrange(2) :]
+            rows.append(("d", "e", t or "C", lab))
+    toxic, nontoxic = pairing.sides(spark.createDataFrame(rows, "dataset_name string, endpoint string, smiles string, label int"))
+    met = pairing._sketched(toxic, "toxic").crossJoin(pairing._sketched(nontoxic.toDF(*["k1", "k2"], "nontoxic_smiles").withColumnsRenamed({"k1": "dataset_name", "k2": "endpoint"}), "nontoxic").drop("dataset_name", "endpoint"))
+    seen = [(r["toxic_smiles"], r["nontoxic_smiles"], r["ok"]) for r in met.withColumn("ok", pairing._sketches_near()).collect()]
+    near = [ok for a, b, ok in seen if 10 * lev(a, b) <= max(len(a), len(b))]
+    assert near and all(near) and sum(ok for *_, ok in seen) < len(seen) / 5
+
+
+@pytest.mark.parametrize("by_length", [False, True])
+def test_exploded_sides_are_never_broadcast(spark, tmp_path, by_length):
+    """Spark estimates rows with their copies to be as small as their table, here far under its limit for a broadcast."""
+    spark.createDataFrame([("d", "e", "CCO" * 9 + str(i), i % 2, [-1, 7]) for i in range(20)], "dataset_name string, endpoint string, smiles string, label int, fp array<bigint>").write.parquet(str(tmp_path / "m"))
+    toxic, nontoxic = pairing.sides(spark.read.parquet(str(tmp_path / "m")))
+    out = [(pairing.length_candidates if by_length else pairing.text_candidates)(toxic, nontoxic), pairing.bit_candidates(toxic, nontoxic, "fp")]
+    for df in out:
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "HashJoin [key" in x or "HashJoin [dataset_name" in x and "block" in x]
+        assert joins == [] and df.count() == 100
+
+
 def test_tanimoto(spark):
     got = values(spark, [([3, 0], [1, 0]), ([0, 0], [0, 0]), (None, [1, 1]), ([-1, -1], [-1, -1])], "a array<bigint>, b array<bigint>", similarity.tanimoto(F.col("a"), F.col("b")), similarity.tanimoto_090(F.col("a"), F.col("b")))
     assert got == [(0.5, False), (0.0, False), (None, False), (1.0, True)]
