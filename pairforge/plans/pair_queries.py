@@ -60,7 +60,7 @@ def _with_bits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_by_bits(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.pair_molecules(_with_bits(spark, d))
+    return pairing.pair_molecules(materialize(_with_bits(spark, d), "bits"))  # worked out once for both rules and sides
 
 
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
