@@ -6,6 +6,9 @@ a vector's squared norm by at most what k edits can destroy of it; this gives ea
 must reach.  Inverted lists hold, rarest term first, only as much of each vector as needed for the residual norm to stay
 under that product; a term that the other side lacks has maximum weight 0 there and is left out.  Sums over the lists
 plus the residual prune candidates, the rest are judged by exact products and then by exact edit distance.
+
+Entries meet by term and block of length, and a sketch of their texts is compared before anything is summed up: texts from
+a small vocabulary share terms by chance, in numbers that grow with the square of the texts.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 #: Terms of the tiers for texts too short for chunk runs: plain character runs of these lengths, then deletion variants.
 SHORT_RUNS = (4, 2)
+#: Classes of the sketches (two words), and lengths in a block.
+CLASSES, BLOCK = 128, 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: A pair of similar first texts with more pairs of second texts than this gets them from a similarity join, too.
@@ -106,6 +111,17 @@ class Terms:
         return np.maximum(np.maximum.reduceat(reach[: self.total], self.begin - 1), reach[self.begin + self.length])
 
 
+def parities(texts: list[str]) -> np.ndarray:
+    """Per text a word of 64 bits for each half of the classes: whether an odd number of its pairs of neighbouring characters fall into
+    a class.  One edit takes away two pairs at most and adds as many, so it turns at most four bits."""
+    flat, size = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), size)
+    inner = owner[1:] == owner[:-1]
+    pair = _mix((flat[:-1] * np.uint64(0x100000001B3) + flat[1:])[inner])
+    held = np.bincount(owner[:-1][inner] * CLASSES + (pair >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=len(texts) * CLASSES)
+    return np.packbits(held.reshape(-1, CLASSES) % 2 == 1, axis=1, bitorder="little").view("<i8").T
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return batch.column(batch.schema.get_field_index("text")).to_pylist()
 
@@ -151,7 +167,7 @@ def cell_weights(held: np.ndarray, n: int) -> np.ndarray:
     return 16 + np.floor(np.log2(max(1, n) / np.maximum(1, held)) / 2).clip(0, 8).astype(np.int64)
 
 
-_POSTING = "term bigint, id bigint, start int, length int, weight int, last double, slack int, in_a boolean, in_b boolean, short boolean"
+_POSTING = "term bigint, id bigint, start int, length int, weight int, last double, slack int, sketch_0 bigint, sketch_1 bigint, in_a boolean, in_b boolean, short boolean"
 
 
 def postings(texts: DataFrame, run: int, edits: int, cells: np.ndarray, n: int) -> DataFrame:
@@ -167,7 +183,8 @@ def postings(texts: DataFrame, run: int, edits: int, cells: np.ndarray, n: int)
         for b in _slices(batches):
             ids = b.column(b.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
             in_a, in_b = _flags(b)
-            t = Terms(_texts(b), run)
+            texts = _texts(b)
+            t, sketch = Terms(texts, run), parities(texts)
             cell = t.cell
             w = weights[cell].astype(np.float64)
             who, m = t.who, len(ids)
@@ -202,26 +219,32 @@ def postings(texts: DataFrame, run: int, edits: int, cells: np.ndarray, n: int)
             slack = needed - (reach - mass)
             k = np.nonzero(keep)[0]
             wk = who[k]
-            cols = [term[k].view(np.int64), ids[wk], start[k].astype(np.int32), t.length[wk].astype(np.int32), w[k].astype(np.int32), last[wk], slack[wk].astype(np.int32), in_a[wk], in_b[wk]]
+            cols = [term[k].view(np.int64), ids[wk], start[k].astype(np.int32), t.length[wk].astype(np.int32), w[k].astype(np.int32), last[wk], slack[wk].astype(np.int32), sketch[0][wk], sketch[1][wk], in_a[wk], in_b[wk]]
             short = np.nonzero(needed <= 0)[0]
             null = lambda kind: pa.nulls(len(short), kind)
-            tail = [null(pa.int64()), pa.array(ids[short]), null(pa.int32()), pa.array(t.length[short].astype(np.int32)), null(pa.int32()), null(pa.float64()), null(pa.int32()), pa.array(in_a[short]), pa.array(in_b[short])]
+            tail = [null(pa.int64()), pa.array(ids[short]), null(pa.int32()), pa.array(t.length[short].astype(np.int32)), null(pa.int32()), null(pa.float64()), null(pa.int32()), null(pa.int64()), null(pa.int64()), pa.array(in_a[short]), pa.array(in_b[short])]
             arrays = [pa.concat_arrays([pa.array(x), y]) for x, y in zip(cols, tail)] + [pa.array(np.arange(len(k) + len(short)) >= len(k))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _POSTING.split(", ")])
 
     return texts.mapInArrow(post, _POSTING)
 
 
+def met_entries(lists: DataFrame, edits: int) -> DataFrame:
+    """Entries of either side for one term, at near places of texts whose lengths and sketches allow ``edits``."""
+    live = lists.where("NOT short")
+    cols = ["id", "start", "length", "weight", "last", "slack", "sketch_0", "sketch_1"]
+    blocks = F.explode(F.expr(f"sequence(greatest(length - {edits}, 0) div {BLOCK}, (length + {edits}) div {BLOCK})"))
+    a = live.where("in_a").withColumn("block", F.expr(f"length div {BLOCK}")).select(F.xxhash64("term", "block").alias("key"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = live.where("in_b").withColumn("block", blocks).select(F.xxhash64("term", "block").alias("key"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    near = f"abs(length_a - length_b) <= {edits} AND (abs(start_a - start_b) <= {edits} OR start_a < 0 OR start_b < 0) AND id_a <> id_b"
+    return a.join(b, "key").where(f"{near} AND bit_count(sketch_0_a ^ sketch_0_b) + bit_count(sketch_1_a ^ sketch_1_b) <= {4 * edits}")
+
+
 def listed_pairs(lists: DataFrame, edits: int) -> DataFrame:
     """``a``, ``b``: the pairs that the inverted lists cannot rule out."""
-    live = lists.where("NOT short")
-    cols = ["id", "start", "length", "weight", "last", "slack"]
-    a = live.where("in_a").select("term", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = live.where("in_b").select("term", *[F.col(c).alias(f"{c}_b") for c in cols])
-    met = a.join(b, "term").where(f"abs(length_a - length_b) <= {edits} AND (abs(start_a - start_b) <= {edits} OR start_a < 0 OR start_b < 0) AND id_a <> id_b")
     # Of the vector whose part in the lists ends first, all common terms are either in both parts or in its residual.
     need = F.when(F.col("last_a") <= F.col("last_b"), F.col("slack_a")).otherwise(F.col("slack_b"))
-    sums = met.groupBy("id_a", "id_b").agg(F.sum("weight_a").alias("got"), F.min(need).alias("need"))
+    sums = met_entries(lists, edits).groupBy("id_a", "id_b").agg(F.sum("weight_a").alias("got"), F.min(need).alias("need"))
     return sums.where("got >= need").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Spark's setting for deleting the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,16 @@ def _file_system(spark: SparkSession, path: str):
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema.  ``release`` deletes it; what is left is
-    deleted when the application ends."""
+    deleted when the application ends.  The shuffle files of the write go with its end, not when the driver's garbage happens to be
+    collected: nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairforge-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     files, target = _file_system(spark, path)
     files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)

@@ -490,6 +490,43 @@ def test_overlaps_against_brute_force(spark, monkeypatch, hot):
     assert run(df.limit(0)).count() == 0
 
 
+def test_edits_turn_few_bits_of_a_sketch():
+    rnd = random.Random(10)
+    for _ in range(400):
+        a = "".join(rnd.choices(["C(C)", "c1cc", "N", "OC", "C", "=", "é"], k=rnd.randrange(1, 30)))
+        k = rnd.randrange(4)
+        turned = [(int(x) ^ int(y)) & (1 << 64) - 1 for x, y in overlap.parities([a, edit(a, k, rnd)]).tolist()]
+        assert sum(x.bit_count() for x in turned) <= 4 * k
+
+
+def test_terms_shared_by_chance_are_not_summed(spark):
+    rnd = random.Random(11)
+    parts = ["C(C)(C)", "c1ccccc1", "N(C)", "C(=O)", "S(=O)(=O)", "OC", "c1ccncc1", "C(F)", "C#C", "C(Br)", "c1ccsc1", "[NH2+]", "P(=O)", "n1cccc1", "C1CC1", "[C@H](C)", "C(Cl)", "C=C", "C(S)"]
+    rows = [("".join(rnd.choices(parts, k=16)), i % 2 == 0) for i in range(1500)]
+    rows += [(edit(t, 3, rnd), not a) for t, a in rows[:40]]
+    texts = spark.createDataFrame([(i, t, a, not a) for i, (t, a) in enumerate(rows)], "id bigint, text string, in_a boolean, in_b boolean")
+    lists = overlap.postings(texts, 0, 3, overlap.rarity(texts, 0), len(rows)).cache()
+    met = {tuple(r) for r in overlap.met_entries(lists, 3).select("id_a", "id_b").collect()}
+    live = lists.where("NOT short")
+    shared = live.where("in_a").alias("a").join(live.where("in_b").alias("b"), F.expr("a.term = b.term AND abs(a.length - b.length) <= 3 AND (abs(a.start - b.start) <= 3 OR a.start < 0 OR b.start < 0)")).select("a.id", "b.id").distinct().count()
+    close = {(x, y) for x, y in ((i, 1500 + i) if rows[i][1] else (1500 + i, i) for i in range(40))}
+    found = {(r["a"], r["b"]) for r in overlap.listed_pairs(lists, 3).collect()}
+    short = {r["id"] for r in lists.where("short").select("id").distinct().collect()}
+    assert {x for x in close if not short.issuperset(x)} <= found
+    assert shared > 1000 and len(met - close) < 0.05 * shared
+    lists.unpersist()
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    from pairforge.storage import CLEANUP, materialize
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    before, was = files(), spark.conf.get(CLEANUP, None)
+    out = materialize(spark.range(100_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.count("*").alias("n")), "step")
+    assert not files() - before and spark.conf.get(CLEANUP, None) == was
+    assert out.count() == 5_000
+
+
 def test_bound_holds_for_vectors():
     """What k random edits take from a vector is never more than k times what one edit can destroy at most."""
     import numpy as np
