@@ -684,3 +684,22 @@ def test_commands(spark, tmp_path):
     run("score", "--predictions", tmp_path / "p.jsonl", "--out", tmp_path / "sum")
     out = json.loads(next((tmp_path / "sum").iterdir()).read_text())
     assert out["total"] == 2 and out["metrics_mean"]["fragment_EM"] == 0.5
+
+
+def test_views_go_with_their_molecules():
+    import gc
+    import weakref
+
+    from pairforge.kernel.properties import descriptors
+    from pairforge.kernel.smarts import View
+
+    seen = []
+    for text in ("C1CC1N", "OC1CC1", "c1ccccc1OC"):
+        g = G.parse(text)
+        v = View(g)
+        assert descriptors(g, v) == descriptors(g)
+        assert v.ring_sizes(0) == v.ring_sizes(0)
+        seen.append(weakref.ref(v))
+    del v, g
+    gc.collect()
+    assert not any(r() for r in seen)
