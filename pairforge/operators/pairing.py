@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.functions.similarity import lev_090, lev_similarity, popcount, tanimoto, tanimoto_090
-from pairforge.schema import PAIR_COLUMNS, require_columns
-from pairforge.storage import materialize
+from pairforge.schema import PAIR_COLUMNS, PAIRS, require_columns
+from pairforge.storage import materialize, release
 
 KEYS = ["dataset_name", "endpoint"]
 #: No fingerprint has more bits.
@@ -44,11 +44,11 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 
 def _back(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Candidate ids with groups and molecules again; what only shares an id with a candidate is judged like one."""
+    """Candidate ids with groups and molecules again; what only shares an id with a candidate is judged like one.  Sorted, never broadcast."""
     t = toxic.select(*[F.col(k).alias(f"__t_{k}") for k in KEYS], "toxic_id", "toxic_smiles", *[f"toxic_{c}" for c in columns or []])
     n = nontoxic.select(*KEYS, "nontoxic_id", "nontoxic_smiles", *[f"nontoxic_{c}" for c in columns or []])
     same = F.expr(" AND ".join(f"__t_{k} = {k}" for k in KEYS))
-    return pairs.join(t, "toxic_id").join(n, "nontoxic_id").where(same)
+    return pairs.hint("merge").join(t, "toxic_id").hint("merge").join(n, "nontoxic_id").where(same)
 
 
 def _sketches(texts: list[str]) -> np.ndarray:
@@ -144,8 +144,23 @@ def _prefix_pairs(prints: DataFrame, ordered: Column, n: str) -> DataFrame:
     return one.select("*", F.explode(rest).alias("__y")).withColumn("pair", F.col("__x") * MAX_BITS + F.col("__y")).drop("__first", "__i", "__x", "__y")
 
 
+def _ranked(prints: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``bits`` replaced by their places in an order, sorted.  In Arrow, since an array of as many literals as there are bits weighs on the
+    driver in every plan that holds it."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = b.column("bits")
+            place, size = ranks[bits.flatten().to_numpy(zero_copy_only=False)], pc.list_value_length(bits).to_numpy(zero_copy_only=False)
+            place = place[np.lexsort((place, np.repeat(np.arange(len(size)), size)))]
+            new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(place, pa.int32()))
+            yield b.set_column(b.schema.get_field_index("bits"), "bits", new)
+
+    return prints.mapInArrow(rank, prints.schema)
+
+
 def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFrame:
-    """Pairs whose fingerprints reach 0.9.
+    """Pairs whose fingerprints reach 0.9, written down.
 
     Fingerprints are looked at once per group, however many molecules share one (a scaffold's, say).  They meet in pairs of
     their rarest bits, by measured frequency, and in blocks of their number of bits; what meets is judged on the words, and
@@ -162,18 +177,22 @@ def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFr
     held = t.select(F.explode("bits").alias("bit")).unionByName(n.select(F.explode("bits").alias("bit"))).groupBy("bit").agg(F.count("*").alias("n")).collect()
     order = {r["bit"]: k for k, r in enumerate(sorted(held, key=lambda r: (r["n"], r["bit"])))}
     if not order:
-        return toxic.select(*KEYS, "toxic_smiles", F.lit("").alias("nontoxic_smiles")).limit(0).select(*PAIR_COLUMNS)
-    rank = F.array(*[F.lit(order.get(b, 0)) for b in range(max(order) + 1)])
+        release(t, n)
+        return toxic.sparkSession.createDataFrame([], PAIRS)
+    ranks = np.array([order.get(b, 0) for b in range(max(order) + 1)], np.int32)
+
     def keyed(df: DataFrame, s: str, block: Column) -> DataFrame:
-        rows = _prefix_pairs(df.select(*KEYS, f"{s}_id", f"{s}_n", "bits"), F.array_sort(F.transform("bits", lambda b: F.get(rank, b))), f"{s}_n").drop("bits")
+        rows = _prefix_pairs(_ranked(df.select(*KEYS, f"{s}_id", f"{s}_n", "bits"), ranks), F.col("bits"), f"{s}_n").drop("bits")
         return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, block.alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
 
     near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n)")
     # Sorted, never broadcast: Spark takes the keys for about as small as the table of fingerprints they come from.
     met = keyed(t, "toxic", _near_blocks(F.col("toxic_n"))).hint("merge").join(keyed(n, "nontoxic", _block(F.col("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
-    judged = met.join(t.select("toxic_id", "toxic_w"), "toxic_id").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
+    judged = met.hint("merge").join(t.select("toxic_id", "toxic_w"), "toxic_id").hint("merge").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
     out = _back(judged.select("toxic_id", "nontoxic_id", "toxic_w", "nontoxic_w"), toxic, nontoxic, [column])
-    return out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS)
+    found = materialize(out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS), "found")
+    release(t, n)
+    return found
 
 
 def pair_molecules(molecules: DataFrame, compat: bool = False, by_length: bool = False) -> DataFrame:
@@ -181,16 +200,21 @@ def pair_molecules(molecules: DataFrame, compat: bool = False, by_length: bool =
     molecule of one group for which any rule holds.
 
     Fingerprint rules apply where the columns ``fp`` and ``scaffold_fp`` are there and not null.  ``compat`` drops groups in
-    which no negative has a fingerprint.  Groups with one label only and an empty table give no pairs.
+    which no negative has a fingerprint.  Groups with one label only and an empty table give no pairs.  With several rules, the sides and the
+    pairs of each rule are written down, so that the driver never holds a plan of all rules.
     """
     toxic, nontoxic = sides(molecules)
     if compat and "fp" in molecules.columns:
         usable = nontoxic.where("nontoxic_fp IS NOT NULL").select(*KEYS).distinct()
         toxic = toxic.join(usable, KEYS, "left_semi")
-    out = (length_candidates if by_length else text_candidates)(toxic, nontoxic)
-    for column in ("fp", "scaffold_fp"):
-        if column in molecules.columns:
-            out = out.unionByName(bit_candidates(toxic, nontoxic, column))
+    by_text, columns = length_candidates if by_length else text_candidates, [c for c in ("fp", "scaffold_fp") if c in molecules.columns]
+    if not columns:
+        return by_text(toxic, nontoxic).dropDuplicates()
+    toxic, nontoxic = materialize(toxic, "toxic"), materialize(nontoxic, "nontoxic")
+    out = materialize(by_text(toxic, nontoxic), "found")
+    for column in columns:
+        out = out.unionByName(bit_candidates(toxic, nontoxic, column))
+    release(toxic, nontoxic)
     return out.dropDuplicates()
 
 

@@ -45,7 +45,7 @@ def pair_by_length(spark: SparkSession, d: str) -> DataFrame:
 def pair_all_rules(spark: SparkSession, d: str) -> DataFrame:
     rows = _molecules(spark, d).where("label IN (0, 1)")
     profile = materialize(GraphKernel(columns=("fp", "scaffold_fp")).profile(rows), "profile")
-    return pairing.pair_molecules(rows.join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left"))
+    return pairing.pair_molecules(rows.hint("merge").join(profile.select("smiles", "fp", "scaffold_fp"), "smiles", "left"))
 
 
 def _with_bits(spark: SparkSession, d: str) -> DataFrame:

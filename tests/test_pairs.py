@@ -703,3 +703,19 @@ def test_views_go_with_their_molecules():
     del v, g
     gc.collect()
     assert not any(r() for r in seen)
+
+
+def test_rules_are_written_down_one_by_one(spark):
+    rnd = random.Random(12)
+    rows = [("d", f"e{i % 2}", "".join(rnd.choices("CNOSF", k=12)) + str(i), i // 2 % 2, [rnd.getrandbits(62) for _ in range(16)]) for i in range(60)]
+    rows += [(d, e, s + "C", 1 - x, [fp[0] ^ 1, *fp[1:]]) for d, e, s, x, fp in rows[:20]]
+    df = spark.createDataFrame(rows, "dataset_name string, endpoint string, smiles string, label int, fp array<bigint>")
+    out = pairing.pair_molecules(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    bits = lambda a, b: (sum((x & y).bit_count() for x, y in zip(a, b)), sum((x | y).bit_count() for x, y in zip(a, b)))
+    got = {tuple(r) for r in out.collect()}
+    want = {(a[0], a[1], a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and a[3] == 1 and b[3] == 0 and 10 * (m := bits(a[4], b[4]))[0] >= 9 * m[1]}
+    assert len(want) >= 20 and want <= got
+    nothing = pairing.pair_molecules(df.withColumn("fp", F.lit(None).cast("array<bigint>")))
+    assert {tuple(r) for r in nothing.collect()} <= got
