@@ -21,12 +21,10 @@ from pairforge.schema import PAIR_COLUMNS, PAIRS, require_columns
 from pairforge.storage import materialize, release
 
 KEYS = ["dataset_name", "endpoint"]
-#: No fingerprint has more bits.
-MAX_BITS = 1 << 15
 #: Levels of a sketch.
 LEVELS = 8
-#: Blocks of length per factor of 10 / 9, and characters that are put into sketches at a time.
-FINE, SLICE = 3, 1 << 20
+#: Blocks of length per factor of 10 / 9; characters that are put into sketches, and words of fingerprints that are taken apart, at a time.
+FINE, SLICE, WORDS = 3, 1 << 20, 1 << 16
 
 
 def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +49,13 @@ def _back(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, columns: list
     return pairs.hint("merge").join(t, "toxic_id").hint("merge").join(n, "nontoxic_id").where(same)
 
 
+def _slices(batch: pa.RecordBatch, size: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces that hold about ``most``, given the size of each row: this bounds the arrays made of them."""
+    ends = np.cumsum(size.to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.nonzero(np.diff(ends // most))[0] + 1), batch.num_rows]
+    return (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x)
+
+
 def _sketches(texts: list[str]) -> np.ndarray:
     """Per text 2 x LEVELS words of 64 bits, two of them a level: a bit of level l says that more than l of the text's pairs of neighbouring
     characters fall into its class, of 128 classes."""
@@ -70,13 +75,9 @@ def _sketched(df: DataFrame, side: str) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends = np.cumsum(pc.utf8_length(b.column(text)).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.nonzero(np.diff(ends // SLICE))[0] + 1), b.num_rows]  # bounds the arrays
-            for x, y in zip(cuts, cuts[1:]):
-                if y > x:
-                    part = b.slice(x, y - x)
-                    words = map(pa.array, _sketches(part.column(text).to_pylist()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pc.utf8_length(part.column(text)), *words], names=schema.names)
+            for part in _slices(b, pc.utf8_length(b.column(text)), SLICE):
+                words = map(pa.array, _sketches(part.column(text).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.utf8_length(part.column(text)), *words], names=schema.names)
 
     schema = T.StructType([*rows.schema, T.StructField(f"{side}_length", T.IntegerType(), False), *[T.StructField(f"{side}_{i}", T.LongType(), False) for i in range(2 * LEVELS)]])
     return rows.mapInArrow(sketch, schema)
@@ -116,78 +117,88 @@ def text_candidates(toxic: DataFrame, nontoxic: DataFrame) -> DataFrame:
     return length_candidates(*[df.where(f"{s}_smiles <> ''") for s, df in (("toxic", toxic), ("nontoxic", nontoxic))])
 
 
-def _bits(words: Column) -> Column:
-    """The set bits of a fingerprint."""
-    return F.flatten(F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: i * 64 + b)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
-def _block(n: Column) -> Column:
-    """A number of a size: sizes of which the smaller is at least 0.9 of the greater are at most one apart.  The blocks are wider than
-    that by a hair, so that no logarithm rounds a border case two apart."""
-    return F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / F.ln(F.lit(10 / 9)) / (1 + 1e-9)).cast("int")
+def _set_bits(prints: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every bit that is set in some fingerprints: which of them it is in, and its number there."""
+    words, size = prints.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(prints).to_numpy(zero_copy_only=False)
+    at, bit = np.nonzero(np.unpackbits(words.view(np.uint8), bitorder="little").reshape(-1, 64))
+    return np.repeat(np.arange(len(size)), size)[at], (np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size))[at] * 64 + bit
 
 
-def _near_blocks(n: Column) -> Column:
-    return F.explode(F.array(*[_block(n) + i for i in (-1, 0, 1)]))
+def _held(prints: DataFrame) -> dict[int, int]:
+    """In how many fingerprints (column ``w``) each bit is set: as many entries as a fingerprint has bits, whatever the data."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _slices(b, pc.list_value_length(b.column("w")), WORDS):
+                held = np.bincount(_set_bits(part.column("w"))[1])
+                bits = np.nonzero(held)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64()), pa.array(held[bits], pa.int64())], names=["bit", "n"])
 
-def _prefix_pairs(prints: DataFrame, ordered: Column, n: str) -> DataFrame:
-    """``prints`` with ``pair``: pairs of bits of which one at least two fingerprints of Tanimoto 0.9 must share.
+    return {r["bit"]: r["n"] for r in prints.select("w").mapInArrow(count, "bit bigint, n bigint").groupBy("bit").agg(F.sum("n").alias("n")).collect()}
 
-    Such a partner lacks at most floor(n / 10) of a fingerprint's bits.  So the two rarest bits they share are among the rarest
-    floor(n / 10) + 2 of both, in whatever order rarity puts all bits.  A fingerprint of one bit is its own key.
-    """
-    first = prints.withColumn("__first", F.slice(ordered, 1, F.floor(F.col(n) / 10).cast("int") + 2))
-    # Generators, not nested lambdas: those would work out the list again for each of its members.
-    one = first.select("*", F.posexplode("__first").alias("__i", "__x"))
-    rest = F.when(F.col(n) == 1, F.array("__x")).otherwise(F.slice("__first", F.col("__i") + 2, F.size("__first")))
-    return one.select("*", F.explode(rest).alias("__y")).withColumn("pair", F.col("__x") * MAX_BITS + F.col("__y")).drop("__first", "__i", "__x", "__y")
 
+def _keyed(prints: DataFrame, side: str, ranks: np.ndarray) -> DataFrame:
+    """``key`` of every part in which a partner may be equal, with the number of differing bits (``{side}_most``) that such a partner may have, and all
+    words of the fingerprint put together by XOR (``{side}_fold``).
 
-def _ranked(prints: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``bits`` replaced by their places in an order, sorted.  In Arrow, since an array of as many literals as there are bits weighs on the
-    driver in every plan that holds it."""
+    Fingerprints of Tanimoto 0.9, the larger of x bits, differ in floor(2 x / 19) bits at most.  So of one part more than that at least one is the same
+    in both.  Bits are dealt to the parts by their place in an order of frequency, so that each part tells about as much.
+    """
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = b.column("bits")
-            place, size = ranks[bits.flatten().to_numpy(zero_copy_only=False)], pc.list_value_length(bits).to_numpy(zero_copy_only=False)
-            place = place[np.lexsort((place, np.repeat(np.arange(len(size)), size)))]
-            new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(place, pa.int32()))
-            yield b.set_column(b.schema.get_field_index("bits"), "bits", new)
-
-    return prints.mapInArrow(rank, prints.schema)
+            for part in _slices(b, pc.list_value_length(b.column("w")), WORDS):
+                owner, bit = _set_bits(part.column("w"))
+                mark, place = _mixed(bit.astype(np.uint64)), ranks[bit]
+                group, n = part.column("group").to_numpy().view(np.uint64), part.column("n").to_numpy().astype(np.int64)
+                fold = np.bitwise_xor.reduceat(part.column("w").flatten().to_numpy(), np.cumsum(size := pc.list_value_length(part.column("w")).to_numpy()) - size)
+                low, high = 2 * n // 19, 2 * (10 * n // 9) // 19  # of partners that are smaller or as large, and of the largest partner
+                for most in range(low.min(), high.max() + 1):
+                    if not len(rows := np.nonzero((low <= most) & (most <= high))[0]):
+                        continue
+                    new = np.full(len(n), -1)
+                    new[rows] = np.arange(len(rows))
+                    mine = new[owner] >= 0
+                    held = np.zeros(len(rows) * (most + 1), np.uint64)
+                    np.add.at(held, new[owner[mine]] * (most + 1) + place[mine] % (most + 1), mark[mine])
+                    scheme = _mixed(np.arange(most + 1, dtype=np.uint64) + np.uint64(most << 32))
+                    keys = _mixed(held + _mixed(group[rows][:, None] + scheme[None, :]).ravel())
+                    every = np.repeat(rows, most + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column("id").take(pa.array(every)), pa.array(n[every], pa.int32()), pa.array(np.full(len(every), most), pa.int32()), pa.array(fold[every])], names=["key", *[f"{side}_{c}" for c in ("id", "n", "most", "fold")]])
+
+    return prints.select(F.xxhash64(*KEYS).alias("group"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_w").alias("w")).mapInArrow(key, f"key bigint, {side}_id bigint, {side}_n int, {side}_most int, {side}_fold bigint")
 
 
 def bit_candidates(toxic: DataFrame, nontoxic: DataFrame, column: str) -> DataFrame:
     """Pairs whose fingerprints reach 0.9, written down.
 
-    Fingerprints are looked at once per group, however many molecules share one (a scaffold's, say).  They meet in pairs of
-    their rarest bits, by measured frequency, and in blocks of their number of bits; what meets is judged on the words, and
-    molecules are joined to what is left.
+    Fingerprints are looked at once per group, however many molecules share one (a scaffold's, say).  They meet in parts that are equal
+    in both, and what meets is judged where it meets, by its sizes and by words put together, in which no more bits can differ than in the
+    fingerprints: only what passes (for fingerprints of one word, only pairs) is written and judged on all words, and molecules are joined to what is left.
     """
     toxic, nontoxic = [df.where(f"{s}_{column} IS NOT NULL").withColumn(f"{s}_id", F.xxhash64(*KEYS, f"{s}_{column}")) for s, df in (("toxic", toxic), ("nontoxic", nontoxic))]
 
     def prints(df: DataFrame, s: str) -> DataFrame:
         one = df.select(*KEYS, f"{s}_id", F.col(f"{s}_{column}").alias(f"{s}_w")).distinct()
-        return one.withColumns({f"{s}_n": popcount(F.col(f"{s}_w")), "bits": _bits(F.col(f"{s}_w"))}).where(f"{s}_n > 0")
+        return one.withColumn(f"{s}_n", popcount(F.col(f"{s}_w"))).where(f"{s}_n > 0")
 
     t, n = materialize(prints(toxic, "toxic"), "prints"), materialize(prints(nontoxic, "nontoxic"), "prints")
-    # As many rows as a fingerprint has bits, whatever the data.
-    held = t.select(F.explode("bits").alias("bit")).unionByName(n.select(F.explode("bits").alias("bit"))).groupBy("bit").agg(F.count("*").alias("n")).collect()
-    order = {r["bit"]: k for k, r in enumerate(sorted(held, key=lambda r: (r["n"], r["bit"])))}
-    if not order:
+    held = _held(t.select(F.col("toxic_w").alias("w")).unionByName(n.select(F.col("nontoxic_w").alias("w"))))
+    if not held:
         release(t, n)
         return toxic.sparkSession.createDataFrame([], PAIRS)
-    ranks = np.array([order.get(b, 0) for b in range(max(order) + 1)], np.int32)
-
-    def keyed(df: DataFrame, s: str, block: Column) -> DataFrame:
-        rows = _prefix_pairs(_ranked(df.select(*KEYS, f"{s}_id", f"{s}_n", "bits"), ranks), F.col("bits"), f"{s}_n").drop("bits")
-        return rows.select(f"{s}_id", f"{s}_n", "pair", *KEYS, block.alias("block")).select(f"{s}_id", f"{s}_n", F.xxhash64(*KEYS, "pair", "block").alias("key"))
-
-    near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n)")
+    ranks = np.zeros(max(held) + 1, np.int64)
+    ranks[sorted(held, key=lambda b: (held[b], b))] = np.arange(len(held))
+    near = F.expr("10 * least(toxic_n, nontoxic_n) >= 9 * greatest(toxic_n, nontoxic_n) AND toxic_most = nontoxic_most AND toxic_most = 2 * greatest(toxic_n, nontoxic_n) div 19 AND 19 * bit_count(toxic_fold ^ nontoxic_fold) <= toxic_n + nontoxic_n")
     # Sorted, never broadcast: Spark takes the keys for about as small as the table of fingerprints they come from.
-    met = keyed(t, "toxic", _near_blocks(F.col("toxic_n"))).hint("merge").join(keyed(n, "nontoxic", _block(F.col("nontoxic_n"))), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
+    met = _keyed(t, "toxic", ranks).hint("merge").join(_keyed(n, "nontoxic", ranks), "key").where(near).select("toxic_id", "nontoxic_id").distinct()
     judged = met.hint("merge").join(t.select("toxic_id", "toxic_w"), "toxic_id").hint("merge").join(n.select("nontoxic_id", "nontoxic_w"), "nontoxic_id").where(tanimoto_090(F.col("toxic_w"), F.col("nontoxic_w")))
     out = _back(judged.select("toxic_id", "nontoxic_id", "toxic_w", "nontoxic_w"), toxic, nontoxic, [column])
     found = materialize(out.where(F.expr(f"toxic_w = toxic_{column} AND nontoxic_w = nontoxic_{column}")).select(*PAIR_COLUMNS), "found")
