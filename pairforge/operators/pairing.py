@@ -24,7 +24,7 @@ KEYS = ["dataset_name", "endpoint"]
 #: Levels of a sketch.
 LEVELS = 8
 #: Blocks of length per factor of 10 / 9; characters that are put into sketches, and words of fingerprints that are taken apart, at a time.
-FINE, SLICE, WORDS = 3, 1 << 20, 1 << 16
+FINE, SLICE, WORDS = 2, 1 << 20, 1 << 16
 
 
 def sides(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,11 +231,16 @@ def pair_molecules(molecules: DataFrame, compat: bool = False, by_length: bool =
 
 def with_scores(pairs: DataFrame, molecules: DataFrame) -> DataFrame:
     """Pairs with ``text_similarity`` and, where ``molecules`` has fingerprints, ``fp_similarity`` and ``scaffold_fp_similarity`` (null where one is
-    missing): the scores themselves, for the sink of scored pairs."""
-    out = pairs.withColumn("text_similarity", lev_similarity(F.col("toxic_smiles"), F.col("nontoxic_smiles")))
+    missing): the scores themselves, for the sink of scored pairs.  Pairs, then the fingerprints of their molecules are written down, so that neither what
+    finds pairs nor the other molecules lie on disk beside the scores."""
     columns = [c for c in ("fp", "scaffold_fp") if c in molecules.columns]
     if columns:
-        one = molecules.where("smiles IS NOT NULL").groupBy("smiles").agg(*[F.first(c, True).alias(c) for c in columns])
+        pairs = materialize(pairs, "pairs")
+        named = pairs.select(F.col("toxic_smiles").alias("smiles")).union(pairs.select("nontoxic_smiles")).distinct()
+        paired = molecules.select("smiles", *columns).join(named, "smiles", "left_semi")
+        one = materialize(paired.groupBy("smiles").agg(*[F.first(c, True).alias(c) for c in columns]), "prints")
+    out = pairs.withColumn("text_similarity", lev_similarity(F.col("toxic_smiles"), F.col("nontoxic_smiles")))
+    if columns:
         for s in ("toxic", "nontoxic"):
             out = out.join(one.select(F.col("smiles").alias(f"{s}_smiles"), *[F.col(c).alias(f"__{s}_{c}") for c in columns]), f"{s}_smiles", "left")
         out = out.withColumns({f"{c}_similarity": tanimoto(F.col(f"__toxic_{c}"), F.col(f"__nontoxic_{c}")) for c in columns}).drop(*[f"__{s}_{c}" for s in ("toxic", "nontoxic") for c in columns])
